@@ -125,7 +125,8 @@ def patches(pixels: DataFrame, names: list[str], tile: int, nodata: float = 0.0)
     """3x3 patch of each named column around every pixel, row-major, missing cells as nodata.
 
     Pixels are scattered to the nine centres they belong to, inside the halo tile,
-    and gathered by centre; a centre has nine cells at most.
+    and gathered by centre; a centre has nine cells at most. The tile (ty, tx) by which
+    the result is partitioned stays in the output.
     """
     halo = with_halo(pixels, tile, (1, 1), (1, 1))
     own = [c for c in pixels.columns if c not in ("y", "x", *names)]
@@ -144,4 +145,4 @@ def patches(pixels: DataFrame, names: list[str], tile: int, nodata: float = 0.0)
         .filter(F.col("_centre") == 1)
     )
     filled = [F.coalesce(F.col(f"{n}_{k}"), F.lit(nodata)).alias(f"{n}_{k}") for n in names for k in range(9)]
-    return gathered.select(F.col("yc").alias("y"), F.col("xc").alias("x"), *own, *filled)
+    return gathered.select("ty", "tx", F.col("yc").alias("y"), F.col("xc").alias("x"), *own, *filled)

@@ -51,7 +51,7 @@ def patch_features(labelled: DataFrame, tile: int, height, width: int) -> DataFr
     the tile, taken over labelled pixels. The outer raster border is dropped."""
     frame = labelled.withColumn("diff", F.col("post") - F.col("pre"))
     valid = F.col("label") != LABEL_NODATA
-    by_tile = Window.partitionBy("tile_id")
+    by_tile = Window.partitionBy("ty", "tx")
     stats = {}
     for kind, fn in (("std", F.stddev_pop), ("var", F.var_pop)):
         for name in ("pre", "post", "diff"):

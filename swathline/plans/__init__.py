@@ -6,7 +6,7 @@ import importlib
 
 from swathline.plans.registry import ORACLES, QUERIES
 
-MODULES = ("scans", "flood")
+MODULES = ("scans", "flood", "scalars", "records", "series", "neighbourhood", "geometry")
 
 
 def _load() -> None:
