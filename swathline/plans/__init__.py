@@ -6,7 +6,9 @@ import importlib
 
 from swathline.plans.registry import ORACLES, QUERIES
 
-MODULES = ("scans", "flood", "scalars", "records", "series", "neighbourhood", "geometry")
+MODULES = (
+    "scans", "flood", "scalars", "records", "series", "neighbourhood", "geometry", "vectors", "learning", "incremental",
+)
 
 
 def _load() -> None:
