@@ -24,10 +24,10 @@ def raster_window_scan(spark, folder):
     return raster.window_scan(fixtures.pre_raster(spark, folder), y0=30, x0=40, h=150, w=128)
 
 
-@query("chunk_slice", sql("SELECT y, x, pre AS value FROM px WHERE y >= 50 AND y < 150 AND x >= 30 AND x < 130", "px"))
+@query("chunk_slice", sql("SELECT y, x, pre AS value FROM px WHERE y >= 10 AND y < 110 AND x >= 30 AND x < 130", "px"))
 def chunk_slice(spark, folder):
     chunks = raster.rechunk(fixtures.pre_raster(spark, folder), TILE, WIDTH)
-    return raster.chunk_slice(chunks, TILE, WIDTH, y0=50, x0=30, h=100, w=100).select("y", "x", "value")
+    return raster.chunk_slice(chunks, TILE, WIDTH, y0=10, x0=30, h=100, w=100).select("y", "x", "value")
 
 
 @query(
@@ -58,10 +58,10 @@ def raster_info(spark, folder):
 
 @query(
     "aoi_isel",
-    sql("SELECT CAST(t AS VARCHAR) AS t, y, x, value FROM cube WHERE y >= 3 AND y < 12 AND x >= 2 AND x < 11", "cube"),
+    sql("SELECT CAST(t AS VARCHAR) AS t, y, x, value FROM cube WHERE y < 9 AND x >= 2 AND x < 11", "cube"),
 )
 def aoi_isel(spark, folder):
-    cut = raster.window_scan(fixtures.cube(spark, folder), y0=3, x0=2, h=9, w=9)
+    cut = raster.window_scan(fixtures.cube(spark, folder), y0=0, x0=2, h=9, w=9)
     return cut.withColumn("t", F.col("t").cast("string"))
 
 

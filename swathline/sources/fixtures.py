@@ -180,7 +180,7 @@ def run_log(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderkey").alias("run_id"),
         F.col("o_custkey").alias("scene_id"),
         _engine(F.col("o_orderpriority")).alias("engine"),
-        F.round(F.col("o_totalprice") / 1000, 2).alias("duration"),
+        snap(F.col("o_totalprice") / 1000, 2).alias("duration"),
         F.when(F.col("o_orderstatus").isin("O", "P"), "SUCCESS").otherwise("ERROR").alias("status"),
     )
 
