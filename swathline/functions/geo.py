@@ -173,6 +173,25 @@ def inside_or_on(px: Column, py: Column, ring: Column) -> Column:
     return on_ring(px, py, ring) | crosses_odd(px, py, ring)
 
 
+def parse_ring(wkt: str) -> list[tuple[float, float]]:
+    """Vertices of a single-ring polygon given as a parameter, not as data."""
+    body = wkt[wkt.index("(") :].strip("() ")
+    return [tuple(float(n) for n in pair.split()) for pair in body.split(",")]
+
+
+def inside_fixed_ring(px: Column, py: Column, ring: list[tuple[float, float]]) -> Column:
+    """Strict containment in a ring known when the plan is built, as plain arithmetic."""
+    crossings, on_edge = F.lit(0), F.lit(False)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        inside_box = px.between(min(ax, bx), max(ax, bx)) & py.between(min(ay, by), max(ay, by))
+        on_edge = on_edge | (inside_box & ((px - ax) * (by - ay) == (py - ay) * (bx - ax)))
+        if ay != by:
+            at = F.lit(ax) + (py - F.lit(ay)) * F.lit(bx - ax) / F.lit(by - ay)
+            hit = ((F.lit(ay) > py) != (F.lit(by) > py)) & (px < at)
+            crossings = crossings + hit.cast("int")
+    return ~on_edge & (crossings % 2 == 1)
+
+
 def boxes_touch(a, b) -> Column:
     """Closed-box overlap of two bbox structs."""
     return (a.x0 <= b.x1) & (b.x0 <= a.x1) & (a.y0 <= b.y1) & (b.y0 <= a.y1)

@@ -1,8 +1,7 @@
 """Exact running sums and ranks over a global order without a single-task window.
 
-Rows are cut into value ranges at sketch quantiles; each range is summed on its
-own, the few range totals are accumulated, and ranks inside a range are added.
-The sketch only balances the ranges: results are exact wherever the cuts fall.
+Rows are range-partitioned; each range is summed on its own, the range totals (one
+row per partition) are accumulated, and ranks inside a range are added.
 """
 
 from __future__ import annotations
@@ -10,22 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from swathline.session import cut_lineage
 
-def _cuts(df: DataFrame, order: str, ranges: int) -> Column:
-    shares = [i / ranges for i in range(1, ranges)]
-    return df.agg(F.percentile_approx(order, shares, 1000)).scalar()
 
+def running_totals(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
+    """Adds ``<c>_before`` and ``<c>_total`` for each column; ``order`` must be unique.
 
-def running_totals(df: DataFrame, order: str, sums: list[str], ranges: int = 64) -> DataFrame:
-    """Adds ``<c>_before`` and ``<c>_total`` for each column; ``order`` must be unique."""
-    ranged = df.withColumn("_cuts", _cuts(df, order, ranges)).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
-    )
-    ranged = ranged.drop("_cuts")
-    # At most ``ranges`` rows from here on.
+    The range number of a row is fixed by a checkpoint, because range bounds are sampled.
+    """
+    ranged = cut_lineage(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
     earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(0))
+    everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(
         "_range",
         *[F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_{c}_off") for c in sums],
@@ -39,13 +34,13 @@ def running_totals(df: DataFrame, order: str, sums: list[str], ranges: int = 64)
     )
 
 
-def exact_percentiles(df: DataFrame, value: str, shares: list[float], ranges: int = 64) -> DataFrame:
+def exact_percentiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """Linear-interpolated percentiles of a column as one row p0, p1, ...
 
     Equal values are counted together first, so a value that fills the column is one row.
     """
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    ranked = running_totals(counted, "v", ["n"], ranges)
+    ranked = running_totals(counted, "v", ["n"])
 
     def at(position: Column) -> Column:
         hit = (position >= F.col("n_before")) & (position < F.col("n_before") + F.col("n"))
@@ -89,8 +84,8 @@ def rank_in_group(df: DataFrame, group: str, key: str, span: int = 1 << 20) -> D
 def smallest_per_group(df: DataFrame, group: str, hashed: str, tie: list[str], wanted: DataFrame) -> DataFrame:
     """Per group the ``k`` rows with the smallest (hash, tie) order; ``wanted`` holds (group, k).
 
-    Counts per hash value decide every row except those on the one hash value where
-    the limit falls; only these are ranked.
+    Counts per hash value decide how much room each hash value has; ranking then runs
+    per (group, hash), never over a whole group.
     """
     sizes = df.groupBy(group, hashed).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(group).orderBy(hashed).rowsBetween(Window.unboundedPreceding, -1)
@@ -98,15 +93,8 @@ def smallest_per_group(df: DataFrame, group: str, hashed: str, tie: list[str], w
         sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .join(wanted, group)
         .filter(F.col("_before") < F.col("k"))
-        .select(group, hashed, (F.col("k") - F.col("_before")).alias("_room"), (F.col("_n")).alias("_n"))
+        .select(group, hashed, (F.col("k") - F.col("_before")).alias("_room"))
     )
-    picked = df.join(plan, [group, hashed])
-    whole = picked.filter(F.col("_n") <= F.col("_room"))
     ranked = Window.partitionBy(group, hashed).orderBy(*tie)
-    partial = (
-        picked.filter(F.col("_n") > F.col("_room"))
-        .withColumn("_r", F.row_number().over(ranked))
-        .filter(F.col("_r") <= F.col("_room"))
-        .drop("_r")
-    )
-    return whole.unionByName(partial).drop("_n", "_room")
+    picked = df.join(plan, [group, hashed]).withColumn("_r", F.row_number().over(ranked))
+    return picked.filter(F.col("_r") <= F.col("_room")).drop("_r", "_room")

@@ -34,7 +34,7 @@ def _bucket(keys: list[str], buckets: int):
 def create_keyed_table(df: DataFrame, path: str, keys: list[str], buckets: int = 16) -> None:
     """A Parquet table laid out by key bucket, the target of ``upsert_table``."""
     with_bucket = df.withColumn("bucket", _bucket(keys, buckets))
-    with_bucket.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+    with_bucket.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
 def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[str], buckets: int = 16) -> None:
@@ -50,7 +50,7 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[s
     current = spark.read.parquet(path).filter(F.col("bucket").isin(touched)).select(*incoming.columns)
     merged = cut_lineage(merge_upsert(current, incoming, [*keys, "bucket"]))
     (
-        merged.repartition("bucket")
+        merged.hint("rebalance", "bucket")
         .write.partitionBy("bucket")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -119,8 +119,9 @@ def next_ids(log: DataFrame, rows: DataFrame, order: str, id_col: str = "artifac
 
 
 def set_status(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """New status for the jobs named in ``updates`` (job_id, new_status)."""
-    return jobs.join(updates, "job_id", "left").withColumn(
+    """New status for the jobs named in ``updates`` (job_id, new_status); repeats count once."""
+    once = updates.groupBy("job_id").agg(F.max("new_status").alias("new_status"))
+    return jobs.join(once, "job_id", "left").withColumn(
         "job_status", F.coalesce("new_status", "job_status")
     ).drop("new_status")
 
@@ -139,12 +140,12 @@ def enqueue(areas: DataFrame, engines: list[str], existing: DataFrame) -> DataFr
 
 
 def orphans(child: DataFrame, parent: DataFrame, key: str) -> DataFrame:
-    return child.join(parent.select(key), key, "left_anti")
+    return child.join(parent.select(key).distinct(), key, "left_anti")
 
 
 def cascade(child: DataFrame, removed: DataFrame, key: str) -> DataFrame:
     """Child rows left after the parents in ``removed`` are deleted."""
-    return child.join(removed.select(key), key, "left_anti")
+    return child.join(removed.select(key).distinct(), key, "left_anti")
 
 
 def unique_names(df: DataFrame, name: str, key: str) -> DataFrame:

@@ -111,13 +111,13 @@ def common_extent(raster: DataFrame, height, width) -> DataFrame:
     return raster.filter((F.col("y") < height) & (F.col("x") < width))
 
 
-def ks_two_sample(first: DataFrame, second: DataFrame, ranges: int = 64) -> DataFrame:
+def ks_two_sample(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance from exact empirical distributions."""
     both = first.select(F.col("value").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         second.select(F.col("value").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
     )
     counted = both.filter(F.col("v").isNotNull()).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    ranked = running_totals(counted, "v", ["a", "b"], ranges)
+    ranked = running_totals(counted, "v", ["a", "b"])
     gap = F.abs(
         (F.col("a_before") + F.col("a")) / F.col("a_total") - (F.col("b_before") + F.col("b")) / F.col("b_total")
     )

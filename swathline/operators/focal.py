@@ -45,19 +45,20 @@ def window_sums(
         .withColumn("yc", centre_rows)
         .filter(intdiv("yc", tile) == F.col("ty"))
     )
-    self_row = F.struct(*own) if own else F.lit(True)
+    here = F.col("y") == F.col("yc")
+    # Plain columns only, so that the aggregate hashes instead of sorting.
     columns = spread.groupBy("ty", "tx", "yc", "x").agg(
         *[F.sum(f"_{k}").alias(f"_{k}") for k in values],
         F.count("*").alias("_n"),
-        F.max(F.when(F.col("y") == F.col("yc"), self_row)).alias("_self"),
+        F.max(F.when(here, F.lit(1))).alias("_here"),
+        *[F.max(F.when(here, F.col(c))).alias(c) for c in own],
     )
     along = Window.partitionBy("ty", "tx", "yc").orderBy("x").rangeBetween(-before[1], after[1])
     summed = columns.withColumns(
         {k: F.sum(f"_{k}").over(along) for k in values} | {"n": F.sum("_n").over(along)}
     )
-    home = (intdiv("x", tile) == F.col("tx")) & F.col("_self").isNotNull()
-    extra = ["_self.*"] if own else []
-    return summed.filter(home).select(F.col("yc").alias("y"), "x", *extra, *values, "n")
+    home = (intdiv("x", tile) == F.col("tx")) & F.col("_here").isNotNull()
+    return summed.filter(home).select(F.col("yc").alias("y"), "x", *own, *values, "n")
 
 
 def boxcar(pixels: DataFrame, value: str = "value", size: int = 10, tile: int = 1024) -> DataFrame:

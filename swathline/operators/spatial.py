@@ -6,11 +6,24 @@ smaller polygon side is repeated once per salt, so no cell is joined by one task
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathline.functions.geo import boxes_touch, inside_or_on, ring_bbox, strictly_inside, wkt_points
+from swathline.functions.geo import (
+    boxes_touch,
+    inside_fixed_ring,
+    inside_or_on,
+    parse_ring,
+    pixel_x,
+    pixel_y,
+    ring_bbox,
+    strictly_inside,
+    wkt_points,
+)
 from swathline.functions.numeric import intdiv
+from swathline.schema import Affine
 
 SALTS = 8
 
@@ -72,15 +85,20 @@ def footprint_lookup(points: DataFrame, footprints: DataFrame, cell: float) -> D
     return keyed.join(boxes, ["cy", "cx"]).filter(inside).drop("cy", "cx", "box")
 
 
-def clip_to_region(pixels: DataFrame, wkt: str, lon: Column, lat: Column) -> DataFrame:
-    """Pixels whose centre lies inside an AOI polygon: box filter first, exact test second."""
-    ring = wkt_points(F.lit(wkt))
-    box = ring_bbox(ring)
-    return (
-        pixels.withColumns({"lon": lon, "lat": lat})
-        .filter(F.col("lon").between(box.x0, box.x1) & F.col("lat").between(box.y0, box.y1))
-        .filter(strictly_inside(F.col("lon"), F.col("lat"), ring))
+def clip_to_region(pixels: DataFrame, wkt: str, affine: Affine) -> DataFrame:
+    """Pixels whose centre lies inside an AOI polygon.
+
+    The polygon's box becomes a pixel window that prunes the scan; the exact test follows.
+    """
+    ring = parse_ring(wkt)
+    xs = sorted((lon - affine.x0) / affine.a - 0.5 for lon, _ in ring)
+    ys = sorted((lat - affine.y0) / affine.e - 0.5 for _, lat in ring)
+    near = pixels.filter(
+        F.col("x").between(math.floor(xs[0]), math.ceil(xs[-1]))
+        & F.col("y").between(math.floor(ys[0]), math.ceil(ys[-1]))
     )
+    lon, lat = pixel_x(F.col("x"), affine), pixel_y(F.col("y"), affine)
+    return near.filter(inside_fixed_ring(lon, lat, ring))
 
 
 def zone_stats(pixels: DataFrame, polygons: DataFrame, cell: float = 10.0) -> DataFrame:

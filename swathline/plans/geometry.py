@@ -143,11 +143,7 @@ _CROSSINGS = " + ".join(
     ),
 )
 def subset_geo_region(spark, folder):
-    a = fixtures.AFFINE
-    inside = spatial.clip_to_region(
-        fixtures.pre_raster(spark, folder), REGION, geo.pixel_x(F.col("x"), a), geo.pixel_y(F.col("y"), a)
-    )
-    return inside.select("y", "x", "value")
+    return spatial.clip_to_region(fixtures.pre_raster(spark, folder), REGION, fixtures.AFFINE).select("y", "x", "value")
 
 
 @query(

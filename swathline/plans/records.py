@@ -34,7 +34,7 @@ def pending_jobs(spark, folder):
 )
 def jobs_by_id(spark, folder):
     """Jobs named by a list of ids; a list of any length is a semi join."""
-    wanted = table(spark, folder, "lineitem").filter(F.col("l_quantity") >= 49).select(F.col("l_orderkey").alias("job_id"))
+    wanted = table(spark, folder, "lineitem").filter(F.col("l_quantity") >= 49).select(F.col("l_orderkey").alias("job_id")).distinct()
     return fixtures.jobs(spark, folder).join(wanted, "job_id", "left_semi").select("job_id", "engine", "job_status")
 
 
@@ -45,7 +45,7 @@ def jobs_by_id(spark, folder):
 def pending_files(spark, folder):
     """Active files that no result covers yet."""
     active = table(spark, folder, "documents").filter((F.col("lang") != "fr") & (F.col("n_chars") > 0))
-    done = table(spark, folder, "labels").select("doc_id")
+    done = table(spark, folder, "labels").select("doc_id").distinct()
     return active.join(done, "doc_id", "left_anti").select(
         F.col("doc_id").alias("file_id"), F.col("source").alias("file_group")
     )

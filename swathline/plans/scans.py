@@ -21,7 +21,11 @@ TILE, WIDTH = fixtures.TILE, fixtures.WIDTH
 
 @query("raster_window_scan", sql("SELECT y, x, pre AS value FROM px WHERE y >= 30 AND y < 180 AND x >= 40 AND x < 168", "px"))
 def raster_window_scan(spark, folder):
-    return raster.window_scan(fixtures.pre_raster(spark, folder), y0=30, x0=40, h=150, w=128)
+    """A window of a stored two-band raster, read by folder and row-group pruning."""
+    path = scratch_path(spark, "raster")
+    raster.store_raster(fixtures.bands(spark, folder).select("band", "y", "x", "value"), path, TILE)
+    window = raster.read_window(spark.read.parquet(path), TILE, band=1, y0=30, x0=40, h=150, w=128)
+    return window.select("y", "x", "value")
 
 
 @query("chunk_slice", sql("SELECT y, x, pre AS value FROM px WHERE y >= 10 AND y < 110 AND x >= 30 AND x < 130", "px"))
@@ -443,7 +447,8 @@ def scene_search(spark, folder):
         (F.col("created_at") >= F.lit("1996-06-01").cast("timestamp"))
         & (F.col("created_at") < F.lit("1999-06-01").cast("timestamp"))
     )
-    return found.join(dated, "scene_id").groupBy("scene_id", "product_type").agg(F.count("*").alias("jobs"))
+    per_scene = dated.groupBy("scene_id").agg(F.count("*").alias("jobs"))
+    return found.join(per_scene, "scene_id").select("scene_id", "product_type", "jobs")
 
 
 @query(

@@ -92,12 +92,11 @@ def window_stats(windows: DataFrame, pixels: DataFrame, size: int) -> DataFrame:
     )
 
 
-def write_tiles(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str], files: int = 4) -> None:
-    """Clustered Parquet. Each partition value is spread over up to ``files`` tasks by
-    a hash of the sort key, so a large value is not written by a single task."""
-    spread = F.pmod(F.xxhash64(*sort_by), F.lit(files))
+def write_tiles(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str]) -> None:
+    """Clustered Parquet. The rebalance hint lets adaptive execution merge small
+    partition values and split large ones into as many tasks as their size asks for."""
     (
-        df.repartition(*partition_by, spread)
+        df.hint("rebalance", *partition_by)
         .sortWithinPartitions(*partition_by, *sort_by)
         .write.mode("overwrite")
         .partitionBy(*partition_by)
@@ -105,6 +104,31 @@ def write_tiles(df: DataFrame, path: str, partition_by: list[str], sort_by: list
     )
 
 
+STRIP_TILES = 16
+
+
+def store_raster(pixels: DataFrame, path: str, tile: int) -> None:
+    """A raster (band, y, x, value) as Parquet, partitioned by band and strip of tile
+    rows, sorted by tile, so that windows prune folders first and row groups second."""
+    keyed = pixels.withColumns(
+        {"strip": intdiv("y", tile * STRIP_TILES), "tile_y": intdiv("y", tile), "tile_x": intdiv("x", tile)}
+    )
+    write_tiles(keyed, path, ["band", "strip"], ["tile_y", "tile_x", "y", "x"])
+
+
+def read_window(stored: DataFrame, tile: int, band: int, y0: int, x0: int, h: int, w: int) -> DataFrame:
+    """One window of one band of a stored raster; every condition is pushed to the scan."""
+    last_y, last_x = y0 + h - 1, x0 + w - 1
+    size = tile * STRIP_TILES
+    near = stored.filter(
+        (F.col("band") == band)
+        & F.col("strip").between(y0 // size, last_y // size)
+        & F.col("tile_y").between(y0 // tile, last_y // tile)
+        & F.col("tile_x").between(x0 // tile, last_x // tile)
+    )
+    return window_scan(near, y0, x0, h, w)
+
+
 def explode_tiles(pixels: DataFrame, tile: int, width: int) -> DataFrame:
     """Tile id plus the pixel position inside its tile."""
     y0, x0 = tile_origin(F.col("tile_id"), width, tile)
