@@ -15,7 +15,7 @@ from swathline.session import cut_lineage
 def running_totals(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
     """Adds ``<c>_before`` and ``<c>_total`` for each column; ``order`` must be unique.
 
-    The range number of a row is fixed by a checkpoint, because range bounds are sampled.
+    The range number of a row is fixed in a stored table, because range bounds are sampled.
     """
     ranged = cut_lineage(df.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
     totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])

@@ -40,7 +40,7 @@ def create_keyed_table(df: DataFrame, path: str, keys: list[str], buckets: int =
 def upsert_table(spark: SparkSession, path: str, source: DataFrame, keys: list[str], buckets: int = 16) -> None:
     """Upsert into a keyed table: only buckets that receive source keys are rewritten.
 
-    The merged buckets are checkpointed before the overwrite, so a lost executor or a
+    The merged buckets are stored aside before the overwrite, so a lost executor or a
     repeated batch leads to the same table.
     """
     incoming = cut_lineage(source.withColumn("bucket", _bucket(keys, buckets)))

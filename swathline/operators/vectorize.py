@@ -2,7 +2,7 @@
 
 Only the first labelling inside a tile uses a Python kernel, on a group of at most
 tile*tile pixels. Everything that spans tiles is an iterative join on keys that
-are unique or salted, with a reliable checkpoint per round.
+are unique or salted, with a stored table per round.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathline.functions.numeric import intdiv
@@ -143,7 +143,8 @@ def component_summary(labelled: DataFrame, cell_area: float = 1.0) -> DataFrame:
 
 def dilate(mask: DataFrame, reach: int, width: int, height) -> DataFrame:
     """Square dilation by ``reach`` pixels; the union of all squares, clipped to the raster."""
-    rows = F.sequence(F.greatest(F.col("y") - reach, F.lit(0)), F.least(F.col("y") + reach, height - 1))
+    bottom = (height if isinstance(height, Column) else F.lit(height)) - 1
+    rows = F.sequence(F.greatest(F.col("y") - reach, F.lit(0)), F.least(F.col("y") + reach, bottom))
     cols = F.sequence(F.greatest(F.col("x") - reach, F.lit(0)), F.least(F.col("x") + reach, F.lit(width - 1)))
     wide = mask.select(F.explode(rows).alias("y"), "x").distinct()
     return wide.select("y", F.explode(cols).alias("x")).distinct()

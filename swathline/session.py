@@ -1,6 +1,6 @@
-"""Session helpers: scratch folder and reliable checkpoints.
+"""Session helpers: scratch folder and lineage cuts.
 
-Scratch tables and checkpoints live in the shared folder named by
+Scratch tables live in the shared folder named by
 ``spark.checkpoint.dir``. Only a local-mode session without that setting
 (tests, a laptop) gets a folder of its own; a cluster session without it is an
 error, because a machine-local folder would vanish with its executor.
@@ -56,6 +56,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of any executor."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows read back from a table in the shared folder.
+
+    The table survives the loss of any executor. Unlike a checkpointed plan it carries
+    its true size, so later joins are planned by it, and no inferred constraints, which
+    would double with every round of an iterative job.
+    """
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
