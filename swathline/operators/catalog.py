@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,13 +13,15 @@ from swathline.session import cut_lineage
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
     """Matched rows take the source, new rows are inserted, the rest stays.
 
-    Source rows are first combined per key; a repeated source key raises.
+    A repeated source key raises. The check numbers rows per key on the exchange and
+    sort that the join needs anyway.
     """
     values = [c for c in target.columns if c not in keys]
-    single = F.when(F.count("*") == 1, F.first(F.struct(*values))).otherwise(
-        F.raise_error(F.lit("upsert source holds a key twice"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    single = F.when(number == 1, F.lit(True)).otherwise(
+        F.raise_error(F.lit("upsert source holds a key twice")).cast("boolean")
     )
-    src = source.groupBy(*keys).agg(single.alias("s"), F.lit(True).alias("has_s"))
+    src = source.select(*keys, F.struct(*values).alias("s"), single.alias("has_s"))
     tgt = target.select(*keys, F.struct(*values).alias("t"))
     merged = tgt.join(src, keys, "full")
     return merged.select(
@@ -158,13 +160,13 @@ def unique_names(df: DataFrame, name: str, key: str) -> DataFrame:
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The newest row per key, as a combined aggregate instead of a ranked window."""
     rest = [c for c in df.columns if c != key]
-    newest = F.max_by(F.struct(*rest), F.struct(*order))
+    newest = F.max_by(F.struct(*rest), F.struct(*order) if len(order) > 1 else F.col(order[0]))
     return df.groupBy(key).agg(newest.alias("r")).select(key, "r.*")
 
 
 def dedupe(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first in ``order``."""
     rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+    return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order) if len(order) > 1 else F.col(order[0])).alias("r")).select(*keys, "r.*")
 
 

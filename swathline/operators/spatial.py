@@ -58,8 +58,11 @@ def points_in_polygons(
     right = _covering_cells(polygons, F.col("box"), cell).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
+    box = F.col("box")
+    # The box test is cheap and drops most candidates before the ring is walked.
+    near = F.col("px").between(box.x0, box.x1) & F.col("py").between(box.y0, box.y1)
     hit = test(F.col("px"), F.col("py"), F.col("ring"))
-    return left.join(right, ["cy", "cx", "salt"]).filter(hit).drop("cy", "cx", "salt")
+    return left.join(right, ["cy", "cx", "salt"]).filter(near & hit).drop("cy", "cx", "salt")
 
 
 def boxes_intersecting(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:

@@ -155,36 +155,31 @@ def boundary_edges(cells: DataFrame, label: str) -> DataFrame:
     hand when walking with y downwards.
 
     Every cell emits its four sides under an undirected key; a side met by one cell of
-    a label only is boundary.
+    a label only is boundary. Sides: 0 top, 1 left, 2 bottom, 3 right, walked in this order.
     """
-    y, x = F.col("y"), F.col("x")
-
-    def side(no, axis, ky, kx, sy, sx, ey, ex):
-        return F.struct(
-            F.lit(no).alias("side"),
-            F.lit(axis).alias("axis"),
-            ky.alias("ky"),
-            kx.alias("kx"),
-            sy.alias("sy"),
-            sx.alias("sx"),
-            ey.alias("ey"),
-            ex.alias("ex"),
-        )
+    side = F.col("side")
 
-    sides = F.array(
-        side(0, "h", y, x, y, x + 1, y, x),
-        side(1, "v", y, x, y, x, y + 1, x),
-        side(2, "h", y + 1, x, y + 1, x, y + 1, x + 1),
-        side(3, "v", y, x + 1, y + 1, x + 1, y, x + 1),
-    )
-    halves = cells.select(label, "y", "x", F.explode(sides).alias("s")).select(
-        label, "s.axis", "s.ky", "s.kx", F.struct("y", "x", "s.side", "s.sy", "s.sx", "s.ey", "s.ex").alias("half")
+    def shift(*sides):
+        return side.isin(*sides).cast("int")
+
+    halves = cells.select(label, "y", "x", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("side")).withColumns(
+        {"axis": side % 2, "ky": F.col("y") + shift(2), "kx": F.col("x") + shift(3)}
     )
-    return (
+    # Plain columns only, so that the aggregate hashes instead of sorting.
+    single = (
         halves.groupBy(label, "axis", "ky", "kx")
-        .agg(F.count("*").alias("n"), F.max("half").alias("half"))
+        .agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in ("y", "x", "side")])
         .filter(F.col("n") == 1)
-        .select(label, "half.*")
+    )
+    return single.select(
+        label,
+        "y",
+        "x",
+        "side",
+        (F.col("y") + shift(2, 3)).alias("sy"),
+        (F.col("x") + shift(0, 3)).alias("sx"),
+        (F.col("y") + shift(1, 2)).alias("ey"),
+        (F.col("x") + shift(2, 3)).alias("ex"),
     )
 
 

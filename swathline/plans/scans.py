@@ -444,8 +444,8 @@ def scene_search(spark, folder):
         & (F.col("y1") >= 17)
     )
     dated = fixtures.jobs(spark, folder).filter(
-        (F.col("created_at") >= F.lit("1996-06-01").cast("timestamp"))
-        & (F.col("created_at") < F.lit("1999-06-01").cast("timestamp"))
+        (F.col("created_at") >= F.lit("1996-06-01").cast("timestamp_ntz"))
+        & (F.col("created_at") < F.lit("1999-06-01").cast("timestamp_ntz"))
     )
     per_scene = dated.groupBy("scene_id").agg(F.count("*").alias("jobs"))
     return found.join(per_scene, "scene_id").select("scene_id", "product_type", "jobs")

@@ -58,12 +58,15 @@ def upsert_stream(stream: DataFrame, table_path: str, checkpoint: str, keys: lis
 
 def daily_mean(stream: DataFrame, out: str, checkpoint: str, delay: str = "1 day") -> None:
     """Mean value per day, emitted once the watermark has passed the end of the day."""
+    # Event time without a zone is read as UTC, whatever the session zone is.
+    since_epoch = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
+    start_day = F.floor(F.unix_seconds("window.start") / 86400).cast("int")
     days = (
-        stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        stream.withColumn("ts", F.timestamp_micros(since_epoch))
         .withWatermark("ts", delay)
         .groupBy(F.window("ts", "1 day"))
         .agg(F.avg("value").alias("mean_value"), F.count("*").alias("n"))
-        .select(F.to_date("window.start").cast("string").alias("day"), "mean_value", "n")
+        .select(F.date_add(F.lit("1970-01-01").cast("date"), start_day).cast("string").alias("day"), "mean_value", "n")
     )
     _finish(
         days.writeStream.format("parquet")
