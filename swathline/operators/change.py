@@ -55,6 +55,33 @@ def flood_tiles(
     return _report(stats, head, tile)
 
 
+def flood_tiles_chunked(
+    pre: DataFrame,
+    post: DataFrame,
+    head: Header,
+    tile: int = DEFAULT_TILE,
+    threshold: float = FLOOD_THRESHOLD_DB,
+) -> DataFrame:
+    """The same report from chunk tables (tile_id, cells): one row per tile and raster is
+    joined instead of every pixel, and cells are compared position by position."""
+    a, b = F.col("a"), F.col("b")
+    both = pre.select("tile_id", F.col("cells").alias("a")).join(
+        post.select("tile_id", F.col("cells").alias("b")), "tile_id", "left"
+    )
+    moved = F.exists(F.zip_with(a, b, lambda p, q: (p.y != q.y) | (p.x != q.x)), lambda m: m)
+    marks = F.zip_with(a, b, lambda p, q: below(change_db(p.value, q.value), threshold))
+    n_post = F.coalesce(F.size(b), F.lit(0))
+    unlike = (F.size(a) != n_post) | moved
+    stats = both.select(
+        "tile_id",
+        F.size(a).alias("n_pre"),
+        F.when(unlike, F.lit(-1)).otherwise(n_post).alias("n_post"),
+        F.array_max(F.transform(a, lambda p: p.value)).alias("max_pre"),
+        F.when(~unlike, F.aggregate(marks, F.lit(0), lambda n, m: n + m)).alias("hits"),
+    )
+    return _report(stats, head, tile)
+
+
 def tile_state(n_pre: Column, n_post: Column, max_pre: Column) -> Column:
     return (
         F.when(F.coalesce(n_pre, F.lit(0)) == 0, "EMPTY_TILE")

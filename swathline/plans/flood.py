@@ -10,6 +10,7 @@ from swathline.functions.tiling import with_tile_box
 from swathline.operators import change, otsu
 from swathline.plans.fragments import DIFF, sql
 from swathline.plans.registry import query
+from swathline.session import scratch_path
 from swathline.sources import fixtures, raster
 
 TILE, WIDTH = fixtures.TILE, fixtures.WIDTH
@@ -38,24 +39,35 @@ def _snapped(tiles):
     return tiles.withColumns({c: snap(F.col(c), 6) for c in ("min_lon", "min_lat", "max_lon", "max_lat")})
 
 
-@query(
-    "flood_tiles",
-    sql(
-        f"""SELECT tile_id, CASE WHEN ok THEN hits ELSE 0 END AS pixel_count,
-              CASE WHEN ok THEN 'SUCCESS' ELSE 'EMPTY_LAND' END AS status,
-              '(' || height || ', 256)' AS raster_shape, '(' || h || ', ' || w || ')' AS tile_shape, {_BOUNDS}
-            FROM (SELECT t.*, f.hits, f.max_pre > 0 AS ok, height
-                  FROM tiles t JOIN (SELECT tile_id, CAST(sum(mask) AS BIGINT) AS hits, max(pre) AS max_pre
-                                     FROM fl GROUP BY tile_id) f USING (tile_id), hd) s
-            ORDER BY tile_id""",
-        "fl",
-        "tiles",
-    ),
+_TILES_SQL = sql(
+    f"""SELECT tile_id, CASE WHEN ok THEN hits ELSE 0 END AS pixel_count,
+          CASE WHEN ok THEN 'SUCCESS' ELSE 'EMPTY_LAND' END AS status,
+          '(' || height || ', 256)' AS raster_shape, '(' || h || ', ' || w || ')' AS tile_shape, {_BOUNDS}
+        FROM (SELECT t.*, f.hits, f.max_pre > 0 AS ok, height
+              FROM tiles t JOIN (SELECT tile_id, CAST(sum(mask) AS BIGINT) AS hits, max(pre) AS max_pre
+                                 FROM fl GROUP BY tile_id) f USING (tile_id), hd) s
+        ORDER BY tile_id""",
+    "fl",
+    "tiles",
 )
+
+
+@query("flood_tiles", _TILES_SQL)
 def flood_tiles(spark, folder):
     return _snapped(_tiles(spark, folder)).orderBy("tile_id")
 
 
+@query("flood_tiles_chunked", _TILES_SQL)
+def flood_tiles_chunked(spark, folder):
+    """The chunk-store form: both rasters stored in buckets by tile, joined without an exchange."""
+    stored = []
+    for scene in (fixtures.pre_raster(spark, folder), fixtures.post_raster(spark, folder)):
+        path = scratch_path(spark, "chunks")
+        name = "chunks_" + path.rsplit("-", 1)[1]
+        stored.append(raster.store_chunks(raster.rechunk(scene, TILE, WIDTH), name, path, buckets=8))
+    return _snapped(change.flood_tiles_chunked(*stored, fixtures.header(spark, folder), TILE))
+
+
 @query(
     "flood_tiles_gaps",
     sql(
@@ -175,7 +187,7 @@ def map_algebra(spark, folder):
 @query(
     "tile_grid",
     sql(
-        """SELECT r*4 + c AS tile_id, r*64 AS y0, c*64 AS x0, least(64, height - r*64) AS h, 64 AS w
+        """SELECT r*4 + c AS tile_id, r*64 AS y0, c*64 AS x0, least(64, height - r*64) AS h, CAST(64 AS BIGINT) AS w
            FROM hd, (SELECT unnest(range(4)) AS c) cc, (SELECT unnest(range((SELECT (max(y) + 64)//64 FROM px))) AS r) rr""",
         "hd",
     ),

@@ -98,7 +98,7 @@ FRAGMENTS = {
     "tiles": (
         ("px", "hd"),
         """SELECT tile_id, (tile_id//4)*64 AS y0, (tile_id%4)*64 AS x0,
-             least(64, height - (tile_id//4)*64) AS h, 64 AS w
+             least(64, height - (tile_id//4)*64) AS h, CAST(64 AS BIGINT) AS w
            FROM (SELECT DISTINCT tile_id FROM px) d, hd""",
     ),
 }

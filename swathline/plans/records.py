@@ -290,8 +290,10 @@ def distinct_values(spark, folder):
 
 @query(
     "dedupe_keys",
-    """SELECT l_partkey, l_suppkey, arg_min(l_extendedprice, l_orderkey*7 + l_linenumber) AS price,
-         min(l_orderkey*7 + l_linenumber) AS first_row FROM lineitem GROUP BY 1, 2""",
+    """SELECT l_partkey, l_suppkey, r AS first_row, min(p) AS price
+       FROM (SELECT l_partkey, l_suppkey, l_orderkey*7 + l_linenumber AS r, l_extendedprice AS p,
+               min(l_orderkey*7 + l_linenumber) OVER (PARTITION BY l_partkey, l_suppkey) AS m FROM lineitem) s
+       WHERE r = m GROUP BY 1, 2, 3""",
 )
 def dedupe_keys(spark, folder):
     rows = table(spark, folder, "lineitem").select(

@@ -66,7 +66,7 @@ def pixel_timeseries(spark, folder):
     from pyspark.sql import Window
 
     line = cube.series(fixtures.cube(spark, folder))
-    step = F.row_number().over(Window.partitionBy("y", "x").orderBy("t"))
+    step = F.row_number().over(Window.partitionBy("y", "x").orderBy("t")).cast("bigint")
     return line.withColumn("step", step).select(
         "y", "x", F.col("t").cast("string").alias("t"), snap(F.col("db"), 6).alias("db"),
         F.col("prev_t").cast("string").alias("prev_t"), "step",

@@ -38,6 +38,14 @@ def rechunk(pixels: DataFrame, tile: int, width: int, by: tuple[str, ...] = ())
     )
 
 
+def store_chunks(chunks: DataFrame, name: str, path: str, buckets: int) -> DataFrame:
+    """A chunk table bucketed by tile: rasters stored with equal bucket counts are joined
+    by tile without any exchange. A chunk holds a whole tile, so buckets stay even."""
+    writer = chunks.write.bucketBy(buckets, "tile_id").sortBy("tile_id").mode("overwrite")
+    writer.option("path", path).saveAsTable(name)
+    return chunks.sparkSession.table(name)
+
+
 def unchunk(chunks: DataFrame) -> DataFrame:
     keep = [c for c in chunks.columns if c != "cells"]
     return chunks.select(*keep, F.inline("cells"))

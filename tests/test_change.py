@@ -152,3 +152,29 @@ def test_mosaic_and_flip(spark):
     assert got == {(0, 0): (5.0, 1), (0, 1): (2.0, 0)}
     assert raster.flipped_affine(Affine(0.0, 1.0, 10.0, 2.0), 5) == Affine(0.0, 1.0, 20.0, -2.0)
     assert [r.y for r in raster.flip_north_up(first, 4).collect()] == [3, 3]
+
+
+def test_chunked_detection_needs_no_exchange(spark, folder):
+    from swathline.plans.flood import flood_tiles_chunked
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tiles = flood_tiles_chunked(spark, folder)
+        plan = tiles._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert sum(r.pixel_count for r in tiles.collect()) == 1609
+
+
+def test_chunked_states(spark):
+    pre = grid(spark, {(0, 0): 1.0, (0, 1): 1.0, (0, 2): 0.0, (0, 3): 0.0, (0, 4): 5.0, (0, 6): 1.0})
+    post = grid(spark, {(0, 0): 0.1, (0, 1): 1.0, (0, 2): 3.0, (0, 3): 0.0, (0, 7): 1.0})
+    got = change.flood_tiles_chunked(raster.rechunk(pre, 2, 8), raster.rechunk(post, 2, 8), Header(8, 2, AFFINE), 2)
+    assert {r.tile_id: (r.status, r.pixel_count) for r in got.collect()} == {
+        0: ("SUCCESS", 1),
+        1: ("EMPTY_LAND", 0),
+        2: ("ERROR : shape mismatch", 0),
+        3: ("ERROR : shape mismatch", 0),
+    }
