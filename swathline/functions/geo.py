@@ -130,8 +130,8 @@ def ring_bbox(ring: Column) -> Column:
     )
 
 
-def _edges(ring: Column) -> Column:
-    """Pairs of consecutive ring points."""
+def ring_edges(ring: Column) -> Column:
+    """Pairs of consecutive ring points; worth computing once per polygon, before a join."""
     n = F.size(ring)
     return F.zip_with(
         F.slice(ring, F.lit(1), n - 1),
@@ -140,7 +140,7 @@ def _edges(ring: Column) -> Column:
     )
 
 
-def on_ring(px: Column, py: Column, ring: Column) -> Column:
+def on_ring(px: Column, py: Column, edges: Column) -> Column:
     def touches(s):
         cross = (s.bx - s.ax) * (py - s.ay) - (s.by - s.ay) * (px - s.ax)
         return (
@@ -151,10 +151,10 @@ def on_ring(px: Column, py: Column, ring: Column) -> Column:
             & (py <= F.greatest(s.ay, s.by))
         )
 
-    return F.exists(_edges(ring), touches)
+    return F.exists(edges, touches)
 
 
-def crosses_odd(px: Column, py: Column, ring: Column) -> Column:
+def crosses_odd(px: Column, py: Column, edges: Column) -> Column:
     """Even-odd rule: does a ray to the right cross the ring an odd number of times."""
 
     def hit(s):
@@ -162,15 +162,15 @@ def crosses_odd(px: Column, py: Column, ring: Column) -> Column:
         at = s.ax + F.try_divide((py - s.ay) * (s.bx - s.ax), s.by - s.ay)
         return F.coalesce(straddles & (px < at), F.lit(False))
 
-    return F.size(F.filter(_edges(ring), hit)) % 2 == 1
+    return F.size(F.filter(edges, hit)) % 2 == 1
 
 
-def strictly_inside(px: Column, py: Column, ring: Column) -> Column:
-    return ~on_ring(px, py, ring) & crosses_odd(px, py, ring)
+def strictly_inside(px: Column, py: Column, edges: Column) -> Column:
+    return crosses_odd(px, py, edges) & ~on_ring(px, py, edges)
 
 
-def inside_or_on(px: Column, py: Column, ring: Column) -> Column:
-    return on_ring(px, py, ring) | crosses_odd(px, py, ring)
+def inside_or_on(px: Column, py: Column, edges: Column) -> Column:
+    return crosses_odd(px, py, edges) | on_ring(px, py, edges)
 
 
 def parse_ring(wkt: str) -> list[tuple[float, float]]:

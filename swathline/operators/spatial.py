@@ -19,6 +19,7 @@ from swathline.functions.geo import (
     pixel_x,
     pixel_y,
     ring_bbox,
+    ring_edges,
     strictly_inside,
     wkt_points,
 )
@@ -55,14 +56,15 @@ def points_in_polygons(
             "salt": F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int"),
         }
     )
-    right = _covering_cells(polygons, F.col("box"), cell).withColumn(
+    right = polygons.withColumn("edges", ring_edges(F.col("ring")))
+    right = _covering_cells(right, F.col("box"), cell).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     box = F.col("box")
     # The box test is cheap and drops most candidates before the ring is walked.
     near = F.col("px").between(box.x0, box.x1) & F.col("py").between(box.y0, box.y1)
-    hit = test(F.col("px"), F.col("py"), F.col("ring"))
-    return left.join(right, ["cy", "cx", "salt"]).filter(near & hit).drop("cy", "cx", "salt")
+    hit = test(F.col("px"), F.col("py"), F.col("edges"))
+    return left.join(right, ["cy", "cx", "salt"]).filter(near & hit).drop("cy", "cx", "salt", "edges")
 
 
 def boxes_intersecting(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
@@ -105,12 +107,8 @@ def clip_to_region(pixels: DataFrame, wkt: str, affine: Affine) -> DataFrame:
 
 
 def zone_stats(pixels: DataFrame, polygons: DataFrame, cell: float = 10.0) -> DataFrame:
-    """Flooded and total pixels per zone from (px, py, mask) pixels.
-
-    Pixels are first reduced to counts per distinct position, then joined and summed.
-    """
-    positions = pixels.groupBy("px", "py").agg(
-        F.count("*").alias("n"), F.sum("mask").alias("hits"), F.min(F.xxhash64("px", "py")).alias("point_id")
-    )
-    joined = points_in_polygons(positions, polygons, "within", cell)
-    return joined.groupBy("zone_id").agg(F.sum("n").alias("pixels"), F.sum("hits").alias("flooded"))
+    """Flooded and total pixels per zone from (px, py, mask) pixels; a zone layer under
+    the broadcast threshold joins without moving the pixels."""
+    keyed = pixels.withColumn("point_id", F.xxhash64("px", "py"))
+    joined = points_in_polygons(keyed, polygons, "within", cell)
+    return joined.groupBy("zone_id").agg(F.count("*").alias("pixels"), F.sum("mask").alias("flooded"))

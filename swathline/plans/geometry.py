@@ -54,7 +54,7 @@ def make_envelope(spark, folder):
     px, py = F.col("px"), F.col("py")
     boxed = fixtures.points(spark, folder).withColumn("wkt", geo.box_wkt(px - half, py - half, px + half, py + half))
     parsed = spatial.parse_polygons(boxed)
-    inside = geo.strictly_inside(px, py, F.col("ring"))
+    inside = geo.strictly_inside(px, py, geo.ring_edges(F.col("ring")))
     return parsed.select(
         "point_id", F.col("box.x0"), F.col("box.y1"), F.size("ring").cast("bigint").alias("points"),
         inside.cast("int").alias("holds_centre"),

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline.operators.catalog import upsert_table
+from swathline.sources.tables import table
 
 TIMEOUT = 600
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 50) -> DataFrame:
     """A table folder as a file stream, a bounded number of files per batch."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
+    schema = table(spark, folder, name).schema
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
