@@ -7,6 +7,7 @@ are unique or salted, with a stored table per round.
 
 from __future__ import annotations
 
+import functools
 import itertools
 
 import numpy as np
@@ -220,29 +221,7 @@ def trace_rings(labelled: DataFrame, width: int) -> DataFrame:
             (F.col("ex") * F.col("sy") - F.col("sx") * F.col("ey")).alias("cross"),
         )
     )
-    walk = linked.select("e", F.col("next").alias("ptr"), F.col("e").alias("low"), F.lit(0).cast("bigint").alias("steps"))
-    hop = 1
-    for _ in range(MAX_ROUNDS):
-        ahead = walk.select(
-            F.col("e").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"), F.col("steps").alias("steps2")
-        )
-        better = F.col("low2") < F.col("low")
-        walk = cut_lineage(
-            walk.join(ahead, "ptr").select(
-                "e",
-                F.col("ptr2").alias("ptr"),
-                F.least("low", "low2").alias("low"),
-                F.when(better, F.lit(hop) + F.col("steps2")).otherwise(F.col("steps")).alias("steps"),
-                better.alias("moved"),
-            )
-        )
-        hop *= 2
-        if walk.filter("moved").isEmpty():
-            break
-        walk = walk.drop("moved")
-    else:
-        raise RuntimeError("ring tracing did not settle")
-    return linked.join(walk.select("e", "low", "steps"), "e").select(
+    return linked.join(_order_rings(linked), "e").select(
         "component",
         F.col("low").alias("ring"),
         F.col("steps").alias("seq"),
@@ -253,6 +232,42 @@ def trace_rings(labelled: DataFrame, width: int) -> DataFrame:
     )
 
 
+def _order_rings(linked: DataFrame) -> DataFrame:
+    """(e, low, steps): the smallest edge of the ring of ``e`` and the distance to it.
+
+    After k rounds an edge has seen ``reach`` = 2^k edges ahead. Meeting its smallest edge a
+    second time shows that it has seen the whole ring, and how long the ring is at most;
+    once the reach is twice that, the ring is done and leaves the table.
+    """
+    none = F.lit(None).cast("bigint")
+    walk = linked.select(
+        "e", F.col("next").alias("ptr"), F.col("e").alias("low"), F.lit(0).cast("bigint").alias("steps"), none.alias("length")
+    )
+    reach, done = 1, []
+    while True:
+        ahead = walk.select(
+            F.col("e").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("low").alias("low2"), F.col("steps").alias("steps2")
+        )
+        further = F.col("steps2") + F.lit(reach)
+        again = F.when((F.col("low") == F.col("low2")) & (further != F.col("steps")), further - F.col("steps"))
+        # The edge ahead may have left already; then this edge is final as well.
+        walk = cut_lineage(
+            walk.join(ahead, "ptr", "left").select(
+                "e",
+                F.coalesce("ptr2", "ptr").alias("ptr"),
+                F.least("low", "low2").alias("low"),
+                F.when(F.col("low2") < F.col("low"), further).otherwise(F.col("steps")).alias("steps"),
+                F.coalesce("length", again).alias("length"),
+            )
+        )
+        reach *= 2
+        final = F.coalesce(F.col("length") * 2 <= F.lit(reach), F.lit(False))
+        done.append(walk.filter(final).select("e", "low", "steps"))
+        walk = walk.filter(~final)
+        if walk.isEmpty():
+            return functools.reduce(DataFrame.unionByName, done)
+
+
 def ring_summary(rings: DataFrame) -> DataFrame:
     """Per component: rings, holes, perimeter, corners and area from the traced rings."""
     per_ring = rings.groupBy("component", "ring").agg(
@@ -306,16 +321,16 @@ def simplify_rings(vertices: DataFrame, tolerance: float) -> DataFrame:
         F.min_by(here, "seq").alias("a"), (F.max("seq") + 1).alias("end")
     )
     # The closing copy of the first vertex carries the sequence number ``end``.
-    state = points.join(starts, "ring").select(
+    segments = points.join(starts, "ring").select(
         "ring", "seq", "vx", "vy",
         F.col("a.seq").alias("lo"), F.col("a.vx").alias("ax"), F.col("a.vy").alias("ay"),
         F.col("end").alias("hi"), F.col("a.vx").alias("bx"), F.col("a.vy").alias("by"),
         (F.col("seq") == F.col("a.seq")).alias("kept"),
     )
     forced = 2
+    kept = [segments.filter("kept")]
+    open_rows = cut_lineage(segments.filter(~F.col("kept")))
     for round_no in itertools.count():
-        state = cut_lineage(state)
-        open_rows = state.filter(~F.col("kept"))
         if open_rows.isEmpty():
             break
         far = _offset(*[F.col(c) for c in ("vx", "vy", "ax", "ay", "bx", "by")])
@@ -332,7 +347,8 @@ def simplify_rings(vertices: DataFrame, tolerance: float) -> DataFrame:
             split, hold = F.col("top_far") > F.lit(tolerance), F.lit(False)
         joined = _join_segment(open_rows, best)
         before = F.col("seq") < F.col("top.seq")
-        moved = joined.filter(split | hold).select(
+        moved = joined.filter(split | hold)
+        moved = moved.select(
             "ring", "seq", "vx", "vy",
             F.when(split & ~before, F.col("top.seq")).otherwise(F.col("lo")).alias("lo"),
             F.when(split & ~before, F.col("top.vx")).otherwise(F.col("ax")).alias("ax"),
@@ -342,5 +358,7 @@ def simplify_rings(vertices: DataFrame, tolerance: float) -> DataFrame:
             F.when(split & before, F.col("top.vy")).otherwise(F.col("by")).alias("by"),
             (split & (F.col("seq") == F.col("top.seq"))).alias("kept"),
         )
-        state = state.filter("kept").unionByName(moved)
-    return state.filter("kept").select("ring", "seq", "vx", "vy")
+        moved = cut_lineage(moved)
+        kept.append(moved.filter("kept"))
+        open_rows = moved.filter(~F.col("kept"))
+    return functools.reduce(DataFrame.unionByName, kept).select("ring", "seq", "vx", "vy")
