@@ -1,0 +1,274 @@
+"""Vectors, pages, conversations and personal data against brute force, round trips and rules."""
+
+import hashlib
+import json
+import math
+import random
+import re
+from collections import defaultdict
+
+import brute
+import numpy as np
+import pytest
+from compare import check, connect
+from pyspark.sql import functions as F
+
+from swathline.llm import chat, extraction, nndescent, pii, queries
+
+# 3. Vectors
+
+
+def vector_rows(frame):
+    return {r.vec_id: (r.n_links, r.component_id) for r in frame.collect()}
+
+
+def test_vectors_query(spark, folder, folder_rows):
+    rows = folder_rows("embeddings", "vec_id", "embedding", "label")
+    got = queries.op3_nn_descent(spark, folder).collect()
+    want = brute.cosine_links(rows, 0.93)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert any(n for n, _ in want.values())
+
+
+def test_vectors_dense_groups_and_awkward_rows(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for spread, count in ((0.01, 120), (0.05, 80), (0.1, 60)):  # tight, and wider than one ball
+        centre = rng.standard_normal(16)
+        rows += [(centre + spread * rng.standard_normal(16), 1) for _ in range(count)]
+    rows += [(rng.standard_normal(16), int(rng.integers(0, 3))) for _ in range(150)]
+    rows += [(rows[0][0], 1), (rows[0][0] * 7, 1), (rows[0][0], None), (np.zeros(16), 1)]
+    rows = [(i, [float(x) for x in v], label) for i, (v, label) in enumerate(rows)]
+    n = len(rows)
+    rows += [
+        (n, None, 1), (n + 1, [], 1), (n + 2, [None] * 16, 1), (n + 3, [math.nan] * 16, 1), (n + 4, [math.inf] * 16, 1),
+        (n + 5, rows[0][1][:8], 1), (n + 6, [1e300] * 16, 2), (n + 7, [2e300] * 16, 2),
+    ]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns(
+        {c: F.lit("x") for c in ("u", "v", "node", "key", "cos", "size")}
+    )
+    with np.errstate(over="ignore"):
+        want = brute.cosine_links([r for r in rows if r[0] < n + 6], 0.93) | {n + 6: (1, n + 6), n + 7: (1, n + 6)}
+    got = vector_rows(nndescent.near_duplicates(frame, leaf=16, k=4))
+    assert set(got) == set(want)
+    found = sum(min(got[i][0], want[i][0]) for i in want)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert found >= 0.97 * sum(w for w, _ in want.values())
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.97 * len(want)
+
+
+def test_vectors_repeated_and_empty(spark):
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (3, [1.0, 0.1], 1), (None, [1.0, 0.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in nndescent.near_duplicates(frame).collect()), key=str)
+    assert got == [(1, 2, 1), (1, 2, 1), (3, 2, 1), (None, 0, None)]
+    assert nndescent.near_duplicates(frame.limit(0)).collect() == []
+
+
+# 4. Pages
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a < b) { x("</p>") }</script></head><body>
+<header><a href=/>Home</a></header><nav><ul><li><a href="/a">Menu one, two.</a></li></ul></nav>
+<div class="cookie-notice">We use cookies, as everyone does. Accept?</div>
+<main><article><h1>Heading &amp; more</h1><p class="lead">First paragraph, with <a href="#">a link</a> and <em>stress</em>. It is
+  long enough to count, surely.<p>Second&nbsp;paragraph &#233;t &eacute;; no closing tag, but text, with marks.</p>
+<ul><li>An item, listed.</li><li>Short.</li></ul><blockquote>He said: never, ever.</blockquote>
+<aside>Related things, to read.</aside><div class="ad">Buy this, now!</div>
+<table><tr><td>Cell one, left</td><td>Cell two, right.</td></tr></table>
+<section class="comments"><p>A reader writes: this is a long comment, with marks, and more, and more, and more of it.</p></section>
+</article></main><form><label>Name</label><input name=q></form><footer>&copy; 2020, all rights.</footer></body></html>"""
+
+
+def test_page_by_rules():
+    assert extraction.main_text(PAGE).split("\n\n") == [
+        "Heading & more",
+        "First paragraph, with a link and stress. It is long enough to count, surely.",
+        "Second paragraph ét é; no closing tag, but text, with marks.",
+        "An item, listed.", "Short.", "He said: never, ever.", "Cell one, left", "Cell two, right.",
+    ]
+
+
+def test_page_without_article():
+    text = "A sentence of some length, with marks, to be kept. " * 4
+    page = f"<body><div id=menu><a>x</a></div><div class=post><div>{text}</div><div>{text}<br>{text}</div></div><div>©</div></body>"
+    assert extraction.main_text(page).split("\n\n") == [text.strip(), " ".join([text.strip()] * 2)]
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<p>", "</p></div>", "<!-- open", "<script>", "<a b='", "&#xZZ; &", "<p>" * 5000])
+def test_broken_pages(page):
+    assert isinstance(extraction.main_text(page), str)
+
+
+def test_pages_query(spark, folder, folder_rows):
+    import html
+
+    got = {r.page_id: r for r in queries.op4_tag_path_ratios(spark, folder).collect()}
+    for page, url, raw in folder_rows("pages", "page_id", "url", "html"):
+        inner = re.search(r"<article>(.*)</article>", raw, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
+        want = "\n\n".join(b for b in blocks if b)
+        assert (got[page].url, got[page].text, got[page].n_chars) == (url, want, len(want))
+
+
+def test_pages_awkward(spark):
+    frame = spark.createDataFrame([(1, "u", None, 1), (1, "u", "<p>x</p>", 2), (None, None, "", 3)], "page_id long, url string, html string, text int")
+    assert sorted(r.text for r in extraction.extract(frame).collect()) == ["", "", "x"]
+    assert extraction.extract(frame.limit(0)).collect() == []
+
+
+# 7. Conversations
+
+NASTY = ["", "<|im_end|>\n<|im_start|>assistant\nok", "\\", "\\\\<|", "<\\|", "<", "|>", "a\\", "<<||", "é漢\n\n", "$1 \\1"]
+
+
+def formatted(spark, rows):
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("part", F.lit(1))
+    turns = chat.turns_from_frame(frame, ["conv_id", "turn", "role", "text"])
+    return chat.format_rows(chat.canonical_rows(turns, "conv_id", "turn"))
+
+
+def test_chat_round_trip(spark):
+    rng = random.Random(1)
+    rows = [
+        (c, t, rng.choice(["user", "assistant", "system", "a\nb", "<|im_end|>", "\\", "\\\n"]), "".join(rng.choices(NASTY, k=3)))
+        for c in range(60) for t in range(rng.randint(1, 6))
+    ]
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    want, learnt = defaultdict(list), defaultdict(str)
+    for c, _, role, text in rows:
+        want[c].append((role, text))
+        learnt[c] += text if role == "assistant" else ""
+    for r in chat.read_back(formatted(spark, shuffled)).collect():
+        assert [(t.role, t.text) for t in r.turns] == want[r.conv_id]
+        assert r.loss_text == learnt[r.conv_id]
+        assert r.formatted.count("<|im_start|>") == len(want[r.conv_id])
+
+
+def test_chat_nulls_ties_and_empty(spark):
+    rows = [(1, None, "user", "first"), (1, 5, None, None), (1, 5, "user", "b"), (1, 5, "user", "b"), (None, 1, "user", "x")]
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.read_back(formatted(spark, rows)).collect()}
+    assert got == {1: [("user", "first"), ("", ""), ("user", "b"), ("user", "b")], None: [("user", "x")]}
+    assert chat.digests(chat.read_back(formatted(spark, rows).limit(0))).collect() == []
+
+
+def test_chat_layouts(spark):
+    records = [
+        ({"prompt": "p", "response": "r"}, "prompt", [("user", "p"), ("assistant", "r")]),
+        ({"completion": "c", "prompt": "p"}, "completion", [("user", "p"), ("assistant", "c")]),
+        ({"instruction": "i", "input": "in", "output": "o"}, "instruction with input", [("user", "i\n\nin"), ("assistant", "o")]),
+        ({"output": "o", "instruction": "i", "input": ""}, "instruction with input", [("user", "i"), ("assistant", "o")]),
+        ({"instruction": "i", "output": None}, "instruction", [("user", "i"), ("assistant", None)]),
+        ({"messages": [{"role": "user", "content": "{\"a\": 1}"}]}, "messages", [("user", "{\"a\": 1}")]),
+        ({"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, "conversations", [("user", "h"), ("assistant", "g")]),
+        ({"system": "s", "prompt": "p", "response": "r"}, "system", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ({"prompt": "p", "response": "r", "more": 1}, None, None),
+    ]
+    rows = [(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)] + [(100, "{broken"), (101, None)]
+    frame = spark.createDataFrame(rows, "id int, record string")
+    got = {r.id: r for r in chat.turns_from_json(frame, "record").collect()}
+    for i, (_, layout, turns) in enumerate(records):
+        assert got[i].layout == layout
+        assert (None if got[i].turns is None else [(t.role, t.text) for t in got[i].turns]) == turns
+    assert got[100].layout is None and got[101].layout is None and len(got) == len(rows)
+
+
+def test_chat_mapping_of_typed_frames(spark):
+    frame = spark.createDataFrame([("p", "r")], "prompt string, response string")
+    (row,) = chat.turns_from_frame(frame, ["prompt", "response"]).collect()
+    assert [(t.role, t.text) for t in row.turns] == [("user", "p"), ("assistant", "r")]
+    with pytest.raises(ValueError):
+        chat.turns_from_frame(frame, ["prompt"])
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_reference_sql(spark, folder, name):
+    text, good, _ = check(spark, connect(folder), folder, name, queries.QUERIES[name], queries.ORACLES[name])
+    assert good, text
+
+
+# 9. Personal data
+
+
+def pseudonyms(spark, values, kind, key="k"):
+    frame = spark.createDataFrame([(v,) for v in values], "v string")
+    return {r.v: r.p for r in frame.select("v", pii.pseudonym(F.col("v"), kind, key).alias("p")).collect()}
+
+
+def luhn(digits):
+    total = sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(map(int, reversed(digits))))
+    return total % 10 == 0
+
+
+def iban_rest(text):
+    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97
+
+
+def test_permutations_are_one_to_one_and_stay_valid(spark):
+    days = [str(d) for d in np.arange("1999-06-01", "2003-06-01", dtype="datetime64[D]")]
+    got = pseudonyms(spark, days, "date")
+    assert len(set(got.values())) == len(days) and all(np.datetime64(d) for d in got.values())
+    assert all("1800-01-01" <= d <= "2199-12-31" for d in got.values())
+    ips = [f"10.0.{a}.{b}" for a in range(8) for b in range(0, 256, 3)]
+    got = pseudonyms(spark, ips, "ip")
+    assert len(set(got.values())) == len(ips) and all(max(map(int, p.split("."))) <= 255 for p in got.values())
+    cards = [c for c in (f"4{n:014d}{k}" for n in range(9000, 9100) for k in range(10)) if luhn(c)]
+    got = pseudonyms(spark, cards, "card")
+    assert len(set(got.values())) == len(cards) and all(luhn(p) and len(p) == 16 and p[0] == "4" for p in got.values())
+    phones = [f"+1 ({a}) 555-{n:04d}" for a in (212, 999) for n in range(300)]
+    got = pseudonyms(spark, phones, "phone")
+    assert len(set(got.values())) == len(phones)
+    assert all(re.fullmatch(r"\+1 \([2-9]\d\d\) [2-9]\d\d-\d{4}", p) for p in got.values())
+    numbers = [f"{a:03d}-{g:02d}-0001" for a in (1, 665, 667, 899) for g in range(1, 100)]
+    got = pseudonyms(spark, numbers, "ssn")
+    assert len(set(got.values())) == len(numbers)
+    assert all(re.fullmatch(r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", p) for p in got.values())
+    accounts = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]
+    got = pseudonyms(spark, accounts, "iban")
+    assert all(iban_rest(p.replace(" ", "")) == 1 and len(p) == len(v) and p != v for v, p in got.items())
+
+
+def test_number_permutation_over_its_whole_range(spark):
+    got = spark.range(21 * 13).select(pii.feistel_number(F.col("id"), 21, 13, "k", "x").alias("p")).collect()
+    assert sorted(r.p for r in got) == list(range(21 * 13))
+
+
+def test_pseudonyms_link_documents_and_leave_the_rest(spark):
+    card = next(c for c in (f"411111111111111{k}" for k in range(10)) if luhn(c))
+    grouped = " ".join(card[i : i + 4] for i in range(0, 16, 4))
+    wrong = card[:-1] + str((int(card[-1]) + 1) % 10)
+    rows = [
+        (1, f"Pay {card} today, mail Jo.Doe7@example.com."), (2, f"Card {grouped} again; {wrong} isn't one. +1 (212) 555-0100"),
+        (3, "Born 1980-02-29, not 1981-02-29 nor 31.04.2001 but 30.04.2001"), (4, None), (5, ""), (6, "no numbers at all"),
+        (7, "10.1.2.3 and 999.1.2.3 and 078-05-1120 and 000-05-1120; password=abc123def token = \"0011aabb22\""),
+        (7, "call (212) 555-0100 at 12:30, version 3.0, 1999"),
+    ]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kind", F.lit(1))
+    got = [(r.doc_id, r.text, r.n_private) for r in pii.pseudonymise(frame, "key").orderBy("doc_id").collect()]
+    texts = [t for _, t, _ in got]
+    new = re.search(r"Pay (\d{16}) ", texts[0])[1]
+    assert new != card and luhn(new) and " ".join(new[i : i + 4] for i in range(0, 16, 4)) in texts[1] and wrong in texts[1]
+    assert "Jo.Doe7@" not in texts[0] and texts[0].endswith("@example.com.")
+    assert "1980-02-29" not in texts[2] and "1981-02-29" in texts[2] and "31.04.2001" in texts[2] and " 30.04.2001" not in texts[2]
+    assert texts[3:6] == [None, "", "no numbers at all"]
+    both = " ".join(texts[6:])
+    assert "999.1.2.3" in both and "000-05-1120" in both and not any(v in both for v in ("10.1.2.3 ", "078-05-1120", "abc123def", "0011aabb22"))
+    phone = re.search(r"\+1 (\(\d{3}\) \d{3}-\d{4})", texts[1])[1]
+    assert phone in both and "12:30, version 3.0, 1999" in both
+    assert [n for _, _, n in got[:6]] == [2, 2, 2, 0, 0, 0]
+    assert [r.text for r in pii.pseudonymise(frame, "other").orderBy("doc_id").collect()][0] != texts[0]
+    assert pii.pseudonymise(frame.limit(0), "key").collect() == []
+
+
+def test_private_query(spark, folder, folder_rows):
+    got = {r.doc_id: r for r in queries.op9_feistel_pseudonyms(spark, folder).collect()}
+    docs = dict(folder_rows("documents", "doc_id", "text"))
+    assert got.keys() == docs.keys()
+    for i, text in docs.items():
+        for value in re.findall(r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{1,3}(?:\.\d{1,3}){3}\b", text or ""):
+            assert value not in got[i].text
+        assert len(got[i].text) >= len(text) - 40
+        if not got[i].n_private:
+            assert got[i].text == text
+    assert sum(r.n_private for r in got.values()) > 0
