@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data.
 
 Candidates are found by pattern and then validated: card numbers by their check digit, account numbers (IBAN) by modulo 97,
-dates by the calendar, addresses and phone and social security numbers by the ranges of their parts. A valid value is
+dates by the calendar, addresses and social security numbers by the ranges of their parts, phone numbers by their length. A valid value is
 replaced by a keyed permutation of its own format: a Feistel network over the valid values, with SHA-256 of the key as
 its round function. Numbers use mixed radices that multiply to exactly the number of valid values, so the result is always
 valid again and two values never get the same pseudonym; check digits are computed anew. E-mail names, access keys and
@@ -196,17 +196,11 @@ def _phone(m: Column, key: str) -> Column:
     national = F.when(m.rlike(r"^\+1(?!\d{3,}$)"), F.substr(digits, F.lit(2), F.length(digits))).when(
         m.rlike(r"^\("), digits
     )
-    american = (F.length(national) == 10) & national.rlike("^[2-9][0-9]{2}[2-9]")
-    area, exchange, line = (F.substr(national, F.lit(a), F.lit(n)).cast("bigint") for a, n in ((1, 3), (4, 3), (7, 4)))
-    new = feistel_number(((area - 200) * 800 + exchange - 200) * 10000 + line, 640000, 10000, key, "phone")
+    american = F.length(national) == 10
+    new = feistel_number(national.cast("bigint"), 100_000, 100_000, key, "phone")
 
     def text(v: Column) -> Column:
-        place = F.floor(v / 10000).cast("bigint")
-        return F.concat(
-            F.when(m.startswith("+"), F.lit("1")).otherwise(F.lit("")),
-            _pad(F.floor(place / 800).cast("bigint") + 200, 3), _pad(F.pmod(place, F.lit(800)) + 200, 3),
-            _pad(F.pmod(v, F.lit(10000)), 4),
-        )
+        return F.concat(F.when(m.startswith("+"), F.lit("1")).otherwise(F.lit("")), _pad(v, 10))
 
     # Other numbering plans: the first three digits may hold the country and stay.
     foreign = m.startswith("+") & ~m.startswith("+1") & F.length(digits).between(8, 15)

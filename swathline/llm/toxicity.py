@@ -11,7 +11,8 @@ hashes of their ids (``Limits``). Class prior and scores cover all rows. Labels
 ``crc32(id as text) mod 3`` is not 1; labels, languages, sources and ids are no inputs of a score.
 
 Null or empty text: no features, its score is that of the intercept. Null or missing labels are ignored; a document with
-several labels is toxic if one says so. Without any toxic label every score is 0. Repeated rows get equal scores. Empty
+several labels is toxic if one says so. Without any toxic label every score is 0; with toxic
+labels only for documents that aren't there, every score is the class prior. Repeated rows get equal scores. Empty
 table: empty result. Extra columns are ignored.
 """
 
@@ -88,7 +89,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def train(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, limits: Limits, seed: int
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(features, weights); the first weight is the intercept."""
+    """(features, weights); the first weight is the intercept, alone if there are no positives or nothing unlabelled."""
+    if not positive or not unlabelled:
+        return np.array([-1]), np.array([np.log(prior / (1 - prior))])
     size = 1 << FEATURE_BITS
     in_p = sum((np.bincount(r, minlength=size) for r in positive), np.zeros(size))
     in_u = sum((np.bincount(r, minlength=size) for r in unlabelled), np.zeros(size))
