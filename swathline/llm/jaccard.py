@@ -4,8 +4,8 @@ A document's set holds 64-bit hashes of its word shingles; equal sets are one no
 have one global order, rare ones first, by their counts in a sketch over the whole corpus (``4 * 2 ** sketch_bits``
 bytes, a fixed size; it only steers the order, never the result).
 
-1. Two linked sets must share a token among the first few of each (prefix filter). Each set is first held against
-   the smallest node that shares such a token. Verified pairs partition the sets into groups of similar documents,
+1. Two linked sets must share a token among the first few of each (prefix filter). Each token names the smallest node
+   that has it there; a set is first held against the node that most of its tokens name. Verified pairs partition the sets into groups of similar documents,
    linear in the number of copies.
 2. The token-group matrix holds, for each token, the groups in whose members' prefixes it stands, with the least and
    greatest set size: the token union of a group is one entry per token, however many members it has. Every set is
@@ -34,6 +34,7 @@ from swathline.session import cut_lineage
 
 SKETCH_BITS = 20
 SLICES = 64
+SIEVE_BITS = 22
 KNOWN_WORDS = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.empty(0, np.uint64)
@@ -189,11 +190,28 @@ def _bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return map_batches(joined, f"u {kind}, v {kind}", make)
 
 
+def _sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id may be among the wanted ones, by a bitmap of ``2 ** SIEVE_BITS`` hashed ids, a fixed size.
+
+    It spares the shuffle of most texts; when it is full, all rows pass and the join that follows sorts them out.
+    """
+    slot = F.pmod(F.xxhash64("doc"), F.lit(1 << SIEVE_BITS))
+    bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
+    bitmap = (
+        wanted.select(slot.alias("_slot")).groupBy(F.floor(F.col("_slot") / 64).cast("bigint").alias("_word"))
+        .agg(F.bit_or(bit).alias("_bits"))
+    )
+    marked = rows.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64).cast("bigint"))
+    passed = marked.join(F.broadcast(bitmap), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0)
+    return passed.select(*rows.columns)
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (u, v) that are links; only the tokens of documents in a pair are moved."""
+    """The pairs (u, v) that are links; only the texts of documents in a pair are moved, but for a few that the sieve lets by."""
     kind = dict(pairs.dtypes)["u"]
-    involved = pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct()
-    source = docs.select(F.col(id_col).alias("doc"), as_bytes(text_col).alias("text")).join(involved, "doc")
+    involved = cut_lineage(pairs.select(F.explode(F.array("u", "v")).alias("doc")).distinct())
+    source = docs.select(F.col(id_col).alias("doc"), as_bytes(text_col).alias("text"))
+    source = _sieved(source, involved).join(involved, "doc")
 
     def sets():
         shingle = Shingler(words)
@@ -244,9 +262,13 @@ def components(
     )
     entries = cut_lineage(entries.join(shared, "token"))
 
-    # Step 1: groups around the smallest node that shares a token.
-    spokes = entries.filter(F.col("doc") != F.col("hub")).select(F.col("hub").alias("u"), F.col("doc").alias("v")).distinct()
-    spokes = _bounded(spokes, prefixes, percent).groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    # Step 1: groups around the smallest node of most tokens of a set.
+    spokes = (
+        entries.filter(F.col("doc") != F.col("hub")).groupBy("doc", "hub").agg(F.count("*").alias("both"))
+        .groupBy("doc").agg(F.max(F.struct("both", (-F.col("hub")).alias("less"))).alias("best"))
+        .select((-F.col("best.less")).alias("u"), F.col("doc").alias("v"))
+    )
+    spokes = _bounded(spokes, prefixes, percent)
     first = _linked(cut_lineage(spokes), docs, words, percent, id_col, text_col)
     groups = cut_lineage(resolve(first))
 
