@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from swathline.llm import decontaminate, jaccard, linededup, packing, toxicity
 from swathline.llm.common import read
-from swathline.llm.queries import tokenizer_path
+from swathline.llm.queries import tokenizer_path, tokenizer_pattern
 from swathline.session import cut_lineage
 
 
@@ -43,7 +43,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document is cut into pieces of at most 2048 tokens, and these are packed into sequences."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), pattern=tokenizer_pattern())
 
 
 STAGES = [

@@ -21,6 +21,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def tokenizer_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def op1_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.components(read(spark, folder, "documents"), words=4, percent=85)
 
@@ -38,7 +44,7 @@ def op4_tag_path_ratios(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.pack(read(spark, folder, "documents"), tokenizer_path())
+    return packing.pack(read(spark, folder, "documents"), tokenizer_path(), pattern=tokenizer_pattern())
 
 
 def op6_line_spread(spark: SparkSession, folder: str) -> DataFrame:
