@@ -53,9 +53,8 @@ def boilerplate(
     )
     possible = spread.filter(F.col("estimate") >= F.lit(min_sites / (1 + error)))
     near = possible.filter(F.col("estimate") <= F.lit(min_sites / (1 - error)))
-    exact = (
-        lines.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.countDistinct("site").alias("exact"))
-    )
+    by_site = lines.filter(F.col("site").isNotNull()).select("line", "site").distinct()  # a common line has few sites
+    exact = by_site.join(near.select("line"), "line", "left_semi").groupBy("line").agg(F.count("*").alias("exact"))
     return (
         possible.join(exact, "line", "left")
         .withColumn("sites", F.coalesce("exact", F.col("estimate").cast("bigint")))
