@@ -5,12 +5,12 @@ have one global order, rare ones first, by their counts in a sketch over the who
 bytes, a fixed size; it only steers the order, never the result).
 
 1. Two linked sets must share a token among the first few of each (prefix filter). Each token names the smallest node
-   that has it there; a set is first held against the node that most of its tokens name. Verified pairs partition the sets into groups of similar documents,
+   and the greatest node that has it there; a set is first held against the nodes that most of its tokens name. Verified pairs partition the sets into groups of similar documents,
    linear in the number of copies.
 2. The token-group matrix holds, for each token, the groups in whose members' prefixes it stands, with the least and
    greatest set size: the token union of a group is one entry per token, however many members it has. Every set is
    a query on it; a group qualifies when it isn't the query's own and shares a prefix token within the sizes that allow a
-   link. Only qualifying groups are opened: members that share the token are bounded by the tokens that the ordered
+   link. Only qualifying groups are opened, in chunks of bounded size: members are bounded by the tokens that the ordered
    prefixes prove to be missing, and what remains is compared token by token.
 
 Links found in both steps give the components. A link is left out only between documents whose groups are already one.
@@ -35,6 +35,7 @@ from swathline.session import cut_lineage
 SKETCH_BITS = 20
 SLICES = 64
 SIEVE_BITS = 22
+CHUNK = 128
 KNOWN_WORDS = 300_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.empty(0, np.uint64)
@@ -161,6 +162,14 @@ def _prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, bit
     return map_batches(source, schema, make)
 
 
+def _possible(n: int, m: int, p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sets may link: tokens below the end of both ordered prefixes that only one has are missing in the other."""
+    last = min(p[-1], q[-1])
+    a, b = p[: np.searchsorted(p, last)], q[: np.searchsorted(q, last)]
+    common = len(np.intersect1d(a, b))
+    return min(n - len(np.unique(a)), m - len(np.unique(b))) + common >= pair_overlap(n, m, percent)
+
+
 def _bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose prefixes don't rule a link out."""
     kind = dict(pairs.dtypes)["u"]
@@ -168,18 +177,12 @@ def _bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     right = prefixes.select(F.col("doc").alias("v"), F.col("n").alias("nv"), F.col("prefix").alias("pv"))
 
     def make():
-        def possible(n, m, p, q) -> bool:
-            last = min(p[-1], q[-1])
-            a, b = p[p < last], q[q < last]
-            gone_p, gone_q = len(a) - np.isin(a, q).sum(), len(b) - np.isin(b, p).sum()
-            return min(n - gone_p, m - gone_q) >= pair_overlap(n, m, percent)
-
         def work(batch: pa.RecordBatch) -> dict:
             n, m = batch.column("nu").to_numpy(), batch.column("nv").to_numpy()
             p, q = batch.column("pu"), batch.column("pv")
             ps, pi, qs, qi = p.offsets.to_numpy(), p.values.to_numpy(), q.offsets.to_numpy(), q.values.to_numpy()
             keep = [
-                i for i in range(len(n)) if possible(n[i], m[i], pi[ps[i] : ps[i + 1]], qi[qs[i] : qs[i + 1]])
+                i for i in range(len(n)) if _possible(n[i], m[i], pi[ps[i] : ps[i + 1]], qi[qs[i] : qs[i + 1]], percent)
             ]
             at = pa.array(keep, pa.int64())
             return {"u": batch.column("u").take(at), "v": batch.column("v").take(at)}
@@ -240,6 +243,53 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     return cut_lineage(map_batches(joined.select("u", "v", "tu", "tv"), f"u {kind}, v {kind}", make))
 
 
+def _most_named(entries: DataFrame, end: str) -> DataFrame:
+    """(u, v): for each set v the node u that most of its tokens name."""
+    return (
+        entries.filter(F.col("doc") != F.col(end)).groupBy("doc", end).agg(F.count("*").alias("both"))
+        .groupBy("doc").agg(F.max(F.struct("both", (-F.col(end)).alias("less"))).alias("best"))
+        .select((-F.col("best.less")).alias("u"), F.col("doc").alias("v"))
+    )
+
+
+def _opened(queries: DataFrame, members: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) of queries (v, target) and members (target, u) that the prefixes don't rule out.
+
+    A group's members are dealt into chunks of a bounded number; a query meets each chunk as a whole, in one row.
+    """
+    kind = dict(queries.dtypes)["v"]
+    wanted = members.join(queries.select("target").distinct(), "target").select("target", F.col("u").alias("doc"))
+    sizes = wanted.groupBy("target").agg(F.count("*").alias("_all"))
+    chunk = F.pmod(F.xxhash64("doc"), F.ceil(F.col("_all") / CHUNK).cast("bigint")).alias("chunk")
+    chunks = (
+        wanted.join(sizes, "target").join(prefixes, "doc").select("target", chunk, "doc", "n", "prefix")
+        .groupBy("target", "chunk").agg(F.collect_list(F.struct("doc", "n", "prefix")).alias("held"))
+    )
+    probe = prefixes.select(F.col("doc").alias("v"), F.col("n").alias("nv"), F.col("prefix").alias("pv"))
+
+    def make():
+        def work(batch: pa.RecordBatch) -> dict:
+            sizes, lists, probes = batch.column("nv").to_numpy(), batch.column("held"), batch.column("pv")
+            starts, held, probe_starts, probed = lists.offsets.to_numpy(), lists.values, probes.offsets.to_numpy(), probes.values.to_numpy()
+            docs, others, prefixes_ = held.field("doc"), held.field("n").to_numpy(), held.field("prefix")
+            inner, tokens = prefixes_.offsets.to_numpy(), prefixes_.values.to_numpy()
+            left, right = [], []
+            for i, m in enumerate(sizes):
+                q = probed[probe_starts[i] : probe_starts[i + 1]]
+                for j in range(starts[i], starts[i + 1]):
+                    n = others[j]
+                    if 100 * min(n, m) >= percent * max(n, m):
+                        if _possible(n, m, tokens[inner[j] : inner[j + 1]], q, percent):
+                            left.append(j)
+                            right.append(i)
+            return {"u": docs.take(pa.array(left, pa.int64())), "v": batch.column("v").take(pa.array(right, pa.int64()))}
+
+        return work
+
+    met = queries.join(probe, "v").join(chunks, "target").select("v", "nv", "pv", "held")
+    return map_batches(met, f"u {kind}, v {kind}", make)
+
+
 def components(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", bits: int = SKETCH_BITS
 ) -> DataFrame:
@@ -256,19 +306,14 @@ def components(
     shared = (
         prefixes.select("doc", F.explode("prefix").alias("token"))
         .groupBy("token")
-        .agg(F.min("doc").alias("hub"), F.max("doc").alias("other"))
-        .filter(F.col("hub") != F.col("other"))
-        .select("token", "hub")
+        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
+        .filter(F.col("low") != F.col("high"))
     )
     entries = cut_lineage(entries.join(shared, "token"))
 
-    # Step 1: groups around the smallest node of most tokens of a set.
-    spokes = (
-        entries.filter(F.col("doc") != F.col("hub")).groupBy("doc", "hub").agg(F.count("*").alias("both"))
-        .groupBy("doc").agg(F.max(F.struct("both", (-F.col("hub")).alias("less"))).alias("best"))
-        .select((-F.col("best.less")).alias("u"), F.col("doc").alias("v"))
-    )
-    spokes = _bounded(spokes, prefixes, percent)
+    # Step 1: groups around the smallest and the greatest node of most tokens of a set.
+    spokes = _most_named(entries, "low").unionByName(_most_named(entries, "high"))
+    spokes = _bounded(spokes.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), prefixes, percent)
     first = _linked(cut_lineage(spokes), docs, words, percent, id_col, text_col)
     groups = cut_lineage(resolve(first))
 
@@ -282,23 +327,15 @@ def components(
     members = grouped.filter(in_index)
     matrix = members.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
     matrix = matrix.withColumnRenamed("group", "target")
-    qualify = (
+    queries = (
         grouped.join(matrix, "token")
         .filter(F.col("group") != F.col("target"))
         .filter((F.col("least") <= n) & (F.col("most") * 100 >= n * percent))
-        .select("token", "target", F.col("doc").alias("v"), F.col("n").alias("nv"))
-    )
-    opened = (
-        qualify.join(
-            members.select("token", F.col("group").alias("target"), F.col("doc").alias("u"), F.col("n").alias("nu")),
-            ["token", "target"],
-        )
-        .filter((F.col("nu") < F.col("nv")) | (F.col("nu") == F.col("nv")) & (F.col("u") < F.col("v")))
-        .filter(F.col("nu") * 100 >= F.col("nv") * percent)
-        .select("u", "v")
+        .select(F.col("doc").alias("v"), "target")
         .distinct()
     )
-    pairs = cut_lineage(_bounded(opened, prefixes, percent))
+    inside = members.select(F.col("group").alias("target"), F.col("doc").alias("u")).distinct()
+    pairs = cut_lineage(_opened(cut_lineage(queries), inside, prefixes, percent))
     second = _linked(pairs, docs, words, percent, id_col, text_col)
     roots = resolve(first.unionByName(second))
 
