@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows that a function sees at a time, so that what it holds of long texts stays small.
+ROWS = 1000
+
+
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of the folder, whole."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -21,7 +25,7 @@ def as_bytes(column: str | Column) -> Column:
 
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
-    """Runs ``make()`` once per task and the function it returns on every Arrow batch.
+    """Runs ``make()`` once per task and the function it returns on every Arrow batch, in slices.
 
     The function returns columns by name; they are cast to ``schema``.
     """
@@ -30,11 +34,9 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for batch in batches:
-            if batch.num_rows:
-                out = work(batch)
-                yield pa.RecordBatch.from_arrays(
-                    [_column(out[f.name], f.type) for f in arrow], schema=arrow
-                )
+            for start in range(0, batch.num_rows, ROWS):
+                out = work(batch.slice(start, ROWS))
+                yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swathline.llm.common import as_bytes, map_batches
+from swathline.llm.common import ROWS, as_bytes, map_batches
 from swathline.operators.vectorize import resolve
 from swathline.session import cut_lineage
 
@@ -36,7 +36,7 @@ SKETCH_BITS = 20
 SLICES = 64
 SIEVE_BITS = 22
 CHUNK = 128
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 120_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.empty(0, np.uint64)
 
@@ -93,7 +93,7 @@ def _sets(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) ->
         shingle, total, seen = Shingler(words), np.zeros(1 << bits, np.int32), 0
         names = ["doc", "n", "key", "slice", "part", "counts"]
         kinds = [None, pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             docs_in, kinds[0] = batch.column(0), batch.column(0).type
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
             slots = np.concatenate([_EMPTY, *sets]) >> np.uint64(64 - bits)

@@ -16,7 +16,6 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
-from functools import lru_cache
 from sys import byteorder
 
 import numpy as np
@@ -28,7 +27,7 @@ from swathline.llm.common import map_batches
 from swathline.session import cut_lineage
 
 CAPACITY = 2048
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 150_000
 #: A space between white space (or the end) on both sides: only there the pre-tokeniser looks past a space.
 _RAGGED = re.compile(r"\s (?:\s|$)")
 
@@ -114,12 +113,6 @@ def _ranks(path: str) -> dict[bytes, int] | None:
     return {bytes(byte_of[c] for c in t): i for t, i in known.items()}
 
 
-@lru_cache(maxsize=4)
-def encoder(path: str, pattern: str | None) -> Encoder:
-    """One encoder for all tasks of a Python worker."""
-    return Encoder(path, pattern)
-
-
 def tokenize_pieces(
     docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str, text_col: str, pattern: str | None = None
 ) -> DataFrame:
@@ -128,7 +121,7 @@ def tokenize_pieces(
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def make():
-        encode = encoder(tokenizer, pattern).encode
+        encode = Encoder(tokenizer, pattern).encode
 
         def work(batch: pa.RecordBatch) -> dict:
             at, pieces, starts, lengths, sums = [], [], [], [], []

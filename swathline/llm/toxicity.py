@@ -33,7 +33,7 @@ from swathline.session import cut_lineage
 THRESHOLD = 0.7
 FEATURE_BITS = 20
 PREFIXES = (4, 5, 6)
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 120_000
 
 
 @dataclass(frozen=True)
