@@ -37,9 +37,9 @@ def running_totals(df: DataFrame, order: str, sums: list[str]) -> DataFrame:
 def exact_percentiles(df: DataFrame, value: str, shares: list[float]) -> DataFrame:
     """Linear-interpolated percentiles of a column as one row p0, p1, ...
 
-    Equal values are counted together first, so a value that fills the column is one row.
+    Equal values are counted together first, so a value that fills the column is one row. NULL and NaN are skipped.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    counted = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
     ranked = running_totals(counted, "v", ["n"])
 
     def at(position: Column) -> Column:
@@ -74,10 +74,13 @@ def rank_in_group(df: DataFrame, group: str, key: str, span: int = 1 << 20) -> D
     earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
     within = Window.partitionBy(group, "_part").orderBy(key)
+    # A NULL group is a group like any other.
+    offsets = offsets.select(F.col(group).alias("_in"), F.col("_part").alias("_of"), "_off")
+    same = F.col(group).eqNullSafe(F.col("_in")) & F.col("_part").eqNullSafe(F.col("_of"))
     return (
-        ranged.join(offsets, [group, "_part"])
+        ranged.join(offsets, same)
         .withColumn("rank", F.col("_off") + F.row_number().over(within) - 1)
-        .drop("_part", "_off")
+        .drop("_part", "_off", "_in", "_of")
     )
 
 

@@ -37,5 +37,5 @@ def read_jdbc(spark: SparkSession, url: str, query: str, properties: dict[str, s
 
 
 def append_jdbc(df: DataFrame, url: str, table: str, properties: dict[str, str], writers: int = 4) -> None:
-    """Append rows over at most ``writers`` connections."""
-    df.coalesce(writers).write.jdbc(url, table, mode="append", properties=properties)
+    """Append rows over ``writers`` connections; what makes the rows keeps its own number of tasks."""
+    df.repartition(writers).write.jdbc(url, table, mode="append", properties=properties)

@@ -8,25 +8,21 @@ from pyspark.sql import functions as F
 from swathline.operators.catalog import upsert_table
 from swathline.sources.tables import table
 
-TIMEOUT = 600
-
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int = 50) -> DataFrame:
-    """A table folder as a file stream, a bounded number of files per batch."""
+    """A table, one file or a folder of part files, as a file stream with a bounded number of files per batch."""
     schema = table(spark, folder, name).schema
     return (
         spark.readStream.schema(schema)
         .option("maxFilesPerTrigger", files_per_batch)
-        .option("pathGlobFilter", f"{name}.parquet")
-        .parquet(folder)
+        .parquet(f"{folder}/{{{name}}}.parquet")  # as a pattern it may name a file as well as a folder
     )
 
 
 def _finish(query) -> None:
-    """Wait for an available-now query; a hung query is stopped and reported."""
+    """Wait for an available-now query, however long its input takes."""
     try:
-        if not query.awaitTermination(TIMEOUT):
-            raise TimeoutError("stream did not finish")
+        query.awaitTermination()
     finally:
         query.stop()
 
