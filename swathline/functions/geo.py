@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,7 +102,7 @@ def wkt_kind(wkt: Column) -> Column:
 
 
 def wkt_points(wkt: Column) -> Column:
-    """All coordinate pairs of a single-ring geometry, in order: array<struct<x,y>>."""
+    """All coordinate pairs of a geometry, in order and whatever ring they stand in: array<struct<x,y>>."""
     pairs = F.regexp_extract_all(wkt, F.lit(r"([-+0-9.eE]+\s+[-+0-9.eE]+)"), F.lit(1))
     return F.transform(
         pairs,
@@ -112,6 +113,11 @@ def wkt_points(wkt: Column) -> Column:
     )
 
 
+def wkt_rings(wkt: Column) -> Column:
+    """The rings of a polygon or multipolygon, holes and all parts: array<array<struct<x,y>>>."""
+    return F.transform(F.regexp_extract_all(wkt, F.lit(r"\(([^()]+)\)"), F.lit(1)), wkt_points)
+
+
 def box_wkt(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     def pt(x, y):
         return F.concat_ws(" ", x.cast("string"), y.cast("string"))
@@ -140,6 +146,11 @@ def ring_edges(ring: Column) -> Column:
     )
 
 
+def rings_edges(rings: Column) -> Column:
+    """Edges of all rings. Under the even-odd rule holes take away and parts add."""
+    return F.flatten(F.transform(rings, ring_edges))
+
+
 def on_ring(px: Column, py: Column, edges: Column) -> Column:
     def touches(s):
         cross = (s.bx - s.ax) * (py - s.ay) - (s.by - s.ay) * (px - s.ax)
@@ -173,16 +184,16 @@ def inside_or_on(px: Column, py: Column, edges: Column) -> Column:
     return crosses_odd(px, py, edges) | on_ring(px, py, edges)
 
 
-def parse_ring(wkt: str) -> list[tuple[float, float]]:
-    """Vertices of a single-ring polygon given as a parameter, not as data."""
-    body = wkt[wkt.index("(") :].strip("() ")
-    return [tuple(float(n) for n in pair.split()) for pair in body.split(",")]
+def parse_rings(wkt: str) -> list[list[tuple[float, float]]]:
+    """Rings of a polygon or multipolygon given as a parameter, not as data."""
+    bodies = re.findall(r"\(([^()]+)\)", wkt)
+    return [[tuple(float(n) for n in pair.split()) for pair in body.split(",")] for body in bodies]
 
 
-def inside_fixed_ring(px: Column, py: Column, ring: list[tuple[float, float]]) -> Column:
-    """Strict containment in a ring known when the plan is built, as plain arithmetic."""
+def inside_fixed_rings(px: Column, py: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """Strict containment in rings known when the plan is built, even-odd over all of them, as plain arithmetic."""
     crossings, on_edge = F.lit(0), F.lit(False)
-    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+    for (ax, ay), (bx, by) in (edge for ring in rings for edge in zip(ring, ring[1:])):
         inside_box = px.between(min(ax, bx), max(ax, bx)) & py.between(min(ay, by), max(ay, by))
         on_edge = on_edge | (inside_box & ((px - ax) * (by - ay) == (py - ay) * (bx - ax)))
         if ay != by:

@@ -101,3 +101,14 @@ def smallest_per_group(df: DataFrame, group: str, hashed: str, tie: list[str], w
     ranked = Window.partitionBy(group, hashed).orderBy(*tie)
     picked = df.join(plan, [group, hashed]).withColumn("_r", F.row_number().over(ranked))
     return picked.filter(F.col("_r") <= F.col("_room")).drop("_r", "_room")
+
+
+def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
+    """Rows per equal bin between the least and the greatest value (bin, n), the last bin closed.
+
+    NULL and NaN are left out; equal values all fall into bin 0.
+    """
+    valid = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    low, high = valid.agg(F.min(value)).scalar(), valid.agg(F.max(value)).scalar()
+    part = F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0))
+    return valid.groupBy(F.least(F.lit(bins - 1), F.floor(part * bins)).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))

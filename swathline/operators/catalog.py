@@ -120,9 +120,17 @@ def next_ids(log: DataFrame, rows: DataFrame, order: str, id_col: str = "artifac
     return numbered.withColumn(id_col, start + F.col("rank") + 1).drop("rank", "_all")
 
 
-def set_status(jobs: DataFrame, updates: DataFrame) -> DataFrame:
-    """New status for the jobs named in ``updates`` (job_id, new_status); repeats count once."""
-    once = updates.groupBy("job_id").agg(F.max("new_status").alias("new_status"))
+def set_status(jobs: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+    """New status for the jobs named in ``updates`` (job_id, new_status); repeats count once.
+
+    The last update in ``order`` holds. Without an order, updates that name two statuses for a job raise.
+    """
+    if order:
+        last = F.max_by("new_status", order)
+    else:
+        unlike = F.raise_error(F.lit("a job has two new statuses; name the column that orders them")).cast("string")
+        last = F.when(F.min("new_status") == F.max("new_status"), F.max("new_status")).when(F.count("new_status") > 0, unlike)
+    once = updates.groupBy("job_id").agg(last.alias("new_status"))
     return jobs.join(once, "job_id", "left").withColumn(
         "job_status", F.coalesce("new_status", "job_status")
     ).drop("new_status")

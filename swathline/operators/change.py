@@ -46,10 +46,14 @@ def flood_tiles(
         .agg(
             F.count("pre").alias("n_pre"),
             F.count("post").alias("n_post"),
+            F.count(F.when(F.col("pre").isNotNull(), F.col("post"))).alias("n_both"),
             F.max("pre").alias("max_pre"),
             F.sum("mask").alias("hits"),
         )
     )
+    # As many pixels on both sides, but not the same ones, is a mismatch too.
+    moved = (F.col("n_pre") == F.col("n_post")) & (F.col("n_both") != F.col("n_pre"))
+    stats = stats.withColumn("n_post", F.when(moved, F.lit(-1)).otherwise(F.col("n_post"))).drop("n_both")
     if grid is not None:
         stats = grid.select("tile_id").join(stats, "tile_id", "left")
     return _report(stats, head, tile)
@@ -66,15 +70,15 @@ def flood_tiles_chunked(
     joined instead of every pixel, and cells are compared position by position."""
     a, b = F.col("a"), F.col("b")
     both = pre.select("tile_id", F.col("cells").alias("a")).join(
-        post.select("tile_id", F.col("cells").alias("b")), "tile_id", "left"
+        post.select("tile_id", F.col("cells").alias("b")), "tile_id", "full"
     )
     moved = F.exists(F.zip_with(a, b, lambda p, q: (p.y != q.y) | (p.x != q.x)), lambda m: m)
     marks = F.zip_with(a, b, lambda p, q: below(change_db(p.value, q.value), threshold))
-    n_post = F.coalesce(F.size(b), F.lit(0))
-    unlike = (F.size(a) != n_post) | moved
+    n_pre, n_post = F.coalesce(F.size(a), F.lit(0)), F.coalesce(F.size(b), F.lit(0))
+    unlike = (n_pre != n_post) | moved
     stats = both.select(
         "tile_id",
-        F.size(a).alias("n_pre"),
+        n_pre.alias("n_pre"),
         F.when(unlike, F.lit(-1)).otherwise(n_post).alias("n_post"),
         F.array_max(F.transform(a, lambda p: p.value)).alias("max_pre"),
         F.when(~unlike, F.aggregate(marks, F.lit(0), lambda n, m: n + m)).alias("hits"),
@@ -119,17 +123,34 @@ def map_algebra(b0: DataFrame, b1: DataFrame, expression: str, name: str = "valu
 
 
 def compare(base: DataFrame, other: DataFrame, keys: tuple[str, ...] = ("band", "y", "x"), eps: float = 1e-9) -> DataFrame:
-    """Per band: range of both outputs, largest and root-mean-square difference, mismatches."""
-    pairs = align(base, other, keys, "inner").withColumn("d", F.col("post") - F.col("pre"))
+    """Per band: range of both outputs, largest and root-mean-square difference, mismatches, and pixels that only one has.
+
+    A value against NULL or NaN is a mismatch, two NULLs or two NaNs aren't; neither enters the ranges and differences.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        held = F.struct(F.when(~F.isnan("value"), F.col("value")).alias("v"), F.col("value").alias("raw"))
+        return df.select(*keys, held.alias(name))
+
+    pairs = side(base, "_a").join(side(other, "_b"), list(keys), "full")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    pairs = pairs.select(
+        "band",
+        *[F.when(both, F.col(c)).alias(n) for c, n in (("_a.v", "pre"), ("_b.v", "post"))],
+        (both & F.col("_a.v").isNull() & F.col("_b.v").isNull() & F.col("_a.raw").eqNullSafe(F.col("_b.raw"))).alias("void"),
+        both.alias("both"), F.col("_a").isNotNull().alias("in_base"), F.col("_b").isNotNull().alias("in_other"),
+    ).withColumn("d", F.col("post") - F.col("pre"))
+    unlike = F.col("both") & ~F.col("void") & F.coalesce(F.abs("d") > eps, F.lit(True))
     return pairs.groupBy("band").agg(
-        F.count("*").alias("n"),
+        F.count_if("both").alias("n"),
+        F.count_if(F.col("in_base") & ~F.col("in_other")).alias("only_base"),
+        F.count_if(F.col("in_other") & ~F.col("in_base")).alias("only_other"),
         F.min("pre").alias("base_min"),
         F.max("pre").alias("base_max"),
         F.min("post").alias("other_min"),
         F.max("post").alias("other_max"),
         F.max(F.abs("d")).alias("max_abs_diff"),
         F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rmse"),
-        F.sum(F.when(F.abs("d") > eps, 1).otherwise(0)).alias("mismatched"),
+        F.count_if(unlike).alias("mismatched"),
     )
 
 
@@ -139,11 +160,11 @@ def common_extent(raster: DataFrame, height, width) -> DataFrame:
 
 
 def ks_two_sample(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two-sample Kolmogorov-Smirnov distance from exact empirical distributions."""
+    """Two-sample Kolmogorov-Smirnov distance from exact empirical distributions, without NULL and NaN."""
     both = first.select(F.col("value").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
         second.select(F.col("value").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
     )
-    counted = both.filter(F.col("v").isNotNull()).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counted = both.filter(F.col("v").isNotNull() & ~F.isnan("v")).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     ranked = running_totals(counted, "v", ["a", "b"])
     gap = F.abs(
         (F.col("a_before") + F.col("a")) / F.col("a_total") - (F.col("b_before") + F.col("b")) / F.col("b_total")

@@ -77,12 +77,17 @@ def _targets(coord: str, scale: float, shift: float) -> Column:
     return F.when(low <= high, F.sequence(low, high))
 
 
-def reproject_bilinear(source: DataFrame, scale: float, shift: float, height=None, width=None) -> DataFrame:
+def reproject_bilinear(
+    source: DataFrame, scale: float, shift: float, height=None, width=None, nodata: float | None = None
+) -> DataFrame:
     """Bilinear resampling onto a grid whose cell t sits at source position scale*t + shift.
 
     Each source pixel is scattered to the targets it weighs on and targets sum their
-    weights, so there is no neighbour join; weights renormalise over present pixels.
+    weights, so there is no neighbour join; weights renormalise over valid pixels: those that aren't NULL, NaN or
+    ``nodata``. A target with none of them is NULL with ``n`` 0.
     """
+    valid = ~F.isnan("value") if nodata is None else ~F.isnan("value") & (F.col("value") != nodata)
+    source = source.withColumn("value", F.when(valid, F.col("value")))
     spread = source.withColumn("ty", F.explode(_targets("y", scale, shift)))
     spread = spread.withColumn("tx", F.explode(_targets("x", scale, shift)))
     if height is not None:
@@ -91,9 +96,9 @@ def reproject_bilinear(source: DataFrame, scale: float, shift: float, height=Non
         1 - F.abs(F.col("x") - (F.col("tx") * scale + shift))
     )
     return (
-        spread.withColumn("w", weight)
+        spread.withColumn("w", F.when(F.col("value").isNotNull(), weight))
         .groupBy(F.col("ty").alias("y"), F.col("tx").alias("x"))
-        .agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"), F.count("*").alias("n"))
+        .agg(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w")).alias("value"), F.count("value").alias("n"))
     )
 
 
@@ -101,7 +106,8 @@ def interpolate_table(df: DataFrame, key: str, nodes: DataFrame, cell: int, grou
     """As-of lookup with linear interpolation in a calibration table (x, lut).
 
     Consecutive nodes become intervals, cut into cells of a fixed width, so the range
-    condition turns into an equi join on the cell.
+    condition turns into an equi join on the cell. Beyond the first and the last node their value holds. Every row stays;
+    without a key, or in a group without nodes, its lut is NULL.
     """
     group = group or []
     order = Window.partitionBy(*group).orderBy("node") if group else Window.partitionBy(F.lit(0)).orderBy("node")
@@ -113,10 +119,26 @@ def interpolate_table(df: DataFrame, key: str, nodes: DataFrame, cell: int, grou
         F.lead("lut").over(order).alias("lut_hi"),
     ).filter(F.col("hi").isNotNull())
     spans = spans.withColumn("_cell", F.explode(F.sequence(intdiv("lo", cell), intdiv(F.col("hi") - 1, cell))))
-    joined = df.withColumn("_cell", intdiv(key, cell)).join(spans, [*group, "_cell"])
+    ends = [
+        F.struct(F.min("node").alias("node"), F.min_by("lut", "node").alias("lut")).alias("_first"),
+        F.struct(F.max("node").alias("node"), F.max_by("lut", "node").alias("lut")).alias("_last"),
+    ]
+    if group:
+        keyed = df.join(nodes.groupBy(*group).agg(*ends), group, "left")
+    else:
+        limits = nodes.agg(*ends)
+        keyed = df.withColumns({c: limits.select(c).scalar() for c in ("_first", "_last")})
+    keyed = keyed.withColumn("_cell", intdiv(key, cell))
+    for c in (*group, "_cell"):
+        spans = spans.withColumnRenamed(c, f"_s_{c}")
+    within = (F.col(key) >= F.col("lo")) & (F.col(key) < F.col("hi"))
+    for c in (*group, "_cell"):
+        within = within & (F.col(c) == F.col(f"_s_{c}"))
     part = (F.col(key) - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    return (
-        joined.filter((F.col(key) >= F.col("lo")) & (F.col(key) < F.col("hi")))
-        .withColumn("lut", F.col("lut_lo") + (F.col("lut_hi") - F.col("lut_lo")) * part)
-        .drop("_cell", "lo", "hi", "lut_lo", "lut_hi")
+    between = F.col("lut_lo") + (F.col("lut_hi") - F.col("lut_lo")) * part
+    lut = (
+        F.when(F.col(key) >= F.col("_last.node"), F.col("_last.lut"))
+        .when(F.col(key) < F.col("_first.node"), F.col("_first.lut"))
+        .otherwise(between)
     )
+    return keyed.join(spans, within, "left").select(*df.columns, lut.alias("lut"))

@@ -5,6 +5,9 @@ windows reach it; one exchange by tile follows. Everything after that runs insid
 tiles of fixed size: rows are spread over the window height, summed per column,
 then summed along the row with a range frame, so missing pixels are handled by
 coordinate and no window runs over a whole raster line.
+
+A NULL pixel is missing: it keeps its own row and adds nothing to the windows of others. NaN is 0 in the moving mean
+and in the interferogram, as their contract says; in the Lee filter and the coherence it is missing.
 """
 
 from __future__ import annotations
@@ -21,8 +24,7 @@ def with_halo(pixels: DataFrame, tile: int, before: tuple[int, int], after: tupl
     exchanged once by tile."""
 
     def reach(axis: str, i: int) -> Column:
-        low = F.greatest(F.col(axis) - after[i], F.lit(0))
-        return F.explode(F.sequence(intdiv(low, tile), intdiv(F.col(axis) + before[i], tile)))
+        return F.explode(F.sequence(intdiv(F.col(axis) - after[i], tile), intdiv(F.col(axis) + before[i], tile)))
 
     spread = pixels.withColumn("ty", reach("y", 0)).withColumn("tx", reach("x", 1))
     return spread.repartition("ty", "tx")
@@ -35,7 +37,7 @@ def window_sums(
     after: tuple[int, int],
     tile: int,
 ) -> DataFrame:
-    """Sum of each value and pixel count ``n`` in the window [c-before, c+after] around
+    """Sum of each value and count ``n`` of pixels with a first value in the window [c-before, c+after] around
     every existing pixel; the pixel's own columns are kept."""
     own = [c for c in pixels.columns if c not in ("y", "x")]
     halo = with_halo(pixels, tile, before, after)
@@ -49,7 +51,7 @@ def window_sums(
     # Plain columns only, so that the aggregate hashes instead of sorting.
     columns = spread.groupBy("ty", "tx", "yc", "x").agg(
         *[F.sum(f"_{k}").alias(f"_{k}") for k in values],
-        F.count("*").alias("_n"),
+        F.count(f"_{next(iter(values))}").alias("_n"),
         F.max(F.when(here, F.lit(1))).alias("_here"),
         *[F.max(F.when(here, F.col(c))).alias(c) for c in own],
     )
@@ -64,24 +66,29 @@ def window_sums(
 def boxcar(pixels: DataFrame, value: str = "value", size: int = 10, tile: int = 1024) -> DataFrame:
     """Moving mean of an even or odd size; even sizes reach one further back than forward."""
     before, after = size // 2, (size - 1) // 2
-    sums = window_sums(pixels, {"total": F.col(value)}, (before, before), (after, after), tile)
-    return sums.withColumn("mean", F.col("total") / F.col("n"))
+    numbers = F.nanvl(F.col(value).cast("double"), F.lit(0.0))
+    sums = window_sums(pixels, {"total": numbers}, (before, before), (after, after), tile)
+    return sums.withColumn("mean", F.try_divide("total", "n"))
+
+
+def _number(value: Column) -> Column:
+    return F.when(~F.isnan(value), value)
 
 
 def lee_filter(pixels: DataFrame, enl: float = 1.0, size: int = 3, tile: int = 1024) -> DataFrame:
     """Lee (1980) speckle filter on present pixels."""
     reach = size // 2
-    v = F.col("value")
+    v = _number(F.col("value"))
     sums = window_sums(pixels, {"s1": v, "s2": v * v}, (reach, reach), (reach, reach), tile)
     s = 1.0 / enl
-    mean = F.col("s1") / F.col("n")
-    var = F.greatest(F.col("s2") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0))
+    mean = F.try_divide("s1", "n")
+    var = F.greatest(F.try_divide("s2", "n") - F.col("mean") * F.col("mean"), F.lit(0.0))
     gain = F.try_divide(F.col("var") - F.col("mean") * F.col("mean") * s, F.col("var") * (1 + s))
     gain = F.least(F.greatest(F.coalesce(gain, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     return (
         sums.withColumn("mean", mean)
         .withColumn("var", var)
-        .withColumn("filtered", F.col("mean") + gain * (F.col("value") - F.col("mean")))
+        .withColumn("filtered", F.col("mean") + gain * (v - F.col("mean")))
     )
 
 
@@ -96,7 +103,7 @@ def interferogram(pair: DataFrame, size: int = 10, tile: int = 1024) -> DataFram
     before, after = size // 2, (size - 1) // 2
     values = {"re": F.nanvl(re, F.lit(0.0)), "im": F.nanvl(im, F.lit(0.0))}
     sums = window_sums(pair, values, (before, before), (after, after), tile)
-    phase = F.atan2(F.col("im") / F.col("n"), F.col("re") / F.col("n"))
+    phase = F.atan2(F.try_divide("im", "n"), F.try_divide("re", "n"))
     valid = F.col("a1").isNotNull() & (F.col("a1") != 0)
     return sums.withColumn("phase", F.when(valid, phase))
 
@@ -109,12 +116,9 @@ def coherence(pair: DataFrame, azimuth: int = 3, slant: int = 10, tile: int = 10
         real_part(F.col("a2"), F.col("p2")),
         imag_part(F.col("a2"), F.col("p2")),
     )
-    values = {
-        "re": re,
-        "im": im,
-        "e1": F.col("a1") * F.col("a1"),
-        "e2": F.col("a2") * F.col("a2"),
-    }
+    values = {"re": re, "im": im, "e1": F.col("a1") * F.col("a1"), "e2": F.col("a2") * F.col("a2")}
+    present = _number(re + im).isNotNull()  # a pixel counts in all four sums or in none
+    values = {k: F.when(present, v) for k, v in values.items()}
     before = (azimuth // 2, slant // 2)
     after = ((azimuth - 1) // 2, (slant - 1) // 2)
     sums = window_sums(pair, values, before, after, tile)

@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 from swathline.functions.geo import (
     boxes_touch,
-    inside_fixed_ring,
+    inside_fixed_rings,
     inside_or_on,
-    parse_ring,
+    parse_rings,
     pixel_x,
     pixel_y,
     ring_bbox,
-    ring_edges,
+    rings_edges,
     strictly_inside,
     wkt_points,
+    wkt_rings,
 )
 from swathline.functions.numeric import intdiv
 from swathline.schema import Affine
@@ -30,7 +31,9 @@ SALTS = 8
 
 
 def parse_polygons(df: DataFrame, wkt: str = "wkt") -> DataFrame:
-    return df.withColumn("ring", wkt_points(F.col(wkt))).withColumn("box", ring_bbox(F.col("ring")))
+    """Adds the points in order (ring), the rings, holes and parts among them (rings), and the box."""
+    parsed = df.withColumns({"ring": wkt_points(F.col(wkt)), "rings": wkt_rings(F.col(wkt))})
+    return parsed.withColumn("box", ring_bbox(F.col("ring")))
 
 
 def _covering_cells(df: DataFrame, box: Column, cell: float) -> DataFrame:
@@ -42,9 +45,9 @@ def _covering_cells(df: DataFrame, box: Column, cell: float) -> DataFrame:
 def points_in_polygons(
     points: DataFrame, polygons: DataFrame, predicate: str = "within", cell: float = 10.0, salts: int = SALTS
 ) -> DataFrame:
-    """Join points (point_id, px, py) with polygons (zone_id, ring, box).
+    """Join points (point_id, px, py) with polygons (zone_id, rings, box).
 
-    ``within`` and ``contains`` exclude the boundary, ``intersects`` includes it. A
+    ``within`` and ``contains`` exclude the boundary, that of holes too, ``intersects`` includes it. A
     point has one cell and one salt, so every pair is produced once.
     """
     tests = {"within": strictly_inside, "contains": strictly_inside, "intersects": inside_or_on}
@@ -56,7 +59,7 @@ def points_in_polygons(
             "salt": F.pmod(F.xxhash64("point_id"), F.lit(salts)).cast("int"),
         }
     )
-    right = polygons.withColumn("edges", ring_edges(F.col("ring")))
+    right = polygons.withColumn("edges", rings_edges(F.col("rings")))
     right = _covering_cells(right, F.col("box"), cell).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
@@ -83,11 +86,12 @@ def boxes_intersecting(left: DataFrame, right: DataFrame, cell: float) -> DataFr
 
 def footprint_lookup(points: DataFrame, footprints: DataFrame, cell: float) -> DataFrame:
     """Footprints (left_id, box) whose closed box holds the point."""
-    boxes = _covering_cells(footprints, F.col("box"), cell)
-    keyed = points.withColumns({"cy": intdiv("py", cell), "cx": intdiv("px", cell)})
+    boxes = _covering_cells(footprints, F.col("box"), cell).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64(*points.columns), F.lit(SALTS)).cast("int")
+    keyed = points.withColumns({"cy": intdiv("py", cell), "cx": intdiv("px", cell), "salt": salt})
     box = F.col("box")
     inside = F.col("px").between(box.x0, box.x1) & F.col("py").between(box.y0, box.y1)
-    return keyed.join(boxes, ["cy", "cx"]).filter(inside).drop("cy", "cx", "box")
+    return keyed.join(boxes, ["cy", "cx", "salt"]).filter(inside).drop("cy", "cx", "salt", "box")
 
 
 def clip_to_region(pixels: DataFrame, wkt: str, affine: Affine) -> DataFrame:
@@ -95,20 +99,22 @@ def clip_to_region(pixels: DataFrame, wkt: str, affine: Affine) -> DataFrame:
 
     The polygon's box becomes a pixel window that prunes the scan; the exact test follows.
     """
-    ring = parse_ring(wkt)
-    xs = sorted((lon - affine.x0) / affine.a - 0.5 for lon, _ in ring)
-    ys = sorted((lat - affine.y0) / affine.e - 0.5 for _, lat in ring)
+    rings = parse_rings(wkt)
+    xs = sorted((lon - affine.x0) / affine.a - 0.5 for ring in rings for lon, _ in ring)
+    ys = sorted((lat - affine.y0) / affine.e - 0.5 for ring in rings for _, lat in ring)
     near = pixels.filter(
         F.col("x").between(math.floor(xs[0]), math.ceil(xs[-1]))
         & F.col("y").between(math.floor(ys[0]), math.ceil(ys[-1]))
     )
     lon, lat = pixel_x(F.col("x"), affine), pixel_y(F.col("y"), affine)
-    return near.filter(inside_fixed_ring(lon, lat, ring))
+    return near.filter(inside_fixed_rings(lon, lat, rings))
 
 
 def zone_stats(pixels: DataFrame, polygons: DataFrame, cell: float = 10.0) -> DataFrame:
     """Flooded and total pixels per zone from (px, py, mask) pixels; a zone layer under
-    the broadcast threshold joins without moving the pixels."""
+    the broadcast threshold joins without moving the pixels. A zone without pixels reports 0."""
     keyed = pixels.withColumn("point_id", F.xxhash64("px", "py"))
     joined = points_in_polygons(keyed, polygons, "within", cell)
-    return joined.groupBy("zone_id").agg(F.count("*").alias("pixels"), F.sum("mask").alias("flooded"))
+    counted = joined.groupBy("zone_id").agg(F.count("*").alias("pixels"), F.sum("mask").alias("flooded"))
+    found = polygons.select("zone_id").distinct().join(counted, "zone_id", "left")
+    return found.fillna(0, ["pixels", "flooded"])

@@ -149,9 +149,10 @@ def subset_geo_region(spark, folder):
 @query(
     "zone_flood_stats",
     sql(
-        f"""SELECT zone_id, count(*) AS pixels, CAST(sum(mask) AS BIGINT) AS flooded, {snap_sql('sum(mask)*100.0::DOUBLE/count(*)', 5)} AS share
-            FROM (SELECT (x + 0.5::DOUBLE)*50/256 AS px, (y + 0.5::DOUBLE)*50/height AS py, mask FROM fl, hd) p JOIN zones ON {_STRICT}
-            GROUP BY zone_id""",
+        f"""SELECT zone_id, count(px) AS pixels, CAST(coalesce(sum(mask), 0) AS BIGINT) AS flooded,
+              {snap_sql('sum(mask)*100.0::DOUBLE/nullif(count(px), 0)', 5)} AS share
+            FROM zones LEFT JOIN (SELECT (x + 0.5::DOUBLE)*50/256 AS px, (y + 0.5::DOUBLE)*50/height AS py, mask FROM fl, hd) p
+              ON {_STRICT} GROUP BY zone_id""",
         "fl",
         "hd",
         "zones",

@@ -151,7 +151,7 @@ COMPETITION = T.StructType(
          'R-' || p_type AS match_updated, 1 AS absent_is_null FROM part""",
 )
 def json_explicit_schema(spark, folder):
-    """Multi-line JSON files read with a fixed schema, one array of objects per file."""
+    """JSON read with a fixed schema, one array of objects per line."""
     source = table(spark, folder, "part")
     docs = source.select(
         F.to_json(
@@ -405,7 +405,7 @@ def geojson_features(spark, folder):
     from swathline.operators.spatial import parse_polygons
 
     path = scratch_path(spark, "geojson")
-    documents.write_json_lines(documents.feature_collection(parse_polygons(fixtures.zones(spark, folder))), path)
+    documents.write_each(documents.feature_collection(parse_polygons(fixtures.zones(spark, folder))), path, "zone_id")
     return documents.read_features(spark, path).select(
         "value",
         F.size("ring").cast("bigint").alias("points"),

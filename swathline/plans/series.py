@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions.numeric import percent, snap, snap_sql
 from swathline.functions.radiometry import amplitude_db
-from swathline.functions.ranking import exact_percentiles
+from swathline.functions.ranking import exact_percentiles, histogram
 from swathline.operators import change, cube
 from swathline.plans.fragments import sql
 from swathline.plans.registry import query
@@ -223,11 +223,8 @@ def robust_scale(spark, folder):
     ),
 )
 def band_histogram(spark, folder):
-    """200 equal bins over the positive values, the last one closed."""
-    valid = fixtures.pre_raster(spark, folder).filter(F.col("value") > 0)
-    low, high = valid.agg(F.min("value")).scalar(), valid.agg(F.max("value")).scalar()
-    bin_no = F.least(F.lit(199), F.floor((F.col("value") - low) / (high - low) * 200))
-    return valid.groupBy(bin_no.cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
+    """200 equal bins over the positive values."""
+    return histogram(fixtures.pre_raster(spark, folder).filter(F.col("value") > 0), "value", 200)
 
 
 @query("class_counts", sql("SELECT label, count(*) AS n FROM tr GROUP BY label", "tr"))

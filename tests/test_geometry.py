@@ -38,7 +38,7 @@ def test_concave_polygon_by_hand(spark):
     for cell in (1.0, 3.0, 100.0):
         inside = spatial.points_in_polygons(frame, layers(spark, [ring]), "within", cell=cell)
         assert sorted(r.point_id for r in inside.collect()) == [0, 2, 3]
-    fixed = frame.filter(geo.inside_fixed_ring(F.col("px"), F.col("py"), geo.parse_ring(ring)))
+    fixed = frame.filter(geo.inside_fixed_rings(F.col("px"), F.col("py"), geo.parse_rings(ring)))
     assert sorted(r.point_id for r in fixed.collect()) == [0, 2, 3]
 
 
