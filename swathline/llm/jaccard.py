@@ -8,9 +8,9 @@ bytes, a fixed size; it only steers the order, never the result).
    and the greatest node that has it there; a set is first held against the nodes that most of its tokens name. Verified pairs partition the sets into groups of similar documents,
    linear in the number of copies.
 2. The token-group matrix holds, for each token, the groups in whose members' prefixes it stands, with the least and
-   greatest set size: the token union of a group is one entry per token, however many members it has. Every set is
-   a query on it; a group qualifies when it isn't the query's own and shares a prefix token within the sizes that allow a
-   link. Only qualifying groups are opened, in chunks of bounded size: members are bounded by the tokens that the ordered
+   greatest set size and the most tokens that follow it in a member: the token union of a group is one entry per token,
+   however many members it has. Every set is a query on it; a group qualifies when it isn't the query's own and shares a
+   prefix token, within the sizes that allow a link and with enough tokens left on both sides for its overlap. Only qualifying groups are opened, in chunks of bounded size: members are bounded by the tokens that the ordered
    prefixes prove to be missing, and what remains is compared token by token.
 
 Links found in both steps give the components. A link is left out only between documents whose groups are already one.
@@ -325,12 +325,17 @@ def components(
     n = F.col("n")
     in_index = F.col("at") < n - F.ceil(F.lit(2 * percent) * n / (100 + percent)).cast("bigint") + 1
     members = grouped.filter(in_index)
-    matrix = members.groupBy("token", "group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    matrix = matrix.withColumnRenamed("group", "target")
+    matrix = members.groupBy("token", F.col("group").alias("target")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(n - F.col("at")).alias("rest")
+    )
+    # The first token that a linked pair shares leaves both sets enough tokens for the overlap; a query is the larger set.
+    shortest = F.greatest("least", F.ceil(F.lit(percent) * n / 100).cast("bigint"))
+    needed = F.ceil(F.lit(percent) * (n + shortest) / (100 + percent)).cast("bigint")
     queries = (
         grouped.join(matrix, "token")
         .filter(F.col("group") != F.col("target"))
         .filter((F.col("least") <= n) & (F.col("most") * 100 >= n * percent))
+        .filter((n - F.col("at") >= needed) & (F.col("rest") >= needed))
         .select(F.col("doc").alias("v"), "target")
         .distinct()
     )
