@@ -5,8 +5,10 @@ have one global order, rare ones first, by their counts in a sketch over the who
 bytes, a fixed size; it only steers the order, never the result).
 
 1. Two linked sets must share a token among the first few of each (prefix filter). Each token names the smallest node
-   and the greatest node that has it there; a set is first held against the nodes that most of its tokens name. Verified pairs partition the sets into groups of similar documents,
-   linear in the number of copies.
+   and the greatest node that has it there; a set is first held against the nodes that most of its tokens name.
+   Verified pairs partition the sets into groups of similar documents, linear in the number of copies. While the
+   matrix would meet its queries in more than ``CROWDED`` rows an entry, a further round does the same with members of
+   other groups, drawn anew, so that near copies that link neither end still fall together. Rounds steer the work only.
 2. The token-group matrix holds, for each token, the groups in whose members' prefixes it stands, with the least and
    greatest set size and the most tokens that follow it in a member: the token union of a group is one entry per token,
    however many members it has. Every set is a query on it; a group qualifies when it isn't the query's own and shares a
@@ -25,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swathline.llm.common import ROWS, as_bytes, map_batches
@@ -37,6 +39,11 @@ SLICES = 64
 SIEVE_BITS = 22
 CHUNK = 128
 KNOWN_WORDS = 120_000
+#: Rounds of grouping end when the matrix makes no more than so many rows for each prefix token, or none is left.
+CROWDED = 2
+ROUNDS = 4
+#: A round after the first holds each set against twice as many others at most.
+DRAWS = 4
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.empty(0, np.uint64)
 
@@ -243,13 +250,42 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     return cut_lineage(map_batches(joined.select("u", "v", "tu", "tv"), f"u {kind}, v {kind}", make))
 
 
-def _most_named(entries: DataFrame, end: str) -> DataFrame:
-    """(u, v): for each set v the node u that most of its tokens name."""
-    return (
-        entries.filter(F.col("doc") != F.col(end)).groupBy("doc", end).agg(F.count("*").alias("both"))
-        .groupBy("doc").agg(F.max(F.struct("both", (-F.col(end)).alias("less"))).alias("best"))
+def _named(grouped: DataFrame, turn: int) -> DataFrame:
+    """(token, doc, n, at, group, ends): the entries of tokens in several groups, with some (group, doc) of each token.
+
+    The first round takes the smallest and the greatest set; later rounds draw groups, and members of them, by hash.
+    """
+    orders = [F.col("doc")]
+    if turn:
+        seeds = [F.lit(turn * DRAWS + i) for i in range(DRAWS)]
+        orders = [F.struct(F.xxhash64("group", x), "group", F.xxhash64("doc", x), "doc") for x in seeds]
+    ends = grouped.groupBy("token").agg(
+        *(end(order).alias(f"_{end.__name__}_{i}") for i, order in enumerate(orders) for end in (F.min, F.max))
+    )
+    group, doc = ((lambda c: c["group"]), (lambda c: c["doc"])) if turn else ((lambda c: c), (lambda c: c))
+    several = group(F.col("_min_0")) != group(F.col("_max_0"))
+    named = [F.struct(group(F.col(c)).alias("group"), doc(F.col(c)).alias("doc")) for c in ends.columns[1:]]
+    return grouped.join(ends.filter(several).select("token", F.array(*named).alias("ends")), "token")
+
+
+def _spokes(entries: DataFrame) -> DataFrame:
+    """(u, v): each set with the sets of other groups that most of its tokens name, one for each kind of end."""
+    votes = entries.select("doc", "group", F.posexplode("ends").alias("kind", "end"))
+    best = (
+        votes.filter(F.col("group") != F.col("end.group")).groupBy("kind", "doc", F.col("end.doc").alias("u"))
+        .agg(F.count("*").alias("both"))
+        .groupBy("kind", "doc").agg(F.max(F.struct("both", (-F.col("u")).alias("less"))).alias("best"))
         .select((-F.col("best.less")).alias("u"), F.col("doc").alias("v"))
     )
+    return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _crowded(grouped: DataFrame, in_index: Column) -> bool:
+    """Whether the matrix would make more than ``CROWDED`` rows an entry."""
+    each = grouped.groupBy("token", "group").agg(F.count("*").alias("k"), F.max(in_index.cast("int")).alias("indexed"))
+    met = each.groupBy("token").agg(F.sum("k").alias("k"), F.sum("indexed").alias("groups"))
+    row = met.agg(F.sum("k").alias("entries"), F.sum(F.col("k") * F.col("groups")).alias("rows")).first()
+    return (row.rows or 0) > CROWDED * (row.entries or 0)
 
 
 def _opened(queries: DataFrame, members: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
@@ -302,28 +338,26 @@ def components(
     prefixes = _prefixes(docs, words, percent, sketch, bits, id_col, text_col)
     prefixes = cut_lineage(prefixes.join(nodes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi"))
 
-    entries = prefixes.select("doc", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = (
-        prefixes.select("doc", F.explode("prefix").alias("token"))
-        .groupBy("token")
-        .agg(F.min("doc").alias("low"), F.max("doc").alias("high"))
-        .filter(F.col("low") != F.col("high"))
-    )
-    entries = cut_lineage(entries.join(shared, "token"))
+    n = F.col("n")
+    in_index = F.col("at") < n - F.ceil(F.lit(2 * percent) * n / (100 + percent)).cast("bigint") + 1
 
-    # Step 1: groups around the smallest and the greatest node of most tokens of a set.
-    spokes = _most_named(entries, "low").unionByName(_most_named(entries, "high"))
-    spokes = _bounded(spokes.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), prefixes, percent)
-    first = _linked(cut_lineage(spokes), docs, words, percent, id_col, text_col)
-    groups = cut_lineage(resolve(first))
+    # Step 1: groups around sets of other groups that most tokens of a set name.
+    grouped = prefixes.select("doc", "n", F.posexplode("prefix").alias("at", "token"), F.col("doc").alias("group"))
+    first = None
+    for turn in range(ROUNDS):
+        entries = cut_lineage(_named(grouped, turn))
+        spokes = cut_lineage(_bounded(_spokes(entries), prefixes, percent))
+        found = _linked(spokes, docs, words, percent, id_col, text_col)
+        first = found if first is None else first.unionByName(found)
+        groups = cut_lineage(resolve(first))
+        grouped = entries.join(groups.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
+            "token", "doc", "n", "at", F.coalesce("root", "doc").alias("group")
+        )
+        grouped = cut_lineage(grouped)
+        if found.isEmpty() or not _crowded(grouped, in_index):
+            break
 
     # Step 2: the matrix, queries on it, and the groups they open.
-    grouped = entries.join(groups.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
-        "token", "doc", "n", "at", F.coalesce("root", "doc").alias("group")
-    )
-    grouped = cut_lineage(grouped)
-    n = F.col("n")
-    in_index = F.col("at") < n - F.ceil(F.lit(2 * percent) * n / (100 + percent)).cast("bigint") + 1
     members = grouped.filter(in_index)
     matrix = members.groupBy("token", F.col("group").alias("target")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max(n - F.col("at")).alias("rest")
