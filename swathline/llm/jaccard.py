@@ -41,9 +41,9 @@ CHUNK = 128
 KNOWN_WORDS = 120_000
 #: Rounds of grouping end when the matrix makes no more than so many rows for each prefix token, or none is left.
 CROWDED = 2
-ROUNDS = 4
+ROUNDS = 2
 #: A round after the first holds each set against twice as many others at most.
-DRAWS = 4
+DRAWS = 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.empty(0, np.uint64)
 
