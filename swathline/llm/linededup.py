@@ -1,13 +1,15 @@
 """Cross-site boilerplate lines, found by their spread over sites, and removed.
 
-A line is what stands between line feeds; it is compared by a 64-bit hash of its text without surrounding white space.
+A line is what stands between line feeds; it is compared by a 64-bit hash of its text without surrounding white space, every
+inner run of white space (tabs, carriage returns and wide spaces too) counting as one space.
 One HyperLogLog sketch of the sites is kept per line hash; sketches merge by aggregation, also before the shuffle, so a
 line that is everywhere costs as much as any other. Lines whose estimate is near the threshold get an exact distinct
 count; those clearly beyond it are boilerplate, those clearly below it aren't.
 
 A boilerplate line stays in the document with the smallest id among those that hold it and leaves all others, so
 that of a group of copies one document stays whole. Lines of fewer than ``min_words`` words are never boilerplate:
-they repeat by chance. A document whose lines all go keeps its row, with an empty text.
+they repeat by chance. Words are parted by any white space; in scripts written without spaces every character counts as one.
+``min_words`` = 1 judges every line that isn't empty. A document whose lines all go keeps its row, with an empty text.
 
 Null text: stays null, no lines. Null site: counts as no site. Null id: the row counts towards the sites and is left as it
 is. Repeated rows: each loses the same lines; rows that share the smallest id all keep theirs. Empty table: empty result.
@@ -26,14 +28,33 @@ MIN_WORDS = 4
 LOG_K = 10
 #: An estimate within so many standard errors of the threshold is counted exactly.
 ERRORS = 4
+#: White space beside the space, and the characters of scripts that don't part words by it (Thai to Khmer,
+#: kana, Han).
+SPACES = (
+    r"\t\x0b\f\r\x1c-\x1f\x85\xa0\u1680"
+    r"\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+UNSPACED = (
+    r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u2fdf\u3005-\u3007\u3021-\u3029\u3038-\u30ff"
+    r"\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\x{20000}-\x{3ffff}"
+)
+
+
+def _single_spaced(text: Column) -> Column:
+    """The text with one space for all white space but line feeds."""
+    other = text.rlike(f"[{SPACES}]") | F.contains(text, F.lit("  "))
+    return F.when(other, F.regexp_replace(text, f"[ {SPACES}]+", " ")).otherwise(text)
 
 
 def line_hash(line: Column) -> Column:
+    """The hash of a line of single-spaced text."""
     return F.xxhash64(F.trim(line))
 
 
 def _long_enough(line: Column, min_words: int) -> Column:
-    return F.size(F.split(F.trim(line), " ", min_words)) >= min_words
+    line = F.trim(line)
+    unspaced = line.rlike(f"^(?:(?:[{UNSPACED}]|[^ {UNSPACED}]++) ?+){{{min_words}}}")
+    return (line != "") & ((F.size(F.split(line, " ", min_words)) >= min_words) | unspaced)
 
 
 def boilerplate(
@@ -45,7 +66,7 @@ def boilerplate(
         F.col(id_col).alias("doc"),
         F.xxhash64(F.col(site_col)).alias("site"),
         F.col(site_col).isNotNull().alias("named"),
-        F.explode(F.filter(F.split(F.col(text_col).cast("string"), "\n"), lambda x: _long_enough(x, min_words))).alias("text"),
+        F.explode(F.filter(F.split(_single_spaced(F.col(text_col).cast("string")), "\n"), lambda x: _long_enough(x, min_words))).alias("text"),
     ).select("doc", F.when(F.col("named"), F.col("site")).alias("site"), line_hash(F.col("text")).alias("line"))
     error = ERRORS * 1.04 / (1 << log_k) ** 0.5
     spread = lines.groupBy("line").agg(
@@ -71,7 +92,7 @@ def remove_boilerplate(
     bad = cut_lineage(
         boilerplate(docs, min_sites, min_words, log_k, id_col, text_col, site_col).filter(F.col("first").isNotNull())
     )
-    split = F.split(F.col(text_col).cast("string"), "\n")
+    split = F.split(_single_spaced(F.col(text_col).cast("string")), "\n")
     held = docs.select(
         F.col(id_col).alias("_doc"),
         F.explode(F.array_distinct(F.transform(F.filter(split, lambda x: _long_enough(x, min_words)), line_hash))).alias("line"),
@@ -84,7 +105,9 @@ def remove_boilerplate(
     )
     joined = docs.join(drops, F.col(id_col) == F.col("_doc"), "left")
     lines = F.split(F.col(text_col), "\n")
-    stays = F.filter(lines, lambda x: ~(F.array_contains("_drop", line_hash(x)) & _long_enough(x, min_words)))
+    stays = F.filter(
+        lines, lambda x: ~(F.array_contains("_drop", line_hash(_single_spaced(x))) & _long_enough(_single_spaced(x), min_words))
+    )
     touched = F.col("_drop").isNotNull()
     columns = [
         F.when(touched, F.array_join(stays, "\n")).otherwise(F.col(c)).alias(c) if c == text_col else F.col(c)

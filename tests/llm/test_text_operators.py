@@ -216,6 +216,19 @@ def test_lines_near_the_threshold(spark):
         assert Counter(rows_of(found, "doc_id", "text")) == Counter(want)
 
 
+def test_lines_by_any_white_space_and_script(spark):
+    lines = ["版权所有不得转载", "すべての権利を保有します", "Terms\tof\tuse\tapply", "Terms of\u3000use  apply\r", "a\u00a0b c\td", "版权", "All rights reserved."]
+    docs = [(s, f"s{s}", "\n".join([f"own text of number {s}", "", *lines])) for s in range(5)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    got = dict(rows_of(linededup.remove_boilerplate(frame), "doc_id", "text"))
+    assert got[0] == docs[0][2] and got[4] == "own text of number 4\n\n版权\nAll rights reserved."
+    got = dict(rows_of(linededup.remove_boilerplate(frame, min_words=1), "doc_id", "text"))
+    assert got[0] == docs[0][2] and got[4] == "own text of number 4\n"
+    mixed = [(s, f"s{s}", ("x y  z w", "x\ty z w\r", " x y z w", "x y z\u3000w")[s]) for s in range(4)]
+    got = dict(rows_of(linededup.remove_boilerplate(spark.createDataFrame(mixed, frame.schema)), "doc_id", "text"))
+    assert got == {0: mixed[0][2], 1: "", 2: "", 3: ""}
+
+
 # 8. Toxicity
 
 
