@@ -34,6 +34,8 @@ PATTERNS = {
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
 KINDS = tuple(PATTERNS)
+#: What every value of any kind holds: a text without it is passed over at less cost.
+MAY_HOLD = "[0-9@=:]|AKIA"
 DATE_FORMATS = (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"))
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
@@ -263,7 +265,7 @@ def pseudonymise(
     """The documents with validated values replaced, the number of them in all and by kind."""
     pattern = "|".join(f"({PATTERNS[k]})" for k in kinds)
     text = F.col(text_col).cast("string")
-    hit = text.rlike("[0-9@]") & text.rlike(pattern)
+    hit = text.rlike(MAY_HOLD) & text.rlike(pattern)
     found = F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     between = F.when(hit, F.split(text, pattern))
 
