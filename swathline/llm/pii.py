@@ -21,17 +21,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 4
+# The countries' lengths of account numbers.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _known_ibans() -> str:
+    forms = []
+    for length, countries in IBAN_LENGTHS.items():
+        groups, rest = divmod(length - 4, 4)
+        tail = rf" ?[A-Z0-9]{{{rest}}}" if rest else ""
+        forms.append(rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    return "|".join(forms)
+
+
 # The patterns of the kinds, in the order in which they are tried.
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "secret": r"\bAKIA[0-9A-Z]{16}\b|\b(?i:password|passwd|secret|token|api_key)\s?[=:]\s?\"?[A-Za-z0-9_\-/+]{8,}",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+    # The country's length first, so that a word behind the number isn't taken for a part of it.
+    "iban": rf"\b(?:{_known_ibans()}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)\b",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d)",
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
     r"|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    # Ends before a group that begins a date or an address, and if possible before one that begins another card.
+    "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])(?!(?<=[ -]\d{1,3})[./]\d)(?!(?<=[ -]\d{1,4})(?: \d{1,4}){2})"
+    r"|(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
 }
 KINDS = tuple(PATTERNS)
 #: What every value of any kind holds: a text without it is passed over at less cost.
@@ -148,11 +169,19 @@ def _pad(number: Column, width: int) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
+    """The longest valid number that begins the candidate and ends with one of its groups of digits; the rest stays."""
+    starts = F.array(*(F.regexp_extract(m, rf"^\d(?:[ -]?\d){{{n - 1}}}(?!\d)", 0) for n in range(19, 12, -1)))
+    valid = F.filter(starts, lambda p: F.when(p != "", F.pmod(luhn_sum(_digits(p)), F.lit(10)) == 0).otherwise(False))
+    rest = lambda p: F.substr(m, F.length(p) + 1, F.length(m))
+    return F.get(F.transform(F.slice(valid, 1, 1), lambda p: F.concat(_card_number(p, key), rest(p))), F.lit(0))
+
+
+def _card_number(m: Column, key: str) -> Column:
     digits = _digits(m)
     body = F.substr(digits, F.lit(2), F.length(digits) - 2)
     start = F.concat(F.substr(digits, F.lit(1), F.lit(1)), feistel_text(body, key, "card"))
     check = F.pmod(10 - F.pmod(luhn_sum(F.concat(start, F.lit("0"))), F.lit(10)), F.lit(10))
-    return F.when(F.pmod(luhn_sum(digits), F.lit(10)) == 0, _refill(m, F.concat(start, check.cast("string"))))
+    return _refill(m, F.concat(start, check.cast("string")))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -270,12 +299,16 @@ def pseudonymise(
     between = F.when(hit, F.split(text, pattern))
 
     def replaced(m: Column) -> Column:
-        kind, new = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for k in reversed(kinds):
-            of_kind = m.rlike(f"^(?:{PATTERNS[k]})$")
-            kind = F.when(of_kind, F.lit(k)).otherwise(kind)
-            new = F.when(of_kind, pseudonym(m, k, key)).otherwise(new)
-        return F.struct(kind.alias("kind"), m.alias("old"), new.alias("new"))
+        tries = F.array(
+            *(
+                F.struct(
+                    F.lit(k).alias("kind"), m.alias("old"), F.when(m.rlike(f"^(?:{PATTERNS[k]})$"), pseudonym(m, k, key)).alias("new")
+                )
+                for k in kinds
+            )
+        )
+        none = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("old"), F.lit(None).cast("string").alias("new"))
+        return F.coalesce(F.get(F.filter(tries, lambda r: r["new"].isNotNull()), F.lit(0)), none)
 
     marked = docs.withColumn("_between", between).withColumn("_found", F.transform(found, replaced))
     joined = F.array_join(

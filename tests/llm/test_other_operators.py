@@ -283,3 +283,19 @@ def test_secrets_without_digits(spark):
     got = replaced_texts(spark, texts)
     assert [n for _, n in got] == [1, 1, 1, 0] and got[3][0] == texts[3]
     assert all(new != old and len(new) == len(old) for (new, _), old in zip(got[:3], texts))
+
+
+def test_values_with_more_behind_them(spark):
+    card, amex, account = "4111 1111 1111 1111", "378282246310005", "BE68 5390 0754 7034"
+    texts = [
+        f"{card} 123", "4111111111111111 12/27", f"{account} PAID", f"{account} {card} 456", f"{amex} {card}", f"{card} 12.05.2024",
+        f"{card} 12.1.2.3", "4111 1111 1111 1112 123",
+    ]
+    got = replaced_texts(spark, texts)
+    assert [n for _, n in got] == [1, 1, 1, 2, 2, 2, 2, 0] and got[7][0] == texts[7]
+    new = got[0][0][:19]
+    assert new != card and luhn(new.replace(" ", "")) and got[0][0] == f"{new} 123"
+    assert got[1][0] == f"{new.replace(' ', '')} 12/27"
+    assert got[2][0].endswith(" PAID") and got[2][0][:19] != account and iban_rest(got[2][0][:19].replace(" ", "")) == 1
+    assert got[3][0] == f"{got[2][0][:19]} {new} 456" and got[4][0].endswith(new) and amex not in got[4][0]
+    assert got[5][0].startswith(new) and "12.05.2024" not in got[5][0] and "12.1.2.3" not in got[6][0]
