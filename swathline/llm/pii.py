@@ -49,7 +49,8 @@ PATTERNS = {
     "date": r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\d/-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-    r"|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
+    r"|(?<![\d+])\(\d{3}\) ?\d{3}-\d{4}(?!\d)"
+    + "".join(rf"|(?<![\d+])(?<!\d[ .-])(?:1{d})?\d{{3}}{d}\d{{3}}{d}\d{{4}}(?![ .-]?\d)" for d in ("-", r"\.", " ")),
     # Ends before a group that begins a date or an address, and if possible before one that begins another card.
     "card": r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])(?!(?<=[ -]\d{1,3})[./]\d)(?!(?<=[ -]\d{1,4})(?: \d{1,4}){2})"
     r"|(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])",
@@ -57,7 +58,9 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 #: What every value of any kind holds: a text without it is passed over at less cost.
 MAY_HOLD = "[0-9@=:]|AKIA"
-DATE_FORMATS = (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", "MM/dd/yyyy"))
+#: Slashed dates are read month first; where that is no valid day, day first. Later formats win.
+MONTH_FIRST, DAY_FIRST = "MM/dd/yyyy", "dd/MM/yyyy"
+DATE_FORMATS = (("-", "yyyy-MM-dd"), (".", "dd.MM.yyyy"), ("/", DAY_FIRST), ("/", MONTH_FIRST))
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
 
 
@@ -202,7 +205,12 @@ def _date(m: Column, key: str) -> Column:
         number = F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("bigint")
         new = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(number, *DAYS, key, "date").cast("int"))
         known = F.contains(m, F.lit(mark)) & number.between(0, DAYS[0] * DAYS[1] - 1)
-        out = F.when(known, F.date_format(new, form)).otherwise(out)
+        if form == DAY_FIRST:
+            # The day can't be taken for a month, neither in the value nor in its pseudonym.
+            new = F.when(F.day(new) > 12, F.date_format(new, form)).otherwise(F.date_format(new, MONTH_FIRST))
+        else:
+            new = F.date_format(new, form)
+        out = F.coalesce(F.when(known, new), out)
     return out
 
 
@@ -224,14 +232,13 @@ def _ssn(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     digits = _digits(m)
-    national = F.when(m.rlike(r"^\+1(?!\d{3,}$)"), F.substr(digits, F.lit(2), F.length(digits))).when(
-        m.rlike(r"^\("), digits
-    )
+    prefixed = (m.startswith("+1") | ~m.startswith("+")) & (F.length(digits) == 11) & digits.startswith("1")
+    national = F.when(prefixed, F.substr(digits, F.lit(2), F.length(digits))).when(~m.startswith("+"), digits)
     american = F.length(national) == 10
     new = feistel_number(national.cast("bigint"), 100_000, 100_000, key, "phone")
 
     def text(v: Column) -> Column:
-        return F.concat(F.when(m.startswith("+"), F.lit("1")).otherwise(F.lit("")), _pad(v, 10))
+        return F.concat(F.when(prefixed, F.lit("1")).otherwise(F.lit("")), _pad(v, 10))
 
     # Other numbering plans: the first three digits may hold the country and stay.
     foreign = m.startswith("+") & ~m.startswith("+1") & F.length(digits).between(8, 15)

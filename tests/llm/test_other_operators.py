@@ -299,3 +299,20 @@ def test_values_with_more_behind_them(spark):
     assert got[2][0].endswith(" PAID") and got[2][0][:19] != account and iban_rest(got[2][0][:19].replace(" ", "")) == 1
     assert got[3][0] == f"{got[2][0][:19]} {new} 456" and got[4][0].endswith(new) and amex not in got[4][0]
     assert got[5][0].startswith(new) and "12.05.2024" not in got[5][0] and "12.1.2.3" not in got[6][0]
+
+
+def test_phone_and_date_formats(spark):
+    national = ["+12125550123", "212-555-0123", "212.555.0123", "212 555 0123", "1-212-555-0123", "1.212.555.0123", "(212) 555-0123", "+1 (212) 555-0123"]
+    got = pseudonyms(spark, national, "phone", "key")
+    assert len({re.sub(r"[^0-9]", "", p)[-10:] for p in got.values()}) == 1
+    for (new, n), old in zip(replaced_texts(spark, [f"call {v}, or not" for v in national]), national):
+        assert new == f"call {got[old]}, or not" and n == 1 and got[old] != old
+        assert re.sub(r"\d", "0", got[old]) == re.sub(r"\d", "0", old) and (len(re.sub(r"[^0-9]", "", old)) == 10 or "1" in got[old][:2])
+    days = [str(d) for d in np.arange("1999-06-01", "2001-06-01", dtype="datetime64[D]")]
+    slashed = {d: f"{d[8:]}/{d[5:7]}/{d[:4]}" for d in days if d[8:] > "12"}
+    iso, got = pseudonyms(spark, days, "date"), pseudonyms(spark, list(slashed.values()), "date")
+    for d, v in slashed.items():
+        y, m, day = iso[d].split("-")
+        assert got[v] == (f"{day}/{m}/{y}" if day > "12" else f"{m}/{day}/{y}")
+    assert len(set(got.values())) == len(slashed)
+    assert [n for _, n in replaced_texts(spark, ["on 25/12/1999", "on 12/25/1999", "on 31/02/1999", "on 13/13/1999"])] == [1, 1, 0, 0]
