@@ -4,8 +4,10 @@ A page is read once into text blocks, each with the path of tags from the root t
 its texts and their punctuation are aggregated and related to the number of its blocks. These ratios are smoothed over
 the blocks next to each other in the page, and fused with the ratios of the enclosing path, so that a heading or a short
 paragraph inside an article shares in what the article holds. Paths above a threshold of the page's own scores are
-content. Paths through elements that never hold the article (navigation, forms, scripts), or whose class, id or role names a
-notice, advert, menu, sidebar or reader comment, score zero.
+content. Paths through elements that never hold the article (navigation, forms, scripts) score zero. A class, id or role
+that names a notice, advert, menu, sidebar or reader comment lowers the scores of its element's paths to the share of the
+page's text and punctuation that the element holds, unless that is most of both; html, body, main and article aren't judged
+by such names, and hyphenated names count as a whole or by their first part before "notice", "banner" and the like.
 
 All blocks of a content path are kept, in page order. Null or empty html, or a page without content: empty text. Broken
 markup (tags that are never closed, stray closing tags, a cut-off page) is read as far as it goes. Repeated rows are
@@ -55,7 +57,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _LABEL = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…、。，！？]")
-_WORD = re.compile(r"[a-z]+")
+#: Names of which the first part says what the element holds, such as cookie-notice or comment-list.
+_COMPOUND = re.compile(
+    r"(?:%s)[-_](?:area|banner|bar|block|box|container|form|item|list|links|menu|notice|popup|section|unit|widget|wrapper)"
+    % "|".join(sorted(BOILERPLATE))
+)
+#: Elements that a label doesn't lower.
+HOLDERS = frozenset(("html", "body", "main", "article"))
 
 
 @dataclass
@@ -63,6 +71,7 @@ class _Open:
     name: str
     path: str
     barred: bool
+    labels: tuple[int, ...] = ()
 
 
 @dataclass
@@ -75,22 +84,27 @@ class _Paths:
     places: list[int] = field(default_factory=list)
 
 
-def _barred(name: str, attributes: str, inside_article: bool) -> bool:
-    if name in NEVER or name == "header" and not inside_article:
-        return True
+def _barred(name: str, inside_article: bool) -> bool:
+    return name in NEVER or name == "header" and not inside_article
+
+
+def _labelled(name: str, attributes: str) -> bool:
+    if name in HOLDERS:
+        return False
     for kind, *values in _LABEL.findall(attributes):
-        value = "".join(values).lower()
+        names = "".join(values).lower().split()
         if kind.lower() == "role":
-            if value.strip() in ROLES:
+            if ROLES.intersection(names):
                 return True
-        elif BOILERPLATE.intersection(_WORD.findall(value)):
+        elif any(n in BOILERPLATE or _COMPOUND.fullmatch(n) for n in names):
             return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[str, bool, str]]:
-    """(path, barred, text) of every text block in page order."""
-    out: list[tuple[str, bool, str]] = []
+def blocks_of(page: str) -> list[tuple[str, bool, str, tuple[int, ...]]]:
+    """(path, barred, text, labelled elements around it) of every text block in page order."""
+    out: list[tuple[str, bool, str, tuple[int, ...]]] = []
+    labelled = 0
     stack = [_Open("", "", False)]
     held: list[str] = []
     home = stack[0]
@@ -100,7 +114,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, str]]:
             text = " ".join(references.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((home.path, home.barred, text))
+                out.append((home.path, home.barred, text, home.labels))
 
     def block() -> _Open:
         return next(o for o in reversed(stack) if o.name not in INLINE)
@@ -165,9 +179,15 @@ def blocks_of(page: str) -> list[tuple[str, bool, str]]:
                 close(SAME_LEVEL[name], BOUNDS)
         above = stack[-1]
         inside = any(o.name in ("article", "main") for o in stack)
-        barred = above.barred or _barred(name, match[3], inside)
+        barred, labels = above.barred or _barred(name, inside), above.labels
         path = above.path if name in INLINE else f"{above.path}/{name}"
-        stack.append(_Open(name, path, barred))
+        if _labelled(name, match[3]):
+            if name in INLINE:
+                barred = True
+            else:
+                labelled += 1
+                labels = (*labels, labelled)
+        stack.append(_Open(name, path, barred, labels))
         if barred and name in INLINE and held:
             flush()
     flush()
@@ -179,8 +199,36 @@ def _ratio(paths: _Paths) -> float:
     return paths.length / paths.blocks * (1 + paths.marks / paths.blocks)
 
 
-def content(blocks: list[tuple[str, bool, str]], reach: int = 2, share: float = 0.5) -> list[str]:
+def content(found: list[tuple[str, bool, str, tuple[int, ...]]], reach: int = 2, share: float = 0.5) -> list[str]:
     """The texts whose path scores above the threshold."""
+    # What a labelled element holds of the page's text and punctuation; one that holds most of both counts as unlabelled.
+    sums: dict[int, list[int]] = {0: [0, 0]}
+    for _, barred, text, labels in found:
+        if not barred:
+            marks = len(_PUNCTUATION.findall(text))
+            for label in (0, *labels):
+                s = sums.setdefault(label, [0, 0])
+                s[0], s[1] = s[0] + len(text), s[1] + marks
+    shares = {i: (s[0] / (sums[0][0] or 1), s[1] / (sums[0][1] or 1)) for i, s in sums.items()}
+    lowered = {i: a * b for i, (a, b) in shares.items() if a <= 0.5 or b <= 0.5}
+    factors = [math.prod(lowered.get(i, 1.0) for i in labels) for *_, labels in found]
+    # Lowered elements don't shape the page's own scores, but theirs are held against the same threshold.
+    blocks = [(path, barred or f < 1, text) for (path, barred, text, _), f in zip(found, factors)]
+    kept, threshold = _kept(blocks, reach, share)
+    parts: dict[tuple, _Paths] = {}
+    for (path, barred, text, labels), f in zip(found, factors):
+        if not barred and f < 1:
+            s = parts.setdefault((path, labels), _Paths())
+            s.length, s.marks, s.blocks = s.length + len(text), s.marks + len(_PUNCTUATION.findall(text)), s.blocks + 1
+    out = []
+    for (path, barred, text, labels), f in zip(found, factors):
+        if not barred and (path in kept if f == 1 else _ratio(parts[path, labels]) * (1 + shares[labels[-1]][0]) * f >= threshold):
+            out.append(text)
+    return out
+
+
+def _kept(blocks: list[tuple[str, bool, str]], reach: int, share: float) -> tuple[set[str], float]:
+    """The paths that score above the threshold, and the threshold."""
     stats: dict[str, _Paths] = {}
     subtree: dict[str, _Paths] = {}
     for place, (path, barred, text) in enumerate(blocks):
@@ -193,7 +241,7 @@ def content(blocks: list[tuple[str, bool, str]], reach: int = 2, share: float =
         for s in (own, subtree.setdefault(above, _Paths())):
             s.length, s.marks, s.blocks = s.length + len(text), s.marks + marks, s.blocks + 1
     if not stats:
-        return []
+        return set(), 0.0
     raw = {path: _ratio(s) for path, s in stats.items()}
     around = [math.exp(-((d / reach) ** 2) / 2) for d in range(-reach, reach + 1)]
     series = [0.0 if barred else raw[path] for path, barred, _ in blocks]
@@ -218,7 +266,7 @@ def content(blocks: list[tuple[str, bool, str]], reach: int = 2, share: float =
         p for p in stats
         if scores[p] >= threshold or any(t.count("/") > 2 and p.startswith(t + "/") for t in trunks)
     }
-    return [text for path, barred, text in blocks if not barred and path in kept]
+    return kept, threshold
 
 
 def main_text(page: str | None) -> str:

@@ -316,3 +316,17 @@ def test_phone_and_date_formats(spark):
         assert got[v] == (f"{day}/{m}/{y}" if day > "12" else f"{m}/{day}/{y}")
     assert len(set(got.values())) == len(slashed)
     assert [n for _, n in replaced_texts(spark, ["on 25/12/1999", "on 12/25/1999", "on 31/02/1999", "on 13/13/1999"])] == [1, 1, 0, 0]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html><body class="has-sidebar no-comments"><main><p>{0}</p></main></body></html>', "<body class=ad><p>{0}</p></body>",
+        '<html><body><div class="content with-sidebar"><p>{0}</p></div></body></html>',
+        '<html><body><article class="related-work" id="share-prices"><p>{0}</p><div class="ad">Buy, now!</div></article></body></html>',
+        '<html><body><div class="social widget"><p>{0}</p></div><div class="cookie-notice"><p>We use cookies, here.</p></div></body></html>',
+    ],
+)
+def test_labels_dont_take_the_article(page):
+    text = "A sentence of some length, with marks, to be kept. " * 4
+    assert extraction.main_text(page.format(text)) == text.strip()
