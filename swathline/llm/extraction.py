@@ -62,6 +62,8 @@ _COMPOUND = re.compile(
     r"(?:%s)[-_](?:area|banner|bar|block|box|container|form|item|list|links|menu|notice|popup|section|unit|widget|wrapper)"
     % "|".join(sorted(BOILERPLATE))
 )
+#: The share of the page's unbarred text that the content right under a path has if the path is a trunk.
+TRUNK = 0.25
 #: Elements that a label doesn't lower.
 HOLDERS = frozenset(("html", "body", "main", "article"))
 
@@ -105,7 +107,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, tuple[int, ...]]]:
     """(path, barred, text, labelled elements around it) of every text block in page order."""
     out: list[tuple[str, bool, str, tuple[int, ...]]] = []
     labelled = 0
-    stack = [_Open("", "", False)]
+    stack = [_Open("", "", False)]  # html and body are implied in all paths
     held: list[str] = []
     home = stack[0]
 
@@ -114,7 +116,7 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, tuple[int, ...]]]:
             text = " ".join(references.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((home.path, home.barred, text, home.labels))
+                out.append((home.path if home.path not in ("", "/html") else "/html/body", home.barred, text, home.labels))
 
     def block() -> _Open:
         return next(o for o in reversed(stack) if o.name not in INLINE)
@@ -178,9 +180,13 @@ def blocks_of(page: str) -> list[tuple[str, bool, str, tuple[int, ...]]]:
             if name in SAME_LEVEL:
                 close(SAME_LEVEL[name], BOUNDS)
         above = stack[-1]
+        if name in ("html", "head", "body"):
+            holder = "/html" if name != "html" else ""
+        else:
+            holder = "/html/body" if above.path in ("", "/html") else above.path
         inside = any(o.name in ("article", "main") for o in stack)
         barred, labels = above.barred or _barred(name, inside), above.labels
-        path = above.path if name in INLINE else f"{above.path}/{name}"
+        path = above.path if name in INLINE else f"{holder}/{name}"
         if _labelled(name, match[3]):
             if name in INLINE:
                 barred = True
@@ -202,6 +208,10 @@ def _ratio(paths: _Paths) -> float:
 def content(found: list[tuple[str, bool, str, tuple[int, ...]]], reach: int = 2, share: float = 0.5) -> list[str]:
     """The texts whose path scores above the threshold."""
     # What a labelled element holds of the page's text and punctuation; one that holds most of both counts as unlabelled.
+    # Where an article or main element has text of its own, labelled elements outside of such elements score zero.
+    within = [not {"article", "main"}.isdisjoint(path.split("/")) for path, *_ in found]
+    named = any(w and not barred and not labels for w, (_, barred, _, labels) in zip(within, found))
+    held_in = {i for w, (*_, labels) in zip(within, found) if w for i in labels}
     sums: dict[int, list[int]] = {0: [0, 0]}
     for _, barred, text, labels in found:
         if not barred:
@@ -211,6 +221,7 @@ def content(found: list[tuple[str, bool, str, tuple[int, ...]]], reach: int = 2,
                 s[0], s[1] = s[0] + len(text), s[1] + marks
     shares = {i: (s[0] / (sums[0][0] or 1), s[1] / (sums[0][1] or 1)) for i, s in sums.items()}
     lowered = {i: a * b for i, (a, b) in shares.items() if a <= 0.5 or b <= 0.5}
+    lowered |= {i: 0.0 for i in shares if i and named and i not in held_in}
     factors = [math.prod(lowered.get(i, 1.0) for i in labels) for *_, labels in found]
     # Lowered elements don't shape the page's own scores, but theirs are held against the same threshold.
     blocks = [(path, barred or f < 1, text) for (path, barred, text, _), f in zip(found, factors)]
@@ -222,7 +233,7 @@ def content(found: list[tuple[str, bool, str, tuple[int, ...]]], reach: int = 2,
             s.length, s.marks, s.blocks = s.length + len(text), s.marks + len(_PUNCTUATION.findall(text)), s.blocks + 1
     out = []
     for (path, barred, text, labels), f in zip(found, factors):
-        if not barred and (path in kept if f == 1 else _ratio(parts[path, labels]) * (1 + shares[labels[-1]][0]) * f >= threshold):
+        if not barred and (path in kept if f == 1 else f > 0 and _ratio(parts[path, labels]) * (1 + shares[labels[-1]][0]) * f >= threshold):
             out.append(text)
     return out
 
@@ -261,11 +272,14 @@ def _kept(blocks: list[tuple[str, bool, str]], reach: int, share: float) -> tupl
         scores[path] = smooth[path] + _ratio(holder) * holder.length / whole
     mean = sum(scores[p] * s.length for p, s in stats.items()) / whole
     threshold = share * mean
-    trunks = [p.rpartition("/")[0] for p in stats if scores[p] >= threshold]
-    kept = {
-        p for p in stats
-        if scores[p] >= threshold or any(t.count("/") > 2 and p.startswith(t + "/") for t in trunks)
-    }
+    # A path whose own content holds enough of the page's text is a trunk: lists, tables and headings under it are kept too.
+    direct: dict[str, int] = {}
+    for p, s in stats.items():
+        if scores[p] >= threshold:
+            above = p.rpartition("/")[0]
+            direct[above] = direct.get(above, 0) + s.length
+    trunks = [t for t, length in direct.items() if length >= TRUNK * whole]
+    kept = {p for p in stats if scores[p] >= threshold or any(p.startswith(t + "/") for t in trunks)}
     return kept, threshold
 
 

@@ -330,3 +330,17 @@ def test_phone_and_date_formats(spark):
 def test_labels_dont_take_the_article(page):
     text = "A sentence of some length, with marks, to be kept. " * 4
     assert extraction.main_text(page.format(text)) == text.strip()
+
+
+def test_lists_and_tables_stay_without_optional_tags():
+    items = ["An item of thirty characters.", "One more of thirty characters", "The last item, also of thirty"]
+    text = ("A sentence of some length, with marks, to be kept. " * 10).strip()
+    inner = f"<p>{text}</p>" * 10 + "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul><table><tr><td>Cell</td></tr></table>"
+    want = [text] * 10 + items + ["Cell"]
+    for page in (f"<article>{inner}</article>", f"<html><body><article>{inner}</article></body></html>", f"<html><body>{inner}</body></html>", inner):
+        assert extraction.main_text(page).split("\n\n") == want
+
+
+def test_advert_longer_than_the_article():
+    page = "<body><div class=ad>{0}</div><article><h1>Short.</h1><p>Short.</p></article></body>"
+    assert extraction.main_text(page.format("Buy this, now, or later, as you like. " * 5)) == "Short.\n\nShort."
