@@ -6,8 +6,10 @@
 2. A neighbour graph of the pivots begins with the nearest ones inside the leaves of other such trees. Rounds of
    neighbours-of-neighbours joins refine it: each pivot's forward and reverse neighbours are compared with each other.
    A list is saturated when every neighbour on it could still hold a link; such lists are doubled.
-3. A hash sample of pivots, ``audit`` at most, is compared with all pivots, in blocks. While the graph holds less than
-   ``recall`` of the near pairs found so, another tree is added and the graph refined again.
+3. Of each label a hash sample of about ``audit`` pivots is compared with all its pivots, in blocks; the sample is doubled until
+   it holds ``evidence`` pivots with near pairs or is the whole label. While the graph holds less than ``recall`` of the near
+   pairs of some label, counted by pairs or by pivots, another tree is added and the graph refined again. A label that
+   still holds less after all trees is compared whole, in blocks. Near pairs found by comparison are kept.
 4. Of each edge that could hold a link, the members of both balls are compared by cosine in double precision. Links below
    the threshold are never reported. Components come from the ball edges.
 
@@ -33,6 +35,9 @@ from swathline.session import cut_lineage
 
 TREE_BITS = 30
 SAFE = 1e-9
+#: Pivots and bytes of vectors in one pass of the audit; a round that changes no greater share of the edges is the last one.
+PASS_ROWS, PASS_BYTES = 4096, 16 << 20
+UPDATES = 0.001
 
 
 def _planes(dim: int, trees: int) -> np.ndarray:
@@ -154,10 +159,10 @@ def _leaf_neighbours(pivots: DataFrame, tree: int, leaf: int, k: int) -> DataFra
 
 
 def _lists(edges: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The nearest of each node's edges, as many as its list may hold: (u, v, cos, place, size)."""
+    """The nearest of each node's edges, as many as its list may hold: (u, v, cos, fresh, place, size)."""
     window = Window.partitionBy("u").orderBy(F.desc("cos"), "v")
     return (
-        edges.groupBy("u", "v").agg(F.max("cos").alias("cos"))
+        edges.groupBy("u", "v").agg(F.max("cos").alias("cos"), F.min("fresh").alias("fresh"))
         .join(sizes, "u")
         .withColumn("place", F.row_number().over(window))
         .filter(F.col("place") <= F.col("size"))
@@ -228,20 +233,41 @@ def _near(edges: DataFrame, radii: DataFrame, angle: float) -> DataFrame:
     return edges.join(left, "u").join(right, "v").filter(_reach(angle)).select("u", "v")
 
 
-def _audited(pivots: DataFrame, near: DataFrame, angle: float, audit: int) -> float:
-    """The share of the sampled pivots' near pairs that the graph holds."""
-    kind = dict(pivots.dtypes)["node"]
-    sample = pivots.orderBy(F.xxhash64("node", F.lit("audit")), "node").limit(audit)
-    queries = [(r.node, r.label, r.dim, r.vec, r.radius) for r in sample.select("node", "label", "dim", "vec", "radius").collect()]
+def _passes(queries: DataFrame):
+    """The queries' rows in lists of bounded size."""
+    held, size = [], 0
+    for row in queries.select("node", "label", "dim", "vec", "radius").toLocalIterator():
+        held.append(tuple(row))
+        size += len(row.vec)
+        if len(held) >= PASS_ROWS or size >= PASS_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _compared(pivots: DataFrame, queries: DataFrame, angle: float) -> DataFrame:
+    """(u, v, label, dim): all near pairs of the queries, which are pivots too."""
+    kind, label = dict(pivots.dtypes)["node"], dict(pivots.dtypes)["label"]
+    found = pivots.sparkSession.createDataFrame([], f"u {kind}, v {kind}, label {label}, dim int")
+    for rows in _passes(queries):
+        found = found.unionByName(cut_lineage(_scan(pivots, rows, angle)))
+    return found
+
+
+def _scan(pivots: DataFrame, queries: list[tuple], angle: float) -> DataFrame:
+    kind, kind_of_label = dict(pivots.dtypes)["node"], dict(pivots.dtypes)["label"]
     spaces: dict[tuple, tuple] = {}
     for node, label, dim, vec, radius in queries:
         spaces.setdefault((label, dim), ([], [], []))
         for part, value in zip(spaces[label, dim], (node, np.frombuffer(bytes(vec)), radius)):
             part.append(value)
+    handle = pivots.sparkSession.sparkContext.broadcast(spaces)
 
     def make():
         def work(batch: pa.RecordBatch) -> dict:
-            u, v = [], []
+            spaces = handle.value
+            u, v, labels, dims = [], [], [], []
             ids, raw = batch.column("node").to_pylist(), batch.column("vec").to_pylist()
             radii = batch.column("radius").to_numpy()
             where: dict[tuple, list[int]] = {}
@@ -251,22 +277,62 @@ def _audited(pivots: DataFrame, near: DataFrame, angle: float, audit: int) -> fl
                 if space in spaces:
                     nodes, vectors, own = spaces[space]
                     block = np.frombuffer(b"".join(raw[i] for i in rows)).reshape(len(rows), -1)
-                    apart = np.arccos(np.clip(np.array(vectors) @ block.T, -1, 1))
-                    q, x = np.nonzero(apart <= angle + 1e-7 + np.array(own)[:, None] + radii[rows][None, :])
-                    for a, b in zip(q, x):
+                    own, around = np.array(own), radii[rows]
+                    cos = np.array(vectors) @ block.T
+                    q, x = np.nonzero(cos >= math.cos(min(math.pi, angle + 1e-6 + own.max() + around.max())) - SAFE)
+                    close = np.arccos(np.clip(cos[q, x], -1, 1)) <= angle + 1e-7 + own[q] + around[x]
+                    for a, b in zip(q[close], x[close]):
                         if nodes[a] != ids[rows[b]]:
                             u.append(nodes[a])
                             v.append(ids[rows[b]])
-            return {"u": u, "v": v}
+                            labels.append(space[0])
+                            dims.append(space[1])
+            return {"u": u, "v": v, "label": labels, "dim": dims}
 
         return work
 
-    true = map_batches(pivots.select("node", "label", "dim", "vec", "radius"), f"u {kind}, v {kind}", make)
+    source = pivots.select("node", "label", "dim", "vec", "radius")
+    return map_batches(source, f"u {kind}, v {kind}, label {kind_of_label}, dim int", make)
+
+
+def _place(pivots: DataFrame) -> DataFrame:
+    """Adds ``place``, from 0 to 1 by hash: the order in which pivots come into the audit."""
+    return pivots.withColumn("place", F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) / (1 << 30))
+
+
+def _audit(pivots: DataFrame, angle: float, audit: int, evidence: int) -> tuple[DataFrame, DataFrame]:
+    """The near pairs of the sampled pivots, and (label, dim, upto): the share of each label that was sampled."""
+    placed, space = _place(pivots), ["label", "dim"]
+    ends = pivots.groupBy(space).agg(F.least(F.lit(1.0), F.lit(float(audit)) / F.count("*")).alias("upto"))
+    ends = cut_lineage(ends.withColumn("since", F.lit(0.0)))
+    true = None
+    while True:
+        new = placed.join(ends, space).filter((F.col("place") >= F.col("since")) & (F.col("place") < F.col("upto")))
+        found = _compared(pivots, new, angle)
+        true = cut_lineage(found if true is None else true.unionByName(found))
+        seen = true.groupBy(space).agg(F.countDistinct("u").alias("_seen"))
+        more = (F.coalesce("_seen", F.lit(0)) < evidence) & (F.col("upto") < 1)
+        ends = cut_lineage(
+            ends.join(seen, space, "left").select(
+                *space, F.when(more, F.least(F.lit(1.0), F.col("upto") * 2)).otherwise(F.col("upto")).alias("upto"),
+                F.col("upto").alias("since"),
+            )
+        )
+        if ends.filter(F.col("upto") > F.col("since")).isEmpty():
+            return true, ends.select(*space, "upto")
+
+
+def _missed(true: DataFrame, ends: DataFrame, near: DataFrame, recall: float) -> DataFrame:
+    """(label, dim, upto) of the labels of which the graph holds too few near pairs, unless all of their pivots were compared."""
     held = near.select("u", "v").union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    row = true.join(held.withColumn("held", F.lit(1)), ["u", "v"], "left").agg(
+    by_pivot = true.join(held.withColumn("held", F.lit(1)), ["u", "v"], "left").groupBy("label", "dim", "u").agg(
         F.count("*").alias("n"), F.count("held").alias("found")
-    ).first()
-    return row.found / row.n if row.n else 1.0
+    )
+    shares = by_pivot.groupBy("label", "dim").agg(
+        F.least(F.sum("found") / F.sum("n"), F.avg(F.col("found") / F.col("n"))).alias("share")
+    )
+    few = F.coalesce("share", F.lit(0.0)) < recall
+    return ends.join(shares, ["label", "dim"], "left").filter((F.col("upto") < 1) & few).select("label", "dim", "upto")
 
 
 def _links(near: DataFrame, balls: DataFrame, threshold: float) -> DataFrame:
@@ -302,12 +368,12 @@ def _links(near: DataFrame, balls: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.93, k: int = 6, leaf: int = 64, trees: int = 3, extra_trees: int = 5,
-    rounds: int = 12, audit: int = 400, recall: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding",
+    rounds: int = 12, audit: int = 400, recall: float = 0.98, evidence: int = 100, id_col: str = "vec_id", vector_col: str = "embedding",
     label_col: str = "label",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept), one row per vector.
 
-    ``rounds`` bounds one refinement, which otherwise ends when it finds no new near pair and no list is saturated.
+    ``rounds`` bounds one refinement, which otherwise ends when next to no edge changes and no list is saturated.
     """
     angle = math.acos(threshold)
     half = math.cos(angle / 2) + SAFE
@@ -320,6 +386,7 @@ def near_duplicates(
     )
     balls = cut_lineage(_balls(nodes, half, leaf))
     pivots = balls.select("node", "label", "dim", "vec", "codes", "radius")
+    true, ends = _audit(pivots, angle, audit, evidence)
     edges, tree = None, 1
     while True:
         found = None
@@ -328,26 +395,31 @@ def near_duplicates(
             found = own if found is None else found.unionByName(own)
         tree += trees if edges is None else 1
         sizes = pivots.select(F.col("node").alias("u"), F.lit(k).alias("size")) if edges is None else sizes
-        edges = found if edges is None else graph.select("u", "v", "cos").unionByName(found)
+        found = found.withColumn("fresh", F.lit(1))
+        edges = found if edges is None else graph.select("u", "v", "cos", "fresh").unionByName(found)
         graph = cut_lineage(_lists(edges, sizes))
-        known = -1
+        changed = True
         for _ in range(rounds):
             near = _near(graph, pivots, angle)
             full = near.groupBy("u").agg(F.count("*").alias("n")).join(sizes, "u").filter(F.col("n") >= F.col("size"))
-            held = near.agg(F.count("*")).first()[0]
             saturated = full.count()
-            if held == known and not saturated:
+            if not changed and not saturated:
                 break
-            known = held
             if saturated:
                 grown = full.select("u", F.lit(2).alias("_by"))
                 sizes = cut_lineage(
                     sizes.join(grown, "u", "left").select("u", (F.col("size") * F.coalesce("_by", F.lit(1))).alias("size"))
                 )
-            graph = cut_lineage(_lists(graph.select("u", "v", "cos").unionByName(_round(graph, pivots)), sizes))
+            old, new = graph.select("u", "v", "cos", F.lit(0).alias("fresh")), _round(graph, pivots)
+            graph = cut_lineage(_lists(old.unionByName(new.withColumn("fresh", F.lit(1))), sizes))
+            count = graph.agg(F.sum("fresh").alias("new"), F.count("*").alias("n")).first()
+            changed = (count.new or 0) > UPDATES * count.n
         near = _near(graph, pivots, angle)
-        if tree > trees + extra_trees or _audited(pivots, near, angle, audit) >= recall:
+        missed = cut_lineage(_missed(true, ends, near, recall))
+        if tree > trees + extra_trees or missed.isEmpty():
             break
+    rest = _place(pivots).join(missed, ["label", "dim"]).filter(F.col("place") >= F.col("upto"))
+    near = near.union(true.select("u", "v")).union(_compared(pivots, rest, angle).select("u", "v"))
     pairs = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     across = cut_lineage(_links(pairs, balls, threshold))
     roots = resolve(across.filter(F.col("u").isNotNull()).select("u", "v"))

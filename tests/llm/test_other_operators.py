@@ -344,3 +344,14 @@ def test_lists_and_tables_stay_without_optional_tags():
 def test_advert_longer_than_the_article():
     page = "<body><div class=ad>{0}</div><article><h1>Short.</h1><p>Short.</p></article></body>"
     assert extraction.main_text(page.format("Buy this, now, or later, as you like. " * 5)) == "Short.\n\nShort."
+
+
+@pytest.mark.parametrize("evidence", [2, 100])
+def test_vectors_whole_where_the_graph_misses_pairs(spark, evidence):
+    rng = np.random.default_rng(9)
+    rows = [(rng.standard_normal(8), int(i % 2)) for i in range(300)]
+    rows += [(v + 0.02 * rng.standard_normal(8), label) for v, label in rows[::10]]
+    rows = [(i, [float(x) for x in v], label) for i, (v, label) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = nndescent.near_duplicates(frame, k=1, leaf=2, trees=1, extra_trees=0, rounds=0, audit=20, evidence=evidence)
+    assert vector_rows(got) == brute.cosine_links(rows, 0.93)
