@@ -7,18 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swathline.llm import chat, decontaminate, extraction, jaccard, linededup, nndescent, packing, pii, sharding, toxicity
+from swathline.llm import (
+    chat, decontaminate, extraction, idfiles, jaccard, linededup, nndescent, packing, periodic, pii, repair, sharding, toxicity,
+)
 from swathline.llm.common import read
 
 #: Any secret will do; a deployment sets its own.
 PII_KEY_CONF, PII_KEY = "spark.swathline.pii.key", "an example key"
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def tokenizer_pattern() -> str:
@@ -79,6 +81,20 @@ def op10_wu_manber(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents, _ = periodic.periodic_runs(periodic.plant_runs(read(spark, folder, "documents")))
+    return documents.drop("n_words", "collapsed")
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    table = read(spark, folder, "conversations")
+    return repair.repaired_reports(repair.damage(table), table)
+
+
+def op13_pfor_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return idfiles.round_trip(read(spark, folder, "documents"), tokenizer_path(WORD_TOKENIZER), end_id=1, by_word=True)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,7 +105,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_sharding, op3_nn_descent, op4_tag_path_ratios, op5_best_fit_packing, op6_line_spread,
-        op7_chat_format, op8_toxicity_pu, op9_feistel_pseudonyms, op10_wu_manber, pipeline,
+        op7_chat_format, op8_toxicity_pu, op9_feistel_pseudonyms, op10_wu_manber, op11_periodic_runs, op12_conversation_repair,
+        op13_pfor_ids, pipeline,
     )
 }
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 
@@ -122,3 +124,126 @@ def without_boilerplate(docs, min_sites=4, min_words=4):
             text = "\n".join(x for x in lines if not (x.strip(" ") in bad and long_enough(x) and first[x.strip(" ")] != doc))
         out.append((doc, text))
     return out
+
+
+# Operators 11 to 13
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def planted_words(doc, text):
+    found = words(text)
+    h = zlib.crc32(str(doc).encode())
+    g, n = h // 10, len(found)
+    if doc is not None and h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        found = [found[i] if i < a else found[a + (i - a) % p] for i in range(n)]
+    return found
+
+
+def runs(found):
+    """(start, length, period) of all runs, by start, then period; every period is tried along the whole text."""
+    number = {w: i for i, w in enumerate(dict.fromkeys(found))}
+    codes, out = np.array([number[w] for w in found]), []
+    for q in range(1, len(found) // 4 + 1):
+        same = np.concatenate([[False], codes[q:] == codes[:-q], [False]])
+        turns = np.flatnonzero(same[1:] != same[:-1])
+        for i, j in zip(turns[::2].tolist(), turns[1::2].tolist()):
+            if j - i + q >= max(6, 4 * q):
+                stretch = codes[i : j + q]
+                if not any(q % d == 0 and np.array_equal(stretch[d:], stretch[:-d]) for d in range(1, q)):
+                    out.append((i, j + q - i, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def run_report(found):
+    listed = runs(found)
+    dropped = {i for s, n, q in listed for i in range(s + q, s + n)}
+    best = min(listed, key=lambda r: (Fraction(-r[1], r[2]), r[0], r[2])) if listed else None
+    listing = "".join(f"{s},{n},{q}\n" for s, n, q in listed)
+    kept = " ".join(w for i, w in enumerate(found) if i not in dropped)
+    return (
+        len(listed), *(best or (None,) * 3), 1000 * best[1] // best[2] if best else None,
+        hashlib.sha256(listing.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest(),
+    )
+
+
+def damaged(rows):
+    """{conversation: rows after damage, by turn} of (conv, turn, role, text)."""
+    out = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or " ", r[3] or " ")):
+        kept = out.setdefault(conv, [])
+        key = ":".join(" " if v is None else str(v) for v in (conv, turn))
+        kind = zlib.crc32(key.encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if kind == 1:
+            text = ""
+        elif kind == 2:
+            text = re.sub("[.!?]", "", text)
+        elif kind == 4:
+            role = "user"
+        if kind:
+            kept += [(turn, role, text)] * (2 if kind == 3 else 1)
+    return {c: sorted(r, key=lambda t: (t[0] is not None, t[0] or 0, t[1], t[2])) for c, r in out.items()}
+
+
+def cheapest_edits(marks):
+    """(cost, audit, outputs) of (initial, fault) rows by the shortest path over (row, state), ties by the audit string."""
+    follows = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("a", "u"): "u", ("u", "a"): "a"}
+    done, heap = {}, [(0, "", (), 0, "")]
+    while heap:
+        cost, audit, put, i, state = heapq.heappop(heap)
+        if (i, state) in done:
+            continue
+        done[i, state] = cost, audit, put
+        other = "a" if state == "u" else "u"
+        heapq.heappush(heap, (cost + 3, audit + "I", (*put, (None, other)), i, other))
+        if i < len(marks):
+            initial, fault = marks[i]
+            heapq.heappush(heap, (cost + 4, audit + "D", put, i + 1, state))
+            if fault not in ("blank", "duplicate"):
+                more = cost + 3 * (fault == "truncated")
+                if (state, initial) in follows:
+                    heapq.heappush(heap, (more, audit + "K", (*put, (i, None)), i + 1, follows[state, initial]))
+                heapq.heappush(heap, (more + 3, audit + "R", (*put, (i, other)), i + 1, other))
+    return min((done[k] for k in done if k[0] == len(marks) and k[1] in ("", "a")), key=lambda d: d[:2])
+
+
+def repair_report(rows):
+    """(gaps, blank, duplicate, truncated, illegal, cost, audit, hash) of a conversation's rows after damage."""
+    if not rows:
+        return (0,) * 6 + ("", hashlib.sha256(b"").hexdigest())
+    turns = [t for t, _, _ in rows if t is not None]
+    seen, marks = set(), []
+    for _, role, text in rows:
+        said = re.findall(r"[^\x20\x09-\x0D]", text)
+        fault = (
+            "blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1] not in ".!?" else ""
+        )
+        seen.add((role, text))
+        marks.append((role[:1], fault))
+    cost, audit, put = cheapest_edits(marks)
+    full = {"u": "user", "a": "assistant"}
+    lines = [
+        (full[new] if new else rows[i][1]) + ":" + (rows[i][2] if i is not None else "") for i, new in put
+    ]
+    faults = [f for _, f in marks]
+    return (
+        max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0,
+        faults.count("blank"), faults.count("duplicate"), faults.count("truncated"),
+        sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(marks, marks[1:])),
+        cost, audit, hashlib.sha256("\n".join(lines).encode()).hexdigest(),
+    )
+
+
+def id_report(rows, encode, end):
+    """{doc: (start, n, crc)} of (doc, text) rows with distinct ids."""
+    out, start = {}, 0
+    for doc, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = [*encode(text or ""), end]
+        out[doc] = start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+    return out
