@@ -25,16 +25,18 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swathline.functions.ranking import running_totals
 from swathline.llm.common import map_batches
-from swathline.llm.packing import KNOWN_WORDS
 from swathline.session import scratch_path
 
 BLOCK = 256
@@ -42,6 +44,8 @@ LANES = BLOCK // 64
 PERCENTILES = (1.0, 0.98, 0.95, 0.9, 0.8)
 SEGMENT_IDS = 1 << 19
 SEGMENTS_IN_FILE = 16
+KNOWN_WORDS, KNOWN_STEMS = 50_000, 120_000
+SLICE_BYTES = 1 << 22
 MAGIC = b"PFB1"
 HEAD = "<4sQIQII"
 HEAD_SIZE = struct.calcsize(HEAD)
@@ -186,83 +190,156 @@ def segments(data: bytes | memoryview) -> Iterator[Segment]:
 # Encoding
 
 
+class Kept(dict):
+    """Values by key, in two generations of bounded size: what isn't asked for during a whole one is forgotten."""
+
+    def __init__(self, make: Callable[[str], array], size: int):
+        super().__init__()
+        self.make, self.size, self.older = make, size, {}
+
+    def __missing__(self, key: str) -> array:
+        if len(self) >= self.size:
+            self.older = dict(self)
+            self.clear()
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes.
+    """Token ids of texts by the tokenizers library.
 
-    ``by_word``: the tokeniser drops white space and never looks past it. Then texts are cut at white space and the ids of
-    words are kept, in two generations of bounded size; the ids are those of the whole text.
+    ``by_word``: the tokeniser drops white space and never looks past it. Then texts are cut at white space, each word of
+    some texts is encoded once, and the ids of words are kept; the result is that of the whole texts. ``plain``, a pattern
+    with the groups ``stem`` and ``tail``: the tokeniser lower-cases such a word, takes its stem as one piece and the tail as
+    others, and its model is a BPE over byte-level pieces. Then the model itself gets the stem, without the steps before it.
     """
 
-    def __init__(self, path: str, by_word: bool):
+    def __init__(self, path: str, by_word: bool = False, plain: str | None = None):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.by_word = by_word
+        self.by_word, self.plain = by_word, plain
+        self.whole, self.stems = Kept(self._whole, KNOWN_WORDS), Kept(self._stem, KNOWN_STEMS)
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _whole(self, text: str) -> array:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def encode(self, text: str) -> bytes:
+    def _stem(self, word: str) -> array:
+        piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(piece)])
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each with the end id; their numbers)."""
         if not self.by_word:
-            return self.whole(text)
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            return b"".join([known[w] if w in known else self._learn(w) for w in words])
-
-    def _learn(self, word: str) -> bytes:
-        if len(self.known) >= KNOWN_WORDS:
-            self.older = dict(self.known)
-            self.known.clear()
-        value = self.older.get(word)
-        if value is None:
-            value = self.whole(word)
-        self.known[word] = value
-        return value
+            found = [self._whole(t) + array("I", [end_id]) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(found), np.uintc), np.array([len(f) for f in found], np.int64)
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        offsets = split.offsets.to_numpy()
+        pieces, head, tail = self._pieces(words.dictionary)
+        # Of every word its stem and what follows, of every text the end id: pieces in the order of the texts.
+        index = words.indices.to_numpy()
+        at = np.arange(len(index)) * 2 + np.repeat(np.arange(len(texts)), np.diff(offsets))
+        order = np.full(2 * len(index) + len(texts), len(pieces))
+        order[at], order[at + 1] = head[index], tail[index]
+        pieces.append(array("I", [end_id]))
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        flat = np.frombuffer(b"".join(pieces), np.uintc)
+        taken = sizes[order]
+        stops = np.cumsum(taken)
+        shift = (np.cumsum(sizes) - sizes)[order] - (stops - taken)
+        ids = flat[np.repeat(shift, taken) + np.arange(len(shift) and stops[-1])]
+        ends = stops[2 * offsets[1:] + np.arange(len(texts))]
+        return ids, np.diff(ends, prepend=0)
+
+    def _pieces(self, words: pa.Array) -> tuple[list[array], np.ndarray, np.ndarray]:
+        """Ids of pieces, and the numbers of each word's two pieces; the first piece is empty."""
+        pieces, head, tail = [array("I")], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        other = np.ones(len(words), bool)
+        if self.plain:
+            found = pc.extract_regex(words, self.plain)
+            other = found.is_null().to_numpy(zero_copy_only=False)
+            found = found.filter(pa.array(~other))
+            for numbers, part, known in (
+                (head, pc.utf8_lower(pc.struct_field(found, "stem")), self.stems),
+                (tail, pc.struct_field(found, "tail"), self.whole),
+            ):
+                part = part.dictionary_encode()
+                numbers[~other] = part.indices.to_numpy() + len(pieces)
+                pieces += map(known.__getitem__, part.dictionary.to_pylist())
+        head[other] = np.arange(other.sum()) + len(pieces)
+        pieces += map(self.whole.__getitem__, words.filter(pa.array(other)).to_pylist())
+        return pieces, head, tail
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, by_word: bool, plain: str | None) -> Encoder:
+    """One encoder for the tasks of a Python worker, with the words that it keeps (two times the bounds above)."""
+    return Encoder(path, by_word, plain)
+
+
+def _byte_level() -> dict[int, str]:
+    """The characters that byte-level tokenisers show bytes as: printable Latin-1 as itself, the others from 256 on."""
+    shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
+    return {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
+_BYTE_LEVEL = _byte_level()
 
 
 # Files
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``SLICE_BYTES`` of text, so that what is made of them stays small."""
+    sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        done = sizes[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(sizes, done + SLICE_BYTES, side="right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def write(
     docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text",
-    by_word: bool = False, segment_ids: int = SEGMENT_IDS, segments_in_file: int = SEGMENTS_IN_FILE,
+    by_word: bool = False, plain: str | None = None, segment_ids: int = SEGMENT_IDS, segments_in_file: int = SEGMENTS_IN_FILE,
 ) -> None:
-    """Writes the ids of all documents below ``path``. ``by_word``: see ``Encoder``."""
+    """Writes the ids of all documents below ``path``. ``by_word``, ``plain``: see ``Encoder``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc"), text.alias("text")).withColumn("hash", F.xxhash64("text"))
     order = ["doc", "hash", "text"]
     ranged = rows.repartitionByRange("doc", "hash").sortWithinPartitions(*order)
     ranged = ranged.select(F.col("doc").cast("string").alias("doc"), "text")
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer, by_word).encode
+        encode = encoder(tokenizer, by_word, plain).encode
         names, counts, held = [], [], []
 
         def flush():
-            segment = write_segment(names, counts, np.frombuffer(b"".join(held), "<u4"))
+            segment = write_segment(names, counts, np.concatenate(held))
             for part in (names, counts, held):
                 part.clear()
             return pa.RecordBatch.from_arrays([pa.array([segment], pa.binary())], names=["segment"])
 
         total = 0
         for batch in batches:
-            ids, texts = batch.column("doc").to_pylist(), batch.column("text")
-            for i, name in enumerate(ids):
-                encoded = encode(texts[i].as_py()) + end
-                names.append(name)
-                counts.append(len(encoded) // 4)
-                held.append(encoded)
-                total += counts[-1]
-                if total >= segment_ids:
-                    yield flush()
-                    total = 0
+            for some in _slices(batch):
+                ids, lengths = encode(some.column("text"), end_id)
+                stop = 0
+                for name, n in zip(some.column("doc").to_pylist(), lengths.tolist()):
+                    start, stop = stop, stop + n
+                    names.append(name)
+                    counts.append(n)
+                    held.append(ids[start:stop])
+                    total += n
+                    if total >= segment_ids:
+                        yield flush()
+                        total = 0
         if names:
             yield flush()
 
@@ -340,10 +417,11 @@ def _file_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(
-    docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", by_word: bool = False
-) -> DataFrame:
+    docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", by_word: bool = False,
+    plain: str | None = None,
+) -> DataFrame:
     """Writes the files below the shared folder and reads every document back from them."""
     spark = docs.sparkSession
     path = scratch_path(spark, "ids")
-    write(docs, path, tokenizer, end_id, id_col, text_col, by_word)
+    write(docs, path, tokenizer, end_id, id_col, text_col, by_word, plain)
     return read(spark, path, dict(docs.select(F.col(id_col).alias("id")).dtypes)["id"], id_col)

@@ -15,6 +15,8 @@ from swathline.llm.common import read
 #: Any secret will do; a deployment sets its own.
 PII_KEY_CONF, PII_KEY = "spark.swathline.pii.key", "an example key"
 TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
+#: Words of Latin-1 letters, which the word tokeniser only lower-cases, and marks behind them that start none of its contractions.
+PLAIN_WORDS = r"^(?P<stem>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[,.;:!?)]*)$"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -92,7 +94,8 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op13_pfor_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return idfiles.round_trip(read(spark, folder, "documents"), tokenizer_path(WORD_TOKENIZER), end_id=1, by_word=True)
+    words = tokenizer_path(WORD_TOKENIZER)
+    return idfiles.round_trip(read(spark, folder, "documents"), words, end_id=1, by_word=True, plain=PLAIN_WORDS)
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:

@@ -189,12 +189,12 @@ def test_ids_blocks_round_trip():
 
 
 def test_ids_awkward_rows(spark, awkward, tmp_path):
-    texts = ["It's 12 o'clock now ΑΣ ΟΔΟΣ İ <|endoftext|> éa\x1cb\x85c", "a\tb\nc\r\nd", "'S 't' ll", "漢字 ̀x"]
+    texts = ["It's 12 o'clock now ΑΣ ΟΔΟΣ İ <|endoftext|> éa\x1cb\x85c", "a\tb\nc\r\nd", "'S 't' ll", "ÀÉÎÕÜß Ÿÿ µª straße, (Ça?!) don't. 5th x's, e\u0301. J\u030c. É)) naïve;.", "漢字 ̀x"]
     more = [(1000 - i, t) for i, t in enumerate(texts)]
     rows = awkward.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
     clash = rows.withColumns({c: F.lit(1) for c in ("doc", "hash", "path", "place", "id", "start", "_before", "value")})
     path, words = str(tmp_path / "ids"), queries.tokenizer_path(queries.WORD_TOKENIZER)
-    idfiles.write(clash, path, words, 1, by_word=True, segment_ids=5000, segments_in_file=1)
+    idfiles.write(clash, path, words, 1, by_word=True, plain=queries.PLAIN_WORDS, segment_ids=5000, segments_in_file=1)
     assert len(list((tmp_path / "ids").glob("part-*"))) >= 3
     got = idfiles.read(spark, path, with_ids=True).collect()
     held = [(r.doc_id, r.text) for r in rows.collect()]
