@@ -44,7 +44,7 @@ LANES = BLOCK // 64
 PERCENTILES = (1.0, 0.98, 0.95, 0.9, 0.8)
 SEGMENT_IDS = 1 << 19
 SEGMENTS_IN_FILE = 16
-KNOWN_WORDS, KNOWN_STEMS = 50_000, 120_000
+KNOWN_WORDS, KNOWN_STEMS = 50_000, 300_000
 SLICE_BYTES = 1 << 22
 MAGIC = b"PFB1"
 HEAD = "<4sQIQII"
