@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from swathline.functions.numeric import intdiv
 from swathline.functions.tiling import tile_id
+from swathline.operators import polygons
 from swathline.session import cut_lineage
 
 SALTS = 8
@@ -120,15 +121,7 @@ def connected_components(mask: DataFrame, width: int, tile: int) -> DataFrame:
         lambda cells: _label_tile(cells), "y bigint, x bigint, pid bigint, label bigint"
     )
     local = cut_lineage(local)
-    right_edge = local.filter(F.col("x") % tile == tile - 1).select("y", (F.col("x") + 1).alias("x"), F.col("label").alias("u"))
-    low_edge = local.filter(F.col("y") % tile == tile - 1).select((F.col("y") + 1).alias("y"), "x", F.col("label").alias("u"))
-    first_col = local.filter(F.col("x") % tile == 0).select("y", "x", F.col("label").alias("v"))
-    first_row = local.filter(F.col("y") % tile == 0).select("y", "x", F.col("label").alias("v"))
-    edges = right_edge.join(first_col, ["y", "x"]).unionByName(low_edge.join(first_row, ["y", "x"]))
-    roots = resolve(edges.select("u", "v"))
-    return local.join(roots, F.col("label") == F.col("node"), "left").select(
-        "y", "x", F.coalesce("root", "label").alias("component")
-    )
+    return polygons.component_labels(local, width, tile)
 
 
 def component_summary(labelled: DataFrame, cell_area: float = 1.0) -> DataFrame:

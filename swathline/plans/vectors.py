@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swathline.functions.numeric import snap, snap_sql
-from swathline.operators import change, vectorize
+from swathline.operators import change, polygons, vectorize
 from swathline.plans.fragments import sql
 from swathline.plans.registry import query
 from swathline.session import cut_lineage
@@ -22,13 +22,14 @@ def _mask(spark, folder):
     return pairs.filter(F.col("mask") > 0.5).select("y", "x")
 
 
-def _components_sql(cells: str, name: str = "cc") -> str:
-    """Connected components of a (y, x) table by relaxing labels along a growing frontier."""
-    return f"""{name}_n AS (SELECT y*256 + x AS id, y, x FROM {cells}),
-  {name}_e AS (SELECT a.id AS s, b.id AS d FROM {name}_n a JOIN {name}_n b ON b.y = a.y AND b.x = a.x + 1
-        UNION ALL SELECT b.id, a.id FROM {name}_n a JOIN {name}_n b ON b.y = a.y AND b.x = a.x + 1
-        UNION ALL SELECT a.id, b.id FROM {name}_n a JOIN {name}_n b ON b.x = a.x AND b.y = a.y + 1
-        UNION ALL SELECT b.id, a.id FROM {name}_n a JOIN {name}_n b ON b.x = a.x AND b.y = a.y + 1),
+def _components_sql(cells: str, name: str = "cc", label: str = "0") -> str:
+    """Connected components of a (y, x) table, of equal label, by relaxing labels along a growing frontier."""
+    right, below = "b.l = a.l AND b.y = a.y AND b.x = a.x + 1", "b.l = a.l AND b.x = a.x AND b.y = a.y + 1"
+    return f"""{name}_n AS (SELECT y*256 + x AS id, y, x, {label} AS l FROM {cells}),
+  {name}_e AS (SELECT a.id AS s, b.id AS d FROM {name}_n a JOIN {name}_n b ON {right}
+        UNION ALL SELECT b.id, a.id FROM {name}_n a JOIN {name}_n b ON {right}
+        UNION ALL SELECT a.id, b.id FROM {name}_n a JOIN {name}_n b ON {below}
+        UNION ALL SELECT b.id, a.id FROM {name}_n a JOIN {name}_n b ON {below}),
   {name}(id, component) USING KEY (id) AS (
     SELECT id, id FROM {name}_n
     UNION
@@ -79,8 +80,96 @@ _RINGS = f"""WITH RECURSIVE m AS (SELECT y, x FROM fl WHERE mask = 1), {_compone
 )
 def polygonize(spark, folder):
     """Regions of mask value 1 as rings; the area comes from the traced vertices."""
-    labelled = vectorize.connected_components(_mask(spark, folder), WIDTH, TILE)
-    return vectorize.ring_summary(vectorize.trace_rings(labelled, WIDTH))
+    rings = polygons.rings(polygons.trace(_mask(spark, folder), WIDTH, TILE))
+    return rings.groupBy("component").agg(
+        F.count("*").alias("rings"), F.count_if("hole").alias("holes"), F.sum("length").alias("perimeter"),
+        F.sum("corners").alias("corners"), F.sum("area").alias("area"),
+        *[F.min(c).alias(c) if c.startswith("min") else F.max(c).alias(c) for c in ("min_y", "max_y", "min_x", "max_x")],
+    )
+
+
+@query(
+    "polygon_rings",
+    sql(
+        _RINGS
+        + """SELECT p.ring, p.component, p.twice < 0 AS hole, s.ring AS shell, CAST(p.len AS BIGINT) AS length,
+               CAST(p.corners AS BIGINT) AS corners, CAST(p.twice / 2 AS DOUBLE) AS area
+             FROM pr p JOIN pr s ON s.component = p.component AND s.twice > 0""",
+        "fl",
+    ),
+)
+def polygon_rings(spark, folder):
+    """Every ring of the mask's regions, holes with the shell that they lie in."""
+    rings = polygons.rings(polygons.trace(_mask(spark, folder), WIDTH, TILE))
+    return rings.select("ring", "component", "hole", "shell", "length", "corners", "area")
+
+
+@query(
+    "polygon_geometry",
+    sql(
+        _RINGS
+        + f""", tw AS (SELECT component, count(*) AS n FROM (SELECT component, sy, sx FROM ed GROUP BY ALL HAVING count(*) = 2) GROUP BY 1)
+             SELECT p.component, CAST(count(*) - 1 + coalesce(any_value(tw.n), 0) AS BIGINT) AS holes,
+               CAST(sum(corners) + count(*) + coalesce(any_value(tw.n), 0) AS BIGINT) AS points,
+               CAST(any_value(c.n) AS BIGINT) AS cells,
+               {snap_sql("-3.65 + min(min_x) * 0.0001", 6)} AS west, {snap_sql("-3.65 + max(max_x) * 0.0001", 6)} AS east,
+               {snap_sql("56.75 - max(max_y) * 0.0001", 6)} AS south, {snap_sql("56.75 - min(min_y) * 0.0001", 6)} AS north
+             FROM pr p JOIN (SELECT component, count(*) AS n FROM cc GROUP BY component) c USING (component)
+               LEFT JOIN tw USING (component) GROUP BY p.component""",
+        "fl",
+    ),
+)
+def polygon_geometry(spark, folder):
+    """The regions as WKT and GeoJSON in map coordinates, read back: points, holes and area of the one, bounds of the other.
+
+    A ring that meets itself in a corner is cut there, which gives one more hole for each such corner.
+    """
+    found = polygons.geometry(polygons.trace(_mask(spark, folder), WIDTH, TILE), fixtures.AFFINE)
+    loops = F.transform(
+        F.regexp_extract_all("wkt", F.lit(r"\(([^()]*)\)"), 1),
+        lambda ring: F.transform(F.split(ring, ", "), lambda p: F.split(p, " ").cast("array<double>")),
+    )
+    points = F.from_json("geojson", "coordinates array<array<array<double>>>")["coordinates"]
+    read = found.select("component", loops.alias("loops"), F.flatten(points).alias("points"))
+    # Coordinates from the first point on, so that the sum of products keeps its digits.
+    x0, y0 = F.col("loops")[0][0][0], F.col("loops")[0][0][1]
+    parts = F.transform(
+        "loops",
+        lambda ring: F.zip_with(
+            F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1),
+            lambda a, b: (a[0] - x0) * (b[1] - y0) - (b[0] - x0) * (a[1] - y0),
+        ),
+    )
+    twice = F.aggregate(F.flatten(parts), F.lit(0.0), lambda total, part: total + part)
+    cell = abs(fixtures.AFFINE.a * fixtures.AFFINE.e)
+    xs, ys = F.transform("points", lambda p: p[0]), F.transform("points", lambda p: p[1])
+    return read.select(
+        "component", (F.size("loops") - 1).cast("bigint").alias("holes"), F.size("points").cast("bigint").alias("points"),
+        F.round(F.abs(twice) / 2 / cell).cast("bigint").alias("cells"),
+        snap(F.array_min(xs), 6).alias("west"), snap(F.array_max(xs), 6).alias("east"),
+        snap(F.array_min(ys), 6).alias("south"), snap(F.array_max(ys), 6).alias("north"),
+    )
+
+
+@query(
+    "dissolve_regions",
+    sql(
+        f"""WITH RECURSIVE {_components_sql('tr', label='label')},
+             p AS (SELECT c.id, n.y, n.x, n.l, component FROM cc c JOIN cc_n n USING (id)),
+             ou AS (SELECT a.l, count(*) AS perimeter
+                    FROM p a CROSS JOIN (SELECT 0 AS dy, 1 AS dx UNION ALL SELECT 0, -1 UNION ALL SELECT 1, 0 UNION ALL SELECT -1, 0) o
+                    LEFT JOIN p b ON b.y = a.y + dy AND b.x = a.x + dx AND b.l = a.l WHERE b.y IS NULL GROUP BY a.l)
+            SELECT p.l AS label, count(DISTINCT component) AS regions, CAST(count(*) AS DOUBLE) AS area, any_value(perimeter) AS perimeter
+            FROM p JOIN ou ON ou.l = p.l GROUP BY p.l""",
+        "tr",
+    ),
+)
+def dissolve_regions(spark, folder):
+    """Cells of each class dissolved to polygons: their number, area and outline."""
+    rings = polygons.rings(polygons.trace(fixtures.truth(spark, folder), WIDTH, TILE, "label"))
+    return rings.groupBy(F.col("class").cast("int").alias("label")).agg(
+        F.count_if(~F.col("hole")).alias("regions"), F.sum("area").alias("area"), F.sum("length").alias("perimeter")
+    )
 
 
 @query(
@@ -125,7 +214,6 @@ def dissolve(spark, folder):
 @query("simplify_rings")
 def simplify_rings(spark, folder):
     """Douglas-Peucker over the corner vertices of all mask rings, tolerance one pixel."""
-    labelled = vectorize.connected_components(_mask(spark, folder), WIDTH, TILE)
-    corners = vectorize.trace_rings(labelled, WIDTH).filter("corner").select("ring", "seq", "vx", "vy")
+    corners = polygons.vertices(polygons.trace(_mask(spark, folder), WIDTH, TILE)).select("ring", "seq", "vx", "vy")
     simple = vectorize.simplify_rings(corners, 1.0)
     return simple.groupBy("ring").agg(F.count("*").alias("vertices"), F.min("vx").alias("min_x"), F.max("vy").alias("max_y"))
