@@ -41,7 +41,7 @@ _TILE_ROW = (
     "corners bigint, min_y bigint, max_y bigint, min_x bigint, max_x bigint, "
     "at array<bigint>, vy array<bigint>, vx array<bigint>"
 )
-_LINK_ROW = "kind int, a bigint, b bigint, steps bigint, low bigint, low_at bigint, gy bigint, gx bigint"
+_LINK_ROW = "kind int, a bigint, b bigint, steps bigint, low bigint, low_at bigint, class bigint, gy bigint, gx bigint"
 
 
 def smallest_labels(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -187,26 +187,26 @@ def _stitch_area(rows: pa.Table, width: int, inner: int, size: int) -> pa.Table:
     columns = {c: rows.column(c).to_numpy() for c in rows.column_names}
     place, out = {c: int(columns[c][0]) for c in ("gy", "gx")}, []
 
-    def put(kind, a, b, steps=0, low=0, low_at=0):
-        out.append({"kind": kind, "a": a, "b": b, "steps": steps, "low": low, "low_at": low_at, **place})
+    def put(kind, a, b, steps=0, low=0, low_at=0, classes=0):
+        out.append({"kind": kind, "a": a, "b": b, "steps": steps, "low": low, "low_at": low_at, "class": classes, **place})
 
     def of(kind, *names):
         at = np.flatnonzero(columns["kind"] == kind)
         at = at[np.argsort(columns["a"][at])]
         return [columns[c][at] for c in names]
 
-    pid, names = of(BORDER, "a", "b")
+    pid, names, classes = of(BORDER, "a", "b", "class")
     labels, number = np.unique(names, return_inverse=True)
     y, x = pid // width, pid % width
     pairs = [(np.zeros(0, np.int64),) * 2]
     for step, meets in ((1, ((x + 1) % inner == 0) & (x + 1 < width)), (width, (y + 1) % inner == 0)):
         spot = _find(pid, pid + step)
-        found = meets & (spot >= 0)
+        found = meets & (spot >= 0) & (classes[spot] == classes if len(pid) else True)
         pairs.append((number[found], number[spot[found]]))
     root = labels[smallest_labels(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), len(labels))]
     put(LABEL, labels, root)
     outer = (y % size == 0) | (y % size == size - 1) | (x % size == 0) | (x % size == size - 1)
-    put(BORDER, pid[outer], root[number[outer]])
+    put(BORDER, pid[outer], root[number[outer]], classes=classes[outer])
 
     first, following, steps, low, low_at = of(CHAIN, "a", "b", "steps", "low", "low_at")
     path, starts, closed = _walk(_find(first, following), low)
@@ -258,7 +258,7 @@ def trace(cells: DataFrame, width: int, tile: int, class_col: str | None = None)
     cell = F.when(F.col("kind") == CHAIN, F.shiftright("first", 2)).otherwise(F.col("first"))
     open_rows = traced.filter((F.col("kind") == BORDER) | (F.col("next") != NONE)).select(
         "kind", F.col("first").alias("a"), F.when(F.col("kind") == CHAIN, F.col("next")).otherwise(F.col("label")).alias("b"),
-        "steps", "low", "low_at", intdiv(intdiv(cell, width), tile).alias("gy"), intdiv(cell % width, tile).alias("gx"),
+        "steps", "low", "low_at", "class", intdiv(intdiv(cell, width), tile).alias("gy"), intdiv(cell % width, tile).alias("gx"),
     )
     places, labels = stitch(open_rows, width, tile)
     chains = traced.filter(F.col("kind") == CHAIN).drop("kind", "next")
@@ -404,7 +404,7 @@ def component_labels(local: DataFrame, width: int, tile: int) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     border = local.filter(rim).select(
         F.lit(BORDER).alias("kind"), F.col("pid").alias("a"), F.col("label").alias("b"),
-        *[zero.alias(c) for c in ("steps", "low", "low_at")], ty.alias("gy"), tx.alias("gx"),
+        *[zero.alias(c) for c in ("steps", "low", "low_at", "class")], ty.alias("gy"), tx.alias("gx"),
     )
     _, names = stitch(border, width, tile)
     return local.join(names, F.col("label") == F.col("name"), "left").select("y", "x", F.coalesce("root", "label").alias("component"))
