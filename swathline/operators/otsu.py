@@ -94,8 +94,8 @@ def thresholds(hist: DataFrame, bins: int = OTSU_BINS) -> DataFrame:
     )
 
 
-def flood_tiles(limits: DataFrame, mask_root: str = "masks") -> DataFrame:
-    """Adaptive detection per tile from the threshold table."""
+def flood_tiles(limits: DataFrame, mask_root: str = "masks", keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adaptive detection per tile from the threshold table; ``keys`` are kept, and part of the mask's path."""
     accepted = F.col("threshold") < OTSU_ACCEPT_BELOW_DB
     status = (
         F.when(F.col("max_pre") <= 0, "EMPTY_OR_NODATA")
@@ -111,11 +111,13 @@ def flood_tiles(limits: DataFrame, mask_root: str = "masks") -> DataFrame:
     used = F.when(F.col("status") == "SUCCESS_OTSU", F.col("threshold")).when(
         F.col("status") != "EMPTY_OR_NODATA", F.lit(FLOOD_THRESHOLD_DB)
     )
-    path = F.concat(F.lit(mask_root + "/tile_id="), F.col("tile_id").cast("string"))
+    parts = [F.concat(F.lit(f"/{k}="), F.col(k).cast("string")) for k in (*keys, "tile_id")]
+    path = F.concat(F.lit(mask_root), *parts)
     return (
         limits.withColumn("status", status)
         .withColumn("pixel_count", count.cast("bigint"))
         .select(
+            *keys,
             "tile_id",
             "pixel_count",
             "status",

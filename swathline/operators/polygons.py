@@ -258,7 +258,7 @@ def trace(cells: DataFrame, width: int, tile: int, class_col: str | None = None)
     cell = F.when(F.col("kind") == CHAIN, F.shiftright("first", 2)).otherwise(F.col("first"))
     open_rows = traced.filter((F.col("kind") == BORDER) | (F.col("next") != NONE)).select(
         "kind", F.col("first").alias("a"), F.when(F.col("kind") == CHAIN, F.col("next")).otherwise(F.col("label")).alias("b"),
-        "steps", "low", "low_at", "class", intdiv(intdiv(cell, width), tile).alias("gy"), intdiv(cell % width, tile).alias("gx"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("steps", "low", "low_at", "class")], intdiv(intdiv(cell, width), tile).alias("gy"), intdiv(cell % width, tile).alias("gx"),
     )
     places, labels = stitch(open_rows, width, tile)
     chains = traced.filter(F.col("kind") == CHAIN).drop("kind", "next")

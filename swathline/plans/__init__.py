@@ -7,7 +7,7 @@ import importlib
 from swathline.plans.registry import ORACLES, QUERIES
 
 MODULES = (
-    "scans", "flood", "scalars", "records", "series", "neighbourhood", "geometry", "vectors", "learning", "incremental",
+    "scans", "flood", "scenes", "scalars", "records", "series", "neighbourhood", "geometry", "vectors", "learning", "incremental",
 )
 
 
