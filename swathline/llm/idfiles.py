@@ -26,7 +26,7 @@ from __future__ import annotations
 import struct
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -44,7 +44,7 @@ LANES = BLOCK // 64
 PERCENTILES = (1.0, 0.98, 0.95, 0.9, 0.8)
 SEGMENT_IDS = 1 << 19
 SEGMENTS_IN_FILE = 16
-KNOWN_WORDS, KNOWN_STEMS = 50_000, 300_000
+KNOWN_WORDS, KNOWN_STEMS = 50_000, 250_000
 SLICE_BYTES = 1 << 22
 MAGIC = b"PFB1"
 HEAD = "<4sQIQII"
@@ -190,22 +190,24 @@ def segments(data: bytes | memoryview) -> Iterator[Segment]:
 # Encoding
 
 
-class Kept(dict):
+class Kept:
     """Values by key, in two generations of bounded size: what isn't asked for during a whole one is forgotten."""
 
-    def __init__(self, make: Callable[[str], array], size: int):
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
+    def __init__(self, make: Callable[[list[str]], Iterable[array]], size: int):
+        self.make, self.size, self.now, self.older = make, size, {}, {}
 
-    def __missing__(self, key: str) -> array:
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
+    def all(self, keys: list[str]) -> list[array]:
+        """The values of distinct keys; missing ones are made together."""
+        now, older = self.now, self.older
+        for key in keys if older else ():
+            if key not in now and key in older:
+                now[key] = older[key]
+        missing = [key for key in keys if key not in now]
+        now.update(zip(missing, self.make(missing)))
+        values = list(map(now.__getitem__, keys))
+        if len(now) >= self.size:
+            self.now, self.older = {}, now
+        return values
 
 
 class Encoder:
@@ -223,19 +225,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.by_word, self.plain = by_word, plain
-        self.whole, self.stems = Kept(self._whole, KNOWN_WORDS), Kept(self._stem, KNOWN_STEMS)
+        self.whole, self.stems = Kept(self._whole, KNOWN_WORDS), Kept(self._stems, KNOWN_STEMS)
 
-    def _whole(self, text: str) -> array:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
+    def _whole(self, texts: Iterable[str]) -> Iterator[array]:
+        for text in texts:
+            yield array("I", self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _stem(self, word: str) -> array:
-        piece = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LEVEL)
-        return array("I", [token.id for token in self.tokenizer.model.tokenize(piece)])
+    def _stems(self, words: list[str]) -> Iterator[array]:
+        pieces = "\n".join(words).encode().decode("latin-1").translate(_BYTE_LEVEL).split("\n") if words else ()
+        tokenize = self.tokenizer.model.tokenize
+        for piece in pieces:
+            yield array("I", [token.id for token in tokenize(piece)])
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each with the end id; their numbers)."""
         if not self.by_word:
-            found = [self._whole(t) + array("I", [end_id]) for t in texts.to_pylist()]
+            found = [ids + array("I", [end_id]) for ids in self._whole(texts.to_pylist())]
             return np.frombuffer(b"".join(found), np.uintc), np.array([len(f) for f in found], np.int64)
         split = pc.ascii_split_whitespace(texts)
         words = split.flatten().dictionary_encode()
@@ -270,12 +275,16 @@ class Encoder:
             ):
                 part = part.dictionary_encode()
                 numbers[~other] = part.indices.to_numpy() + len(pieces)
-                pieces += map(known.__getitem__, part.dictionary.to_pylist())
+                pieces += known.all(_strings(part.dictionary))
         head[other] = np.arange(other.sum()) + len(pieces)
-        pieces += map(self.whole.__getitem__, words.filter(pa.array(other)).to_pylist())
+        pieces += self.whole.all(_strings(words.filter(pa.array(other))))
         return pieces, head, tail
 
 
+def _strings(values: pa.Array) -> list[str]:
+    return values.to_numpy(zero_copy_only=False).tolist()  # much faster than value by value
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str, by_word: bool, plain: str | None) -> Encoder:
     """One encoder for the tasks of a Python worker, with the words that it keeps (two times the bounds above)."""
@@ -285,7 +294,8 @@ def encoder(path: str, by_word: bool, plain: str | None) -> Encoder:
 def _byte_level() -> dict[int, str]:
     """The characters that byte-level tokenisers show bytes as: printable Latin-1 as itself, the others from 256 on."""
     shown = [b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()]
-    return {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    others = sorted(set(range(256)) - set(shown))
+    return {b: chr(256 + i) for i, b in enumerate(others) if b != ord("\n")}  # which parts words here
 
 
 _BYTE_LEVEL = _byte_level()
