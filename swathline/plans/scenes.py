@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swathline.functions.numeric import snap, snap_sql
-from swathline.operators import chunks
+from swathline.operators import chunk_focal, chunks
 from swathline.plans.flood import _BOUNDS, _snapped
 from swathline.plans.fragments import DIFF, sql
+from swathline.plans.neighbourhood import _LEE, _window_sql
 from swathline.plans.registry import query
 from swathline.session import cut_lineage
 from swathline.sources import fixtures
@@ -112,3 +113,72 @@ def scene_flood_mask(spark, folder):
     stored, _ = _scenes(spark, folder)
     cells = chunks.pixels(chunks.flood_mask(stored), TILE, {chunks.DIFF: "diff_db", chunks.MASK: "mask"})
     return cells.select("scene", "y", "x", snap(F.col("diff_db"), 6).alias("diff_db"), F.col("mask").cast("int").alias("mask"))
+
+
+def _stored(spark, pixels):
+    return cut_lineage(chunks.to_chunks(pixels, WIDTH, TILE))
+
+
+def _pre(spark, folder):
+    pre = fixtures.pre_raster(spark, folder)
+    return _stored(spark, pre.select(F.lit(0).alias("scene"), F.lit(1).alias("band"), "y", "x", "value"))
+
+
+def _complex(spark, folder):
+    pair = fixtures.complex_pair(spark, folder)
+    return _stored(spark, pair.selectExpr("0 AS scene", "y", "x", "stack(4, 1, a1, 2, p1, 3, a2, 4, p2) AS (band, value)"))
+
+
+@query(
+    "chunk_boxcar",
+    sql(f"SELECT y, x, {snap_sql('s/n', 5)} AS mean, n FROM ({_window_sql('sum(b.pre) AS s', 'px', (-5, 4), (-5, 4))}) w", "px"),
+)
+def chunk_boxcar(spark, folder):
+    smooth = chunk_focal.boxcar(_pre(spark, folder), TILE, WIDTH, 10)
+    cells = chunks.pixels(smooth, TILE, {1: "mean", 2: "n"})
+    return cells.select("y", "x", snap(F.col("mean"), 5).alias("mean"), F.col("n").cast("bigint").alias("n"))
+
+
+@query(
+    "chunk_lee_filter",
+    sql(
+        f"""SELECT y, x, {snap_sql('m + least(greatest(coalesce((q - m*m*0.25::DOUBLE)/nullif(q*1.25::DOUBLE, 0), 0), 0), 1)*(v - m)', 4)} AS filtered, n
+            FROM (SELECT y, x, v, n, s1/n AS m, greatest(s2/n - (s1/n)*(s1/n), 0) AS q FROM ({_LEE}) w) u""",
+        "px",
+    ),
+)
+def chunk_lee_filter(spark, folder):
+    smooth = chunk_focal.lee_filter(_pre(spark, folder), TILE, WIDTH, enl=4.0)
+    cells = chunks.pixels(smooth, TILE, {1: "filtered", 2: "n"})
+    return cells.select("y", "x", snap(F.col("filtered"), 4).alias("filtered"), F.col("n").cast("bigint").alias("n"))
+
+
+@query(
+    "chunk_interferogram",
+    sql(
+        f"""SELECT y, x, {snap_sql('atan2(im/n, re/n)', 4)} AS phase
+            FROM ({_window_sql('any_value(a.a1) AS a1, sum(b.re) AS re, sum(b.im) AS im', 'cpx', (-5, 4), (-5, 4))}) w WHERE a1 <> 0""",
+        "cpx",
+    ),
+)
+def chunk_interferogram(spark, folder):
+    """Phases where the first image has a signal."""
+    cells = chunks.pixels(chunk_focal.interferogram(_complex(spark, folder), TILE, WIDTH, 10), TILE, {1: "phase"})
+    return cells.select("y", "x", snap(F.col("phase"), 4).alias("phase"))
+
+
+@query(
+    "chunk_coherence",
+    sql(
+        f"""SELECT y, x, {snap_sql('sqrt(re*re + im*im)/sqrt(e1*e2)', 5)} AS coherence, n
+            FROM ({_window_sql('sum(b.re) AS re, sum(b.im) AS im, sum(b.e1) AS e1, sum(b.e2) AS e2', 'cpx', (-1, 1), (-5, 4))}) w
+            WHERE e1*e2 > 0""",
+        "cpx",
+    ),
+)
+def chunk_coherence(spark, folder):
+    """Coherence where both windows have energy."""
+    cells = chunks.pixels(chunk_focal.coherence(_complex(spark, folder), TILE, WIDTH, 3, 10), TILE, {1: "coherence", 2: "n"})
+    return cells.filter("coherence IS NOT NULL").select(
+        "y", "x", snap(F.col("coherence"), 5).alias("coherence"), F.col("n").cast("bigint").alias("n")
+    )
