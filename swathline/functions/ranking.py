@@ -94,13 +94,15 @@ def smallest_per_group(df: DataFrame, group: str, hashed: str, tie: list[str], w
     earlier = Window.partitionBy(group).orderBy(hashed).rowsBetween(Window.unboundedPreceding, -1)
     plan = (
         sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .join(wanted, group)
+        .join(wanted.select(F.col(group).alias("_g"), "k"), F.col(group).eqNullSafe(F.col("_g")))
         .filter(F.col("_before") < F.col("k"))
-        .select(group, hashed, (F.col("k") - F.col("_before")).alias("_room"))
+        .select("_g", F.col(hashed).alias("_h"), (F.col("k") - F.col("_before")).alias("_room"))
     )
     ranked = Window.partitionBy(group, hashed).orderBy(*tie)
-    picked = df.join(plan, [group, hashed]).withColumn("_r", F.row_number().over(ranked))
-    return picked.filter(F.col("_r") <= F.col("_room")).drop("_r", "_room")
+    # A NULL group is a group like any other, and so is a NULL hash.
+    same = F.col(group).eqNullSafe(F.col("_g")) & F.col(hashed).eqNullSafe(F.col("_h"))
+    picked = df.join(plan, same).withColumn("_r", F.row_number().over(ranked))
+    return picked.filter(F.col("_r") <= F.col("_room")).drop("_r", "_room", "_g", "_h")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

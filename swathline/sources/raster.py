@@ -81,7 +81,7 @@ def lookup_chunked(points: DataFrame, chunks: DataFrame, tile: int, width: int)
 
 
 def window_stats(windows: DataFrame, pixels: DataFrame, size: int) -> DataFrame:
-    """Count and sum per window. Windows meet pixels on cells of the window size,
+    """Count and sum per window; a window without pixels has count 0 and no sum. Windows meet pixels on cells of the window size,
     so a window touches at most four cells and each pixel meets only near windows."""
     cells = windows.withColumn("cy", F.explode(F.sequence(intdiv("y0", size), intdiv(F.col("y0") + size - 1, size))))
     cells = cells.withColumn("cx", F.explode(F.sequence(intdiv("x0", size), intdiv(F.col("x0") + size - 1, size))))
@@ -92,12 +92,8 @@ def window_stats(windows: DataFrame, pixels: DataFrame, size: int) -> DataFrame:
         & (F.col("x") >= F.col("x0"))
         & (F.col("x") < F.col("x0") + size)
     )
-    return (
-        cells.join(keyed, ["cy", "cx"])
-        .filter(inside)
-        .groupBy("window_id")
-        .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
-    )
+    held = cells.join(keyed, ["cy", "cx"]).filter(inside).groupBy("window_id").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return windows.select("window_id").join(held, "window_id", "left").select("window_id", F.coalesce("n", F.lit(0)).alias("n"), "total")
 
 
 def write_tiles(df: DataFrame, path: str, partition_by: list[str], sort_by: list[str]) -> None:
