@@ -15,9 +15,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from swathline.functions.tiling import tiles_across
-from swathline.operators.chunks import _CHUNK, CHUNK_DDL, Bands, _rows, read_bands
+from swathline.operators.chunks import _CHUNK, CHUNK_DDL, Bands, _rows, pixels, read_bands
 
 Reach = tuple[int, int]
 #: Values and which of them count, by name.
@@ -80,18 +81,18 @@ def _strips(tile: int, width: int, before: Reach, after: Reach) -> Callable[[Ite
     return run
 
 
-def focal(
-    chunks: DataFrame, tile: int, width: int, before: Reach, after: Reach, terms: Callable[[Bands], Terms],
-    finish: Callable[[dict[str, np.ndarray], np.ndarray, Bands], dict[int, np.ndarray]], centre: int = 1,
+def neighbourhoods(
+    chunks: DataFrame, tile: int, width: int, before: Reach, after: Reach, make: Callable[[Bands, Bands], Bands],
+    everywhere: bool = False,
 ) -> DataFrame:
-    """Chunks with the bands that ``finish`` makes of the window sums of ``terms``, their count ``n`` and the tile's own bands.
+    """Chunks of what ``make`` returns for a tile: from its bands padded with the strips it got, and from its own bands.
 
-    ``n`` counts cells with a first term. Results stand where band ``centre`` has a value; NaN in a result means none.
+    ``everywhere``: also for tiles that hold no cell but get a strip; they may lie below the raster's last line.
     """
     if max(*before, *after) > tile:
         raise ValueError("windows must not reach beyond the neighbouring tiles")
     strips = chunks.select("scene", "tile_id", "bands").mapInArrow(_strips(tile, width, before, after), _STRIP_DDL)
-    side = (before[0] + tile + after[0], before[1] + tile + after[1])
+    side, across = (before[0] + tile + after[0], before[1] + tile + after[1]), tiles_across(width, tile)
 
     def place(step: int, i: int) -> slice:
         # Seen from the tile that got it: a strip sent ahead lies in front.
@@ -99,11 +100,11 @@ def focal(
         return slice(start, start + {1: before[i], 0: tile, -1: after[i]}[step])
 
     def work(own: pa.Table, got: pa.Table) -> pa.Table:
-        if not own.num_rows:
+        if not own.num_rows and not everywhere:
             return pa.Table.from_batches([], _CHUNK)
-        scene, name, y0, x0 = (own.column(c)[0].as_py() for c in ("scene", "tile_id", "y0", "x0"))
-        inside = read_bands(own.column("bands")[0])
-        pieces = [(0, 0, inside)] + [
+        scene, name = ((own if own.num_rows else got).column(c)[0].as_py() for c in ("scene", "tile_id"))
+        pieces = [(0, 0, read_bands(own.column("bands")[0]))] if own.num_rows else []
+        pieces += [
             (got.column("dy")[i].as_py(), got.column("dx")[i].as_py(), read_bands(got.column("bands")[i])) for i in range(got.num_rows)
         ]
         padded: Bands = {}
@@ -115,20 +116,60 @@ def focal(
                     padded[k] = np.zeros(side), np.zeros(side, bool)
                 padded[k][0][rows, columns], padded[k][1][rows, columns] = values.reshape(shape), valid.reshape(shape)
         middle = slice(before[0], before[0] + tile), slice(before[1], before[1] + tile)
-        home = {k: (v[middle], ok[middle]) for k, (v, ok) in padded.items()}
         with np.errstate(all="ignore"):
-            counted = terms(padded)
-            sums = {k: window_sum(np.where(ok, v, 0.0), before, after) for k, (v, ok) in counted.items()}
-            n = np.rint(window_sum(next(iter(counted.values()))[1].astype(float), before, after))
-            made = finish(sums, n, home)
-        there = home[centre][1] if centre in home else np.zeros((tile, tile), bool)
-        out = {k: (np.where(there & ~np.isnan(v), v, 0.0).reshape(-1), (there & ~np.isnan(v)).reshape(-1)) for k, v in made.items()}
-        return pa.Table.from_batches([_rows([scene], [name], [y0], [x0], [out], tile * tile)])
+            made = make(padded, {k: (v[middle], ok[middle]) for k, (v, ok) in padded.items()})
+        out = {k: (np.where(ok, v, 0.0).reshape(-1), ok.reshape(-1)) for k, (v, ok) in made.items()}
+        return pa.Table.from_batches([_rows([scene], [name], [name // across * tile], [name % across * tile], [out], tile * tile)])
 
     tiles = chunks.groupBy("scene", "tile_id")
     return tiles.cogroup(strips.groupBy("scene", "tile_id")).applyInArrow(work, CHUNK_DDL)
 
 
+def focal(
+    chunks: DataFrame, tile: int, width: int, before: Reach, after: Reach, terms: Callable[[Bands], Terms],
+    finish: Callable[[dict[str, np.ndarray], np.ndarray, Bands], dict[int, np.ndarray]], centre: int = 1,
+) -> DataFrame:
+    """Chunks with the bands that ``finish`` makes of the window sums of ``terms``, their count ``n`` and the tile's own bands.
+
+    ``n`` counts cells with a first term. Results stand where band ``centre`` has a value; NaN in a result means none.
+    """
+
+    def make(padded: Bands, home: Bands) -> Bands:
+        counted = terms(padded)
+        sums = {k: window_sum(np.where(ok, v, 0.0), before, after) for k, (v, ok) in counted.items()}
+        n = np.rint(window_sum(next(iter(counted.values()))[1].astype(float), before, after))
+        there = home[centre][1] if centre in home else np.zeros((tile, tile), bool)
+        return {k: (v, there & ~np.isnan(v)) for k, v in finish(sums, n, home).items()}
+
+    return neighbourhoods(chunks, tile, width, before, after, make)
+
+
+def buffer(
+    chunks: DataFrame, tile: int, width: int, height, reach: float, cell: tuple[float, float], band: int = 1
+) -> DataFrame:
+    """(scene, y, x, distance) of the cells within ``reach`` of a cell whose ``band`` has a value, centre to centre.
+
+    ``cell``: height and width of a cell, in the unit of ``reach``. ``height``: lines of the raster, a number or a Column. The
+    distances are exact: nearest cells along columns first, then the least over the columns in reach.
+    """
+    steps = int(reach // cell[0]), int(reach // cell[1])
+
+    def make(padded: Bands, home: Bands) -> Bands:
+        held = padded[band][1] if band in padded else np.zeros((tile + 2 * steps[0], tile + 2 * steps[1]), bool)
+        lines = np.arange(len(held))[:, None]
+        above = np.maximum.accumulate(np.where(held, lines, -np.inf), axis=0)
+        below = np.minimum.accumulate(np.where(held, lines, np.inf)[::-1], axis=0)[::-1]
+        along = (np.minimum(lines - above, below - lines) * cell[0])[steps[0] : steps[0] + tile] ** 2
+        least = np.full((tile, tile), np.inf)
+        for d in range(2 * steps[1] + 1):
+            np.minimum(least, along[:, d : d + tile] + ((d - steps[1]) * cell[1]) ** 2, out=least)
+        distance = np.sqrt(least)
+        return {1: (distance, distance <= reach)}
+
+    found = pixels(neighbourhoods(chunks, tile, width, steps, steps, make, everywhere=True), tile, {1: "distance"})
+    return found.filter((F.col("y") < height) & (F.col("x") < width))
+
+
 def _around(size: int) -> tuple[Reach, Reach]:
     """Windows of an even size reach one further back than forward."""
     return (size // 2,) * 2, ((size - 1) // 2,) * 2

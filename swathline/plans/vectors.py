@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from swathline.functions.numeric import snap, snap_sql
-from swathline.operators import change, polygons, vectorize
+from swathline.operators import change, chunk_focal, chunks, polygons, vectorize
 from swathline.plans.fragments import sql
 from swathline.plans.registry import query
 from swathline.session import cut_lineage
@@ -194,6 +194,51 @@ def buffer_merge(spark, folder):
     )
 
 
+#: Cells of the buffer queries are 10 m high and 7 m wide; the buffer reaches 25 m.
+_CELL, _REACH = (10.0, 7.0), 25.0
+_BUFFERED = """bu AS (SELECT m.y + dy AS y, m.x + dx AS x, min(sqrt((dy*10.0::DOUBLE)**2 + (dx*7.0::DOUBLE)**2)) AS distance
+    FROM m, hd, (SELECT unnest(range(-3, 4)) AS dy) a, (SELECT unnest(range(-4, 5)) AS dx) b
+    WHERE m.y + dy BETWEEN 0 AND height - 1 AND m.x + dx BETWEEN 0 AND 255
+      AND sqrt((dy*10.0::DOUBLE)**2 + (dx*7.0::DOUBLE)**2) <= 25 GROUP BY ALL)"""
+
+
+def _buffered(spark, folder):
+    mask = _mask(spark, folder).select(F.lit(0).alias("scene"), F.lit(1).alias("band"), "y", "x", F.lit(1.0).alias("value"))
+    stored = cut_lineage(chunks.to_chunks(mask, WIDTH, TILE))
+    return chunk_focal.buffer(stored, TILE, WIDTH, fixtures.height(spark, folder), _REACH, _CELL)
+
+
+@query(
+    "buffer_distance",
+    sql(f"WITH m AS (SELECT y, x FROM fl WHERE mask = 1), {_BUFFERED} SELECT y, x, {snap_sql('distance', 6)} AS distance FROM bu", "fl", "hd"),
+)
+def buffer_distance(spark, folder):
+    """Metres from every cell within 25 m of the mask to its nearest cell."""
+    return _buffered(spark, folder).select("y", "x", snap(F.col("distance"), 6).alias("distance"))
+
+
+@query(
+    "buffer_polygons",
+    sql(
+        f"""WITH RECURSIVE m AS (SELECT y, x FROM fl WHERE mask = 1), {_BUFFERED}, {_components_sql('bu')},
+             ou AS (SELECT a.component, count(*) AS perimeter
+                    FROM (SELECT id//256 AS y, id%256 AS x, component FROM cc) a
+                    CROSS JOIN (SELECT 0 AS dy, 1 AS dx UNION ALL SELECT 0, -1 UNION ALL SELECT 1, 0 UNION ALL SELECT -1, 0) o
+                    LEFT JOIN bu b ON b.y = a.y + dy AND b.x = a.x + dx WHERE b.y IS NULL GROUP BY a.component)
+            SELECT component, CAST(count(*) * 70 AS DOUBLE) AS square_metres, any_value(perimeter) AS perimeter
+            FROM cc JOIN ou USING (component) GROUP BY component""",
+        "fl",
+        "hd",
+    ),
+)
+def buffer_polygons(spark, folder):
+    """The 25 m buffer of the mask dissolved to polygons: area and outline of each."""
+    rings = polygons.rings(polygons.trace(_buffered(spark, folder), WIDTH, TILE))
+    return rings.groupBy("component").agg(
+        (F.sum("area") * (_CELL[0] * _CELL[1])).alias("square_metres"), F.sum("length").alias("perimeter")
+    )
+
+
 @query(
     "dissolve",
     sql(

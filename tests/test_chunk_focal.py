@@ -98,3 +98,21 @@ def test_limits_empty_and_strips_only(spark, rasters, tmp_path):
     plan = chunk_focal.boxcar(spark.table("focal_chunks"), TILE, WIDTH, 10)._jdf.queryExecution().executedPlan().toString()
     spark.sql("DROP TABLE focal_chunks")
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("reach,cell", [(25.0, (10.0, 7.0)), (3.0, (1.0, 1.0)), (0.0, (1.0, 1.0)), (7.9, (1.0, 2.5))])
+def test_buffer_distances(spark, reach, cell):
+    held = {(0, 0), (7, 7), (8, 20), (25, 3), (16, 8)}
+    rows = [(s, 1, y, x, 1.0) for s in (1, 2) for y, x in held if s == 1 or y > 10]
+    frame = spark.createDataFrame(rows, "scene long, band int, y long, x long, value double")
+    found = chunk_focal.buffer(chunks.to_chunks(frame, WIDTH, TILE), TILE, WIDTH, HEIGHT, reach, cell)
+    got = {(r.scene, r.y, r.x): r.distance for r in found.collect()}
+    want = {}
+    for s in (1, 2):
+        own = [p for p in held if s == 1 or p[0] > 10]
+        for y in range(HEIGHT):
+            for x in range(WIDTH):
+                near = min(math.hypot((y - a) * cell[0], (x - b) * cell[1]) for a, b in own)
+                if near <= reach:
+                    want[s, y, x] = pytest.approx(near)
+    assert got == want
