@@ -24,6 +24,16 @@ def as_bytes(column: str | Column) -> Column:
     return column.cast("string").cast("binary")
 
 
+def unused_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each behind as many underscores as it takes to differ from all columns, whatever their case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """Runs ``make()`` once per task and the function it returns on every Arrow batch, in slices.
 

@@ -229,6 +229,18 @@ def test_lines_by_any_white_space_and_script(spark):
     assert got == {0: mixed[0][2], 1: "", 2: "", 3: ""}
 
 
+def test_lines_rows_of_one_id_and_clashing_names(spark):
+    docs = [(s, f"s{s}", f"a line of four sites\nown {s}", s, "x") for s in range(5)]
+    docs += [(4, "s4", "own text\na line of four sites\nown 4", 7, None), (4, "s4", docs[4][2], 8, "y")]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, text string, _doc long, drop string")
+    got = linededup.remove_boilerplate(frame.withColumnRenamed("drop", "Body"), removed_col="gone")
+    assert got.columns == ["doc_id", "source", "text", "_doc", "Body", "gone"]
+    want = [t for _, t in brute.without_boilerplate([d[:3] for d in docs])]
+    assert Counter(map(tuple, got.collect())) == Counter(
+        (d[0], d[1], w, d[3], d[4], int(d[2] != w)) for d, w in zip(docs, want)
+    )
+
+
 # 8. Toxicity
 
 
