@@ -64,4 +64,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stage_path = path
+    return stored
+
+
+def drop_stages(*stored: DataFrame) -> None:
+    """Deletes the tables behind frames that ``cut_lineage`` returned, so that a long job holds few of them at a time.
+
+    Only for tables that nothing still to be computed reads: all that was made from them is itself stored or collected.
+    """
+    for frame in stored:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame._stage_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
