@@ -19,7 +19,8 @@ Links found in both steps give the components. A link is left out only between d
 
 Null or empty text, or text without words: empty set, linked with nothing, its own component. Null id: component null,
 never a node. Rows that share an id and have different
-sets are told apart by their sets, unless that id heads both. Empty table: empty result. Extra columns are ignored.
+sets are told apart by their sets, unless that id heads both. Empty table: empty result. Ids may be of any type that
+can be ordered. Extra columns are ignored by ``components`` and kept by ``keep_one``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathline.llm.common import ROWS, as_bytes, map_batches
+from swathline.llm.common import ROWS, as_bytes, map_batches, unused_names
 from swathline.operators.vectorize import resolve
-from swathline.session import cut_lineage
+from swathline.session import cut_lineage, drop_stages
 
 SKETCH_BITS = 20
 SLICES = 64
@@ -102,7 +103,7 @@ def _sets(docs: DataFrame, words: int, bits: int, id_col: str, text_col: str) ->
         kinds = [None, pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             docs_in, kinds[0] = batch.column(0), batch.column(0).type
-            sets = [shingle(t) for t in batch.column(1).to_pylist()]
+            sets = [shingle(t.as_py()) for t in batch.column(1)]
             slots = np.concatenate([_EMPTY, *sets]) >> np.uint64(64 - bits)
             total += np.bincount(slots.astype(np.int64), minlength=1 << bits).astype(np.int32)
             seen += len(sets)
@@ -160,7 +161,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, sketch: np.ndarray, bit
             return n, np.sort(np.partition(ranks, size - 1)[:size]).astype(np.int64)
 
         def work(batch: pa.RecordBatch) -> dict:
-            both = [first(t) for t in batch.column(1).to_pylist()]
+            both = [first(t.as_py()) for t in batch.column(1)]
             return {"doc": batch.column(0), "n": [n for n, _ in both], "prefix": [p for _, p in both]}
 
         return work
@@ -226,7 +227,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     def sets():
         shingle = Shingler(words)
         return lambda batch: {
-            "doc": batch.column("doc"), "tokens": [shingle(t).tobytes() for t in batch.column("text").to_pylist()]
+            "doc": batch.column("doc"), "tokens": [shingle(t.as_py()).tobytes() for t in batch.column("text")]
         }
 
     tokens = cut_lineage(map_batches(source.select("doc", "text"), f"doc {kind}, tokens binary", sets))
@@ -247,11 +248,13 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     joined = pairs.join(tokens.select(F.col("doc").alias("u"), F.col("tokens").alias("tu")), "u").join(
         tokens.select(F.col("doc").alias("v"), F.col("tokens").alias("tv")), "v"
     )
-    return cut_lineage(map_batches(joined.select("u", "v", "tu", "tv"), f"u {kind}, v {kind}", make))
+    linked = cut_lineage(map_batches(joined.select("u", "v", "tu", "tv"), f"u {kind}, v {kind}", make))
+    drop_stages(involved, tokens)
+    return linked
 
 
-def _named(grouped: DataFrame, turn: int) -> DataFrame:
-    """(token, doc, n, at, group, ends): the entries of tokens in several groups, with some (group, doc) of each token.
+def _ends(grouped: DataFrame, turn: int) -> DataFrame:
+    """(token, ends): some (group, doc) of each token that stands in several groups.
 
     The first round takes the smallest and the greatest set; later rounds draw groups, and members of them, by hash.
     """
@@ -265,17 +268,17 @@ def _named(grouped: DataFrame, turn: int) -> DataFrame:
     group, doc = ((lambda c: c["group"]), (lambda c: c["doc"])) if turn else ((lambda c: c), (lambda c: c))
     several = group(F.col("_min_0")) != group(F.col("_max_0"))
     named = [F.struct(group(F.col(c)).alias("group"), doc(F.col(c)).alias("doc")) for c in ends.columns[1:]]
-    return grouped.join(ends.filter(several).select("token", F.array(*named).alias("ends")), "token")
+    return ends.filter(several).select("token", F.array(*named).alias("ends"))
 
 
-def _spokes(entries: DataFrame) -> DataFrame:
+def _spokes(grouped: DataFrame, ends: DataFrame) -> DataFrame:
     """(u, v): each set with the sets of other groups that most of its tokens name, one for each kind of end."""
-    votes = entries.select("doc", "group", F.posexplode("ends").alias("kind", "end"))
+    votes = grouped.join(ends, "token").select("doc", "group", F.posexplode("ends").alias("kind", "end"))
     best = (
         votes.filter(F.col("group") != F.col("end.group")).groupBy("kind", "doc", F.col("end.doc").alias("u"))
         .agg(F.count("*").alias("both"))
-        .groupBy("kind", "doc").agg(F.max(F.struct("both", (-F.col("u")).alias("less"))).alias("best"))
-        .select((-F.col("best.less")).alias("u"), F.col("doc").alias("v"))
+        .groupBy("kind", "doc").agg(F.min(F.struct((-F.col("both")).alias("less"), "u")).alias("best"))
+        .select(F.col("best.u").alias("u"), F.col("doc").alias("v"))
     )
     return best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
@@ -343,17 +346,21 @@ def components(
 
     # Step 1: groups around sets of other groups that most tokens of a set name.
     grouped = prefixes.select("doc", "n", F.posexplode("prefix").alias("at", "token"), F.col("doc").alias("group"))
-    first = None
+    first, stored = None, []
     for turn in range(ROUNDS):
-        entries = cut_lineage(_named(grouped, turn))
-        spokes = cut_lineage(_bounded(_spokes(entries), prefixes, percent))
+        ends = cut_lineage(_ends(grouped, turn))
+        spokes = cut_lineage(_bounded(_spokes(grouped, ends), prefixes, percent))
         found = _linked(spokes, docs, words, percent, id_col, text_col)
         first = found if first is None else first.unionByName(found)
         groups = cut_lineage(resolve(first))
-        grouped = entries.join(groups.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
-            "token", "doc", "n", "at", F.coalesce("root", "doc").alias("group")
+        shared = grouped.join(ends.select("token"), "token", "left_semi")  # a token of one group says nothing
+        grouped = cut_lineage(
+            shared.join(groups.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
+                "token", "doc", "n", "at", F.coalesce("root", "doc").alias("group")
+            )
         )
-        grouped = cut_lineage(grouped)
+        drop_stages(ends, spokes, groups, *stored)
+        stored = [grouped]
         if found.isEmpty() or not _crowded(grouped, in_index):
             break
 
@@ -374,8 +381,11 @@ def components(
         .distinct()
     )
     inside = members.select(F.col("group").alias("target"), F.col("doc").alias("u")).distinct()
-    pairs = cut_lineage(_opened(cut_lineage(queries), inside, prefixes, percent))
+    queries = cut_lineage(queries)
+    pairs = cut_lineage(_opened(queries, inside, prefixes, percent))
+    drop_stages(queries, prefixes, *stored)
     second = _linked(pairs, docs, words, percent, id_col, text_col)
+    drop_stages(pairs)
     roots = resolve(first.unionByName(second))
 
     # All members of a component, also copies, get its smallest id.
@@ -394,5 +404,6 @@ def keep_one(
 ) -> DataFrame:
     """The documents that head their component; rows with a null id stay."""
     found = components(docs, words, percent, id_col, text_col)
-    others = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(others, F.col(id_col) == F.col("_gone"), "left_anti")
+    (gone,) = unused_names(docs, "gone")
+    others = found.filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias(gone)).distinct()
+    return docs.join(others, F.col(id_col) == F.col(gone), "left_anti")
