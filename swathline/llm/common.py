@@ -47,6 +47,7 @@ def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.Reco
             for start in range(0, batch.num_rows, ROWS):
                 out = work(batch.slice(start, ROWS))
                 yield pa.RecordBatch.from_arrays([_column(out[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()  # the worker may idle through later stages
 
     return df.mapInArrow(run, schema)
 

@@ -142,8 +142,8 @@ def decontaminate(
 
         def search(batch: pa.RecordBatch) -> tuple:
             counts, spans, items = [], [], []
-            for text in batch.column("_bytes").to_pylist():
-                text = words(text)
+            for text in batch.column("_bytes"):
+                text = words(text.as_py())
                 own, named = [], set()
                 for searcher in handle.value:
                     for start, found in searcher.find(text):
@@ -204,7 +204,7 @@ def decontaminate(
         def work(batch: pa.RecordBatch) -> dict:
             starts, stops = batch.column("starts").to_pylist(), batch.column("stops").to_pylist()
             spans = [list(zip(a or (), b or ())) for a, b in zip(starts, stops)]
-            counts = [len(words(t)) for t in batch.column("_bytes").to_pylist()]
+            counts = [len(words(t.as_py())) for t in batch.column("_bytes")]
             named = [i or () for i in batch.column("items").to_pylist()]
             return {c: batch.column(c) for c in carried} | _report(counts, spans, named)
 

@@ -19,6 +19,7 @@ table: empty result. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swathline.llm.common import as_bytes, map_batches
+from swathline.llm.common import as_bytes, map_batches, unused_names
 from swathline.llm.decontaminate import words
 from swathline.session import cut_lineage
 
@@ -93,8 +94,7 @@ def train(
     if not positive or not unlabelled:
         return np.array([-1]), np.array([np.log(prior / (1 - prior))])
     size = 1 << FEATURE_BITS
-    in_p = sum((np.bincount(r, minlength=size) for r in positive), np.zeros(size))
-    in_u = sum((np.bincount(r, minlength=size) for r in unlabelled), np.zeros(size))
+    in_p, in_u = (np.bincount(np.concatenate(rows), minlength=size) for rows in (positive, unlabelled))
     share_p, share_u = in_p / len(positive), in_u / len(unlabelled)
     share_n = np.maximum(share_u - prior * share_p, 0) / (1 - prior)
     useful = (in_p >= limits.least_count) & (share_p >= limits.least_lift * (share_n + 1 / len(unlabelled)))
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: s
 
     def extract():
         def work(batch: pa.RecordBatch) -> dict:
-            rows = [features(t) for t in batch.column("text").to_pylist()]
+            rows = [features(t.as_py()) for t in batch.column("text")]
             return {"role": batch.column("role"), "fold": batch.column("fold"), "features": rows}
 
         return work
@@ -230,18 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), id_col: s
     return Model({f: slope * w for f, w in mean.items()}, bias)
 
 
-def score(
-    docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
-    keep: list[str] | None = None,
-) -> DataFrame:
-    """(id, held_out, score, predicted), one row per document; ``keep``: columns to carry instead of the id alone."""
-    carried = keep or [id_col]
-    source = docs.select(*carried, F.coalesce(held_out(id_col), F.lit(False)).alias("_held"), as_bytes(text_col).alias("_bytes"))
-    kinds = dict(source.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in carried) + ", held_out boolean, score double, predicted int"
+def _scores(docs: DataFrame, model: Model, text_col: str) -> Column:
+    """The score of each row's text. Only the text goes to the Python task, and only the score comes back."""
     handle = docs.sparkSession.sparkContext.broadcast(model)  # weights of the bounded sample's features
 
-    def make():
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         weights, bias = handle.value.weights, handle.value.bias
         known: dict[bytes, tuple] = {}
 
@@ -251,22 +244,37 @@ def score(
             known[word] = found = tuple(f for f in word_features(word) if f in weights)
             return found
 
-        def work(batch: pa.RecordBatch) -> dict:
-            out = []
-            for text in batch.column("_bytes").to_pylist():
-                hit: set[int] = set()
-                for word in set(words(text)):
-                    found = known.get(word)
-                    if found is None:
-                        found = active(word)
-                    if found:
-                        hit.update(found)
-                out.append(bias + sum(weights[f] for f in sorted(hit)))
-            scores = _sigmoid(np.array(out))
-            return {c: batch.column(c) for c in carried} | {
-                "held_out": batch.column("_held"), "score": scores, "predicted": (scores >= threshold).astype(np.int32),
-            }
+        def total(text: bytes | None) -> float:
+            hit: set[int] = set()
+            for word in set(words(text)):
+                found = known.get(word)
+                if found is None:
+                    found = active(word)
+                if found:
+                    hit.update(found)
+            return bias + sum(weights[f] for f in sorted(hit))
+
+        for texts in batches:
+            yield pa.array(_sigmoid(np.array([total(t.as_py()) for t in texts], np.float64)))
+
+    return F.arrow_udf(scored, "double")(as_bytes(text_col))
+
+
+def score(
+    docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """(id, held_out, score, predicted), one row per document; ``keep``: columns to carry instead of the id alone."""
+    (own,) = unused_names(docs, "score")
+    scored = docs.withColumn(own, _scores(docs, model, text_col))
+    return scored.select(
+        *(keep or [id_col]),
+        F.coalesce(held_out(id_col), F.lit(False)).alias("held_out"),
+        F.col(own).alias("score"),
+        (F.col(own) >= threshold).cast("int").alias("predicted"),
+    )
 
-        return work
 
-    return map_batches(source, schema, make)
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents with a score below the threshold, their columns unchanged whatever their names."""
+    return docs.filter(_scores(docs, model, text_col) < threshold)

@@ -7,6 +7,7 @@ from zlib import crc32
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from swathline.llm import decontaminate, jaccard, linededup, packing, queries, sharding, toxicity
@@ -60,6 +61,16 @@ def test_jaccard_null_ids_and_repeats(spark):
     assert sorted(rows_of(jaccard.keep_one(frame), "doc_id"), key=str) == [(2,), (2,), (None,)]
 
 
+def test_jaccard_text_ids_and_clashing_names(spark):
+    rng = random.Random(8)
+    base = [[f"w{rng.randint(0, 10**6)}" for _ in range(60)] for _ in range(6)]
+    docs = [(f"d{i:03d}", " ".join([*base[i % 6][:57], f"x{i % 9}", "end"])) for i in range(40)]
+    frame = spark.createDataFrame([(*d, 1, "k") for d in docs], "doc_id string, text string, n long, gone string")
+    check_components(jaccard.components(frame), docs, 5, 80)
+    kept = jaccard.keep_one(frame)
+    assert kept.columns == frame.columns and sorted(rows_of(kept, "doc_id")) == [(f"d{i:03d}",) for i in range(6)]
+
+
 # 2. Sharding
 
 
@@ -286,8 +297,14 @@ def test_toxicity_awkward(spark, awkward):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     assert {r.score for r in toxicity.score(awkward, toxicity.fit(awkward, none)).collect()} == {0.0}
     some = spark.createDataFrame([(i, int(i > 8)) for i in range(15)], "doc_id long, toxic int")
-    got = toxicity.score(awkward, toxicity.fit(awkward, some), keep=awkward.columns)
+    model = toxicity.fit(awkward, some)
+    got = toxicity.score(awkward, model, keep=awkward.columns)
     assert got.count() == 14 and got.columns[: len(awkward.columns)] == awkward.columns
+    clashing = awkward.withColumn("score", F.lit("own")).withColumn("predicted", F.lit(0)).withColumn("held_out", F.lit(1))
+    want = [tuple(r) for r in toxicity.score(awkward, model).select("doc_id", "predicted").collect()]
+    assert [tuple(r) for r in toxicity.score(clashing, model).select("doc_id", "predicted").collect()] == want
+    kept = toxicity.drop_toxic(clashing, model)
+    assert kept.columns == clashing.columns and kept.filter("score = 'own'").count() == sum(not p for _, p in want)
 
 
 # 10. Decontamination
