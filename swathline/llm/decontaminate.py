@@ -10,13 +10,14 @@ benchmark takes one pass over the documents for each block, and the spans of a d
 
 Null or empty text: no words, not contaminated. Items without words have no window. Null or repeated item ids are
 allowed; an item that is there twice counts once. Documents that come twice are reported twice (rows are told apart by
-nothing but their position, so nothing is joined when the benchmark fits one block). Extra columns are ignored.
+nothing but their position, so nothing is joined when the benchmark fits one block). Extra columns are ignored, and kept by
+``drop_contaminated`` whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,7 @@ from swathline.session import cut_lineage
 
 WINDOW = 10
 BLOCK_WINDOWS = 200_000
+REPORT = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
 #: A-Z to a-z; every byte that is neither a digit, a letter nor part of a character beyond ASCII to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -108,41 +110,40 @@ def _united(spans: list[tuple[int, int]]) -> int:
     return total
 
 
-def _report(n_words: list, spans: list, items: list) -> dict:
+def _report(n_words: list, spans: list, items: list) -> pa.Array:
+    """A struct of ``REPORT`` for each document."""
     hits = [_united(s) for s in spans]
-    return {
-        "n_words": n_words,
-        "n_hit": hits,
-        "n_items": [len(i) for i in items],
-        "items_sha256": [hashlib.sha256(b",".join(sorted(x.encode() for x in i))).hexdigest() for i in items],
-        "contaminated": [h > 0 for h in hits],
-    }
+    return pa.StructArray.from_arrays(
+        [
+            pa.array(n_words, pa.int64()),
+            pa.array(hits, pa.int64()),
+            pa.array([len(i) for i in items], pa.int64()),
+            pa.array([hashlib.sha256(b",".join(sorted(x.encode() for x in i))).hexdigest() for i in items], pa.string()),
+            pa.array([h > 0 for h in hits], pa.bool_()),
+        ],
+        names=["n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    )
 
 
-def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS,
-    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    keep: list[str] | None = None,
+def _reported(
+    docs: DataFrame, benchmark: DataFrame, window: int, block_windows: int, text_col: str, item_col: str,
+    item_text_col: str, carried: list[str],
 ) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, contaminated), one row per document.
+    """(held, report): the carried columns of each document as one struct, and what was found in its text as another.
 
-    ``keep``: columns of the documents to carry along unchanged instead of the id alone.
+    Only texts go to the Python tasks and only reports come back.
     """
     spark = docs.sparkSession
-    carried = keep or [id_col]
-    source = docs.select(*carried, as_bytes(text_col).alias("_bytes"))
-    kinds = dict(source.dtypes)
-    head = ", ".join(f"`{c}` {kinds[c]}" for c in carried)
-    report = "n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean"
     blocks = _blocks(benchmark, item_col, item_text_col, window, block_windows)
     first, second = next(blocks, []), next(blocks, None)
+    held = F.struct(*carried).alias("held")
 
-    def scan(searchers) -> tuple:
+    def scan(searchers) -> Callable[[pa.Array], tuple]:
         handle = spark.sparkContext.broadcast(searchers)
 
-        def search(batch: pa.RecordBatch) -> tuple:
+        def search(texts: pa.Array) -> tuple:
             counts, spans, items = [], [], []
-            for text in batch.column("_bytes"):
+            for text in texts:
                 text = words(text.as_py())
                 own, named = [], set()
                 for searcher in handle.value:
@@ -159,14 +160,16 @@ def decontaminate(
     if second is None:
         search = scan(first)
 
-        def make():
-            return lambda batch: {c: batch.column(c) for c in carried} | _report(*search(batch))
+        def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                yield _report(*search(texts))
 
-        return map_batches(source, f"{head}, {report}", make)
+        return docs.select(held, F.arrow_udf(whole, REPORT)(as_bytes(text_col)).alias("report"))
 
     # Several blocks: documents get a number that stays, each block reports the documents it hits, and these are united.
-    numbered = cut_lineage(source.withColumn("_row", F.monotonically_increasing_id()))
-    part = "_row bigint, starts array<bigint>, stops array<bigint>, items array<string>"
+    apart = [] if text_col in carried else [as_bytes(text_col).alias("body")]
+    numbered = cut_lineage(docs.select(held, *apart, F.monotonically_increasing_id().alias("row")))
+    body = F.col("body") if apart else as_bytes(F.col("held")[text_col])
 
     def pending():
         yield first
@@ -178,10 +181,10 @@ def decontaminate(
 
         def make():
             def work(batch: pa.RecordBatch) -> dict:
-                _, spans, items = search(batch)
+                _, spans, items = search(batch.column("body"))
                 hit = [i for i, s in enumerate(spans) if s]
                 return {
-                    "_row": batch.column("_row").take(pa.array(hit, pa.int64())),
+                    "row": batch.column("row").take(pa.array(hit, pa.int64())),
                     "starts": [[a for a, _ in spans[i]] for i in hit],
                     "stops": [[b for _, b in spans[i]] for i in hit],
                     "items": [sorted(items[i]) for i in hit],
@@ -189,25 +192,44 @@ def decontaminate(
 
             return work
 
-        return cut_lineage(map_batches(numbered.select("_row", "_bytes"), part, make))
+        part = "row bigint, starts array<bigint>, stops array<bigint>, items array<string>"
+        return cut_lineage(map_batches(numbered.select("row", body.alias("body")), part, make))
 
     union = None
     for searchers in pending():
         found = hits_of(searchers)
         union = found if union is None else union.unionByName(found)
-    merged = union.groupBy("_row").agg(
+    merged = union.groupBy("row").agg(
         *(F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "stops")),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
     )
 
-    def finish():
-        def work(batch: pa.RecordBatch) -> dict:
-            starts, stops = batch.column("starts").to_pylist(), batch.column("stops").to_pylist()
-            spans = [list(zip(a or (), b or ())) for a, b in zip(starts, stops)]
-            counts = [len(words(t.as_py())) for t in batch.column("_bytes")]
-            named = [i or () for i in batch.column("items").to_pylist()]
-            return {c: batch.column(c) for c in carried} | _report(counts, spans, named)
+    def united(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, starts, stops, items in batches:
+            spans = [list(zip(a or (), b or ())) for a, b in zip(starts.to_pylist(), stops.to_pylist())]
+            yield _report([len(words(t.as_py())) for t in texts], spans, [i or () for i in items.to_pylist()])
+
+    report = F.arrow_udf(united, REPORT)(body, F.col("starts"), F.col("stops"), F.col("items"))
+    return numbered.join(merged, "row", "left").select("held", report.alias("report"))
 
-        return work
 
-    return map_batches(numbered.join(merged, "_row", "left"), f"{head}, {report}", finish)
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS,
+    id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, contaminated), one row per document.
+
+    ``keep``: columns of the documents to carry along unchanged instead of the id alone.
+    """
+    found = _reported(docs, benchmark, window, block_windows, text_col, item_col, item_text_col, keep or [id_col])
+    return found.select("held.*", "report.*")
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, text_col: str = "text",
+    item_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
+    """The documents without any occurrence, their columns unchanged whatever their names."""
+    found = _reported(docs, benchmark, window, block_windows, text_col, item_col, item_text_col, docs.columns)
+    return found.filter(~F.col("report")["contaminated"]).select("held.*")

@@ -329,6 +329,10 @@ def test_decontaminate_awkward_in_one_and_many_blocks(spark, awkward):
     for block in (1000, 2, 1):
         got = decontaminate.decontaminate(awkward, bench, block_windows=block)
         assert Counter(rows_of(got, *REPORT)) == want
+        clashing = awkward.withColumn("n_words", F.lit("own")).withColumn("contaminated", F.lit(1)).withColumn("held", F.lit(2))
+        left = decontaminate.drop_contaminated(clashing, bench, block_windows=block)
+        assert left.columns == clashing.columns and left.filter("n_words = 'own' and held = 2").count() == left.count()
+        assert Counter(rows_of(left, "doc_id")) == Counter((w[0],) for w in want.elements() if not w[-1])
     kept = decontaminate.decontaminate(awkward, bench.limit(0), keep=awkward.columns)
     assert kept.filter("contaminated").count() == 0 and kept.count() == 14
 
