@@ -17,8 +17,7 @@ from swathline.session import cut_lineage
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. It learns from the labels of the folder and the documents given."""
-    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=docs.columns).filter(F.col("predicted") == 0).select(*docs.columns)
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, read(spark, sf_dir, "labels")))
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +36,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item go."""
-    checked = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return checked.filter(~F.col("contaminated")).select(*docs.columns)
+    return decontaminate.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
