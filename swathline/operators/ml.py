@@ -55,12 +55,11 @@ def patch_features(labelled: DataFrame, tile: int, height, width: int) -> DataFr
     stats = {}
     for kind, fn in (("std", F.stddev_pop), ("var", F.var_pop)):
         for name in ("pre", "post", "diff"):
-            stats[f"{name}_{kind}"] = fn(F.when(valid, F.col(name))).over(by_tile)
-    gathered = patches(frame, ["pre", "post", "diff"], tile)
+            stats[f"{name}_{kind}"] = fn(F.when(valid & F.col("home"), F.col(name))).over(by_tile)
+    gathered = patches(frame, ["pre", "post", "diff"], tile, of_tile=stats)
     inner = (F.col("y") >= 1) & (F.col("x") >= 1) & (F.col("y") < height - 1) & (F.col("x") < width - 1)
-    with_stats = gathered.withColumns({n: F.col(f"{n}_4") for n in ("pre", "post", "diff")}).withColumns(stats)
     names = [f"{n}_{k}" for n in ("pre", "post", "diff") for k in range(9)] + list(stats)
-    return with_stats.filter(valid & inner).select(
+    return gathered.filter(valid & inner).select(
         "tile_id", "y", "x", "label", *[F.col(n).alias(f"f{i}") for i, n in enumerate(names)]
     )
 
