@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from swathline.functions.numeric import intdiv
 from swathline.functions.radiometry import db_masked
+from swathline.operators import focal
 
 
 def stack(scenes: dict[str, DataFrame]) -> DataFrame:
@@ -70,11 +74,25 @@ def reindex_nearest(
     return keyed.join(right, ["sy", "sx"], "left").drop("sy", "sx")
 
 
-def _targets(coord: str, scale: float, shift: float) -> Column:
-    """Targets t with |coord - (scale*t + shift)| < 1, as an array."""
+#: Cells on a side of the target tiles of resampling.
+TARGET_TILE = 128
+
+
+def _target_tiles(coord: str, scale: float, shift: float) -> Column:
+    """Tiles of the targets t with |coord - (scale*t + shift)| < 1, as an array."""
     low = F.floor((F.col(coord) - 1 - F.lit(shift)) / F.lit(scale)) + 1
     high = F.ceil((F.col(coord) + 1 - F.lit(shift)) / F.lit(scale)) - 1
-    return F.when(low <= high, F.sequence(low, high))
+    return F.when(low <= high, F.sequence(intdiv(low, TARGET_TILE), intdiv(high, TARGET_TILE)))
+
+
+def _in_reach(coord: np.ndarray, scale: float, shift: float, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Targets of each coordinate inside the tile that starts at ``first``, counted from there, and whose they are."""
+    low = np.floor((coord - 1 - shift) / scale) + 1 - first
+    high = np.ceil((coord + 1 - shift) / scale) - 1 - first
+    low, high = np.maximum(low, 0).astype(np.int64), np.minimum(high, TARGET_TILE - 1).astype(np.int64)
+    count = np.maximum(high - low + 1, 0)
+    whose = np.repeat(np.arange(len(coord)), count)
+    return np.arange(len(whose)) - np.repeat(np.cumsum(count) - count - low, count), whose
 
 
 def reproject_bilinear(
@@ -82,24 +100,42 @@ def reproject_bilinear(
 ) -> DataFrame:
     """Bilinear resampling onto a grid whose cell t sits at source position scale*t + shift.
 
-    Each source pixel is scattered to the targets it weighs on and targets sum their
-    weights, so there is no neighbour join; weights renormalise over valid pixels: those that aren't NULL, NaN or
-    ``nodata``. A target with none of them is NULL with ``n`` 0.
+    Each source pixel goes to the tiles of the targets it weighs on, one exchange, and targets sum their
+    weights tile by tile, so there is no neighbour join and no hash table over all targets of a task; weights
+    renormalise over valid pixels: those that aren't NULL, NaN or ``nodata``. A target with none of them is NULL with ``n`` 0.
     """
     valid = ~F.isnan("value") if nodata is None else ~F.isnan("value") & (F.col("value") != nodata)
-    source = source.withColumn("value", F.when(valid, F.col("value")))
-    spread = source.withColumn("ty", F.explode(_targets("y", scale, shift)))
-    spread = spread.withColumn("tx", F.explode(_targets("x", scale, shift)))
-    if height is not None:
-        spread = spread.filter((F.col("ty") >= 0) & (F.col("ty") < height) & (F.col("tx") >= 0) & (F.col("tx") < width))
-    weight = (1 - F.abs(F.col("y") - (F.col("ty") * scale + shift))) * (
-        1 - F.abs(F.col("x") - (F.col("tx") * scale + shift))
-    )
-    return (
-        spread.withColumn("w", F.when(F.col("value").isNotNull(), weight))
-        .groupBy(F.col("ty").alias("y"), F.col("tx").alias("x"))
-        .agg(F.try_divide(F.sum(F.col("value") * F.col("w")), F.sum("w")).alias("value"), F.count("value").alias("n"))
-    )
+    source = source.select("y", "x", F.when(valid, F.col("value")).cast("double").alias("value"))
+    spread = source.withColumn("ty", F.explode(_target_tiles("y", scale, shift)))
+    spread = spread.withColumn("tx", F.explode(_target_tiles("x", scale, shift))).repartition("ty", "tx")
+    side = TARGET_TILE
+
+    def work(cells: pa.Table, ty: int, tx: int) -> dict:
+        y, x, value = (cells.column(c).to_numpy() for c in ("y", "x", "value"))
+        there = cells.column("value").is_valid().to_numpy()
+        down, whose = _in_reach(y, scale, shift, ty * side)
+        across, of = _in_reach(x[whose], scale, shift, tx * side)
+        down, whose = down[of], whose[of]
+        weight = (1 - np.abs(y[whose] - ((down + ty * side) * scale + shift))) * (
+            1 - np.abs(x[whose] - ((across + tx * side) * scale + shift))
+        )
+        at, given = down * side + across, there[whose]
+        touched = np.bincount(at, minlength=side * side) > 0
+        held, weight = at[given], weight[given]
+        total = np.bincount(held, weight * value[whose[given]], side * side).astype(float)[touched]
+        weights = np.bincount(held, weight, side * side).astype(float)[touched]
+        cell = np.flatnonzero(touched)
+        return {
+            "y": cell // side + ty * side, "x": cell % side + tx * side,
+            "value": pa.array(np.divide(total, weights, where=weights != 0, out=np.zeros(len(cell))), mask=weights == 0),
+            "n": np.bincount(held, minlength=side * side)[touched],
+        }
+
+    kinds = [("y", T.LongType()), ("x", T.LongType()), ("value", T.DoubleType()), ("n", T.LongType())]
+    made = focal.on_tiles(spread, work, [T.StructField(*k) for k in kinds])
+    if height is None:
+        return made
+    return made.filter((F.col("y") >= 0) & (F.col("y") < height) & (F.col("x") >= 0) & (F.col("x") < width))
 
 
 def interpolate_table(df: DataFrame, key: str, nodes: DataFrame, cell: int, group: list[str] | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import io
 import pytest
 from pyspark.sql import functions as F
 
-from swathline.operators import focal, ml
+from swathline.operators import cube, focal, ml, vectorize
 
 
 def plan(frame):
@@ -57,3 +57,36 @@ def test_pixels_given_twice(spark):
     assert got == {0: (3.0, 2, 2.0), 1: (None, 3, 3.0), 2: (5.0, 1, 5.0)}
     got = {r.x: (r.value_3, r.value_4, r.value_5) for r in focal.patches(frame, ["value"], 2).collect()}
     assert got == {0: (0.0, 3.0, 0.0), 1: (3.0, 0.0, 5.0), 2: (0.0, 5.0, 0.0)}
+
+
+def test_resampling_holds_one_tile(spark, grid):
+    assert "Aggregate" not in plan(cube.reproject_bilinear(grid, 1.0, 0.5))
+    held = {(r.y, r.x): r.value for r in grid.collect()}
+    for scale, shift in ((1.0, 0.5), (0.01, -1.3037), (3.0, 0.25)):
+        want = {}
+        for (y, x), v in held.items():
+            for ty in range(int((y - 1 - shift) // scale) + 1, int(-((shift - y - 1) // scale))):
+                for tx in range(int((x - 1 - shift) // scale) + 1, int(-((shift - x - 1) // scale))):
+                    if not (0 <= ty < 300 and 120 <= tx < 140):
+                        continue
+                    w = (1 - abs(y - (ty * scale + shift))) * (1 - abs(x - (tx * scale + shift)))
+                    total, weight, n = want.get((ty, tx), (0.0, 0.0, 0))
+                    want[ty, tx] = total + v * w, weight + w, n + 1
+        rows = cube.reproject_bilinear(grid, scale, shift, 300, 140).filter("x >= 120").collect()
+        assert {(r.y, r.x): r.n for r in rows} == {k: n for k, (_, _, n) in want.items()}
+        assert all(r.value == pytest.approx(want[r.y, r.x][0] / want[r.y, r.x][1]) for r in rows)
+
+
+def test_edges_hold_one_tile(spark):
+    cells = {(y, x): "ab"[(y * 5 + x * 3) % 11 > 4] for y in range(-5, 9) for x in range(9) if (y * x) % 5 != 1} | {(2, 3): None, (2, 4): None}
+    frame = spark.createDataFrame([(k, y, x) for (y, x), k in cells.items()], "label string, y bigint, x bigint")
+    edges = vectorize.boundary_edges(frame, "label", 4)
+    assert "Aggregate" not in plan(edges)
+    want = {
+        (k, y, x, side)
+        for (y, x), k in cells.items()
+        for side, (dy, dx) in enumerate(((-1, 0), (0, -1), (1, 0), (0, 1)))
+        if cells.get((y + dy, x + dx), "none") != k
+    }
+    rows = [(r.label, r.y, r.x, r.side) for r in edges.collect()]
+    assert len(rows) == len(want) and set(rows) == want
