@@ -83,8 +83,8 @@ def artifact_projection(spark, folder):
     return rows.withColumn("pipeline_seconds", snap(F.col("pipeline_seconds"), 4))
 
 
-def _matches(spark, folder):
-    return documents.parse_matches(documents.match_documents(spark, folder))
+def _matches(spark, folder, *info):
+    return documents.parse_matches(documents.match_documents(spark, folder), ("match_id", *info))
 
 
 @query(
@@ -94,7 +94,7 @@ def _matches(spark, folder):
          CAST(l_quantity AS BIGINT) AS margin_runs, 'by ' || CAST(l_quantity AS BIGINT) AS margin_name FROM lineitem""",
 )
 def flatten_struct(spark, folder):
-    flat = documents.flatten_matches(_matches(spark, folder))
+    flat = documents.flatten_matches(_matches(spark, folder, "dates", "teams", "venue", "outcome"))
     return flat.withColumn("match_date", F.col("match_date").cast("string"))
 
 
@@ -142,7 +142,7 @@ def explode_outer(spark, folder):
        UNION ALL SELECT l_orderkey*7 + l_linenumber - 1, 'side_' || l_linestatus, CAST(l_suppkey AS VARCHAR) FROM lineitem""",
 )
 def unpivot_stack(spark, folder):
-    return documents.players(_matches(spark, folder))
+    return documents.players(_matches(spark, folder, "players"))
 
 
 @query(
