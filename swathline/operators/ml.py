@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from swathline.functions.ranking import smallest_per_group
 from swathline.operators.focal import patches
 from swathline.schema import LABEL_NODATA
+from swathline.session import cut_lineage
 
 # Fixed values of a small arithmetic hash that every SQL engine evaluates alike.
 HASH_Y, HASH_X, HASH_ADD, HASH_MOD = 7919, 104729, 12345, 1000003
@@ -80,6 +81,8 @@ def split(df: DataFrame, test_percent: int = 20, seed: int = 42) -> DataFrame:
 
 
 def train_forest(train: DataFrame, features: list[str], trees: int = 10, depth: int = 5, seed: int = 42):
+    """A fitted forest. Training passes over its rows several times, so they are stored first and made once."""
+    train = cut_lineage(train.select("label", *features))
     forest = RandomForestClassifier(
         labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed
     )
