@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swathline.functions.tiling import tiles_across
-from swathline.operators.chunks import _CHUNK, CHUNK_DDL, Bands, _rows, pixels, read_bands
+from swathline.operators.chunks import _CHUNK, CHUNK_DDL, Bands, _rows, cell_schema, cells, read_bands
 
 Reach = tuple[int, int]
 #: Values and which of them count, by name.
@@ -83,10 +83,12 @@ def _strips(tile: int, width: int, before: Reach, after: Reach) -> Callable[[Ite
 
 def neighbourhoods(
     chunks: DataFrame, tile: int, width: int, before: Reach, after: Reach, make: Callable[[Bands, Bands], Bands],
-    everywhere: bool = False,
+    everywhere: bool = False, names: dict[int, str] | None = None,
 ) -> DataFrame:
     """Chunks of what ``make`` returns for a tile: from its bands padded with the strips it got, and from its own bands.
 
+    With ``names`` of bands, their cells as ``chunks.pixels`` gives them; a worker then holds one tile at a time, where chunks
+    handed on to a second worker would be gathered there first.
     ``everywhere``: also for tiles that hold no cell but get a strip; they may lie below the raster's last line.
     """
     if max(*before, *after) > tile:
@@ -99,9 +101,11 @@ def neighbourhoods(
         start = {1: 0, 0: before[i], -1: before[i] + tile}[step]
         return slice(start, start + {1: before[i], 0: tile, -1: after[i]}[step])
 
+    schema, ddl = cell_schema(names) if names else (_CHUNK, CHUNK_DDL)
+
     def work(own: pa.Table, got: pa.Table) -> pa.Table:
         if not own.num_rows and not everywhere:
-            return pa.Table.from_batches([], _CHUNK)
+            return pa.Table.from_batches([], schema)
         scene, name = ((own if own.num_rows else got).column(c)[0].as_py() for c in ("scene", "tile_id"))
         pieces = [(0, 0, read_bands(own.column("bands")[0]))] if own.num_rows else []
         pieces += [
@@ -118,16 +122,19 @@ def neighbourhoods(
         middle = slice(before[0], before[0] + tile), slice(before[1], before[1] + tile)
         with np.errstate(all="ignore"):
             made = make(padded, {k: (v[middle], ok[middle]) for k, (v, ok) in padded.items()})
+        if names:
+            return pa.Table.from_batches([cells(scene, name // across * tile, name % across * tile, made, tile, names)])
         out = {k: (np.where(ok, v, 0.0).reshape(-1), ok.reshape(-1)) for k, (v, ok) in made.items()}
         return pa.Table.from_batches([_rows([scene], [name], [name // across * tile], [name % across * tile], [out], tile * tile)])
 
     tiles = chunks.groupBy("scene", "tile_id")
-    return tiles.cogroup(strips.groupBy("scene", "tile_id")).applyInArrow(work, CHUNK_DDL)
+    return tiles.cogroup(strips.groupBy("scene", "tile_id")).applyInArrow(work, ddl)
 
 
 def focal(
     chunks: DataFrame, tile: int, width: int, before: Reach, after: Reach, terms: Callable[[Bands], Terms],
     finish: Callable[[dict[str, np.ndarray], np.ndarray, Bands], dict[int, np.ndarray]], centre: int = 1,
+    names: dict[int, str] | None = None,
 ) -> DataFrame:
     """Chunks with the bands that ``finish`` makes of the window sums of ``terms``, their count ``n`` and the tile's own bands.
 
@@ -141,7 +148,7 @@ def focal(
         there = home[centre][1] if centre in home else np.zeros((tile, tile), bool)
         return {k: (v, there & ~np.isnan(v)) for k, v in finish(sums, n, home).items()}
 
-    return neighbourhoods(chunks, tile, width, before, after, make)
+    return neighbourhoods(chunks, tile, width, before, after, make, names=names)
 
 
 def buffer(
@@ -166,7 +173,7 @@ def buffer(
         distance = np.sqrt(least)
         return {1: (distance, distance <= reach)}
 
-    found = pixels(neighbourhoods(chunks, tile, width, steps, steps, make, everywhere=True), tile, {1: "distance"})
+    found = neighbourhoods(chunks, tile, width, steps, steps, make, everywhere=True, names={1: "distance"})
     return found.filter((F.col("y") < height) & (F.col("x") < width))
 
 
@@ -175,15 +182,15 @@ def _around(size: int) -> tuple[Reach, Reach]:
     return (size // 2,) * 2, ((size - 1) // 2,) * 2
 
 
-def boxcar(chunks: DataFrame, tile: int, width: int, size: int = 10, band: int = 1) -> DataFrame:
+def boxcar(chunks: DataFrame, tile: int, width: int, size: int = 10, band: int = 1, names: dict[int, str] | None = None) -> DataFrame:
     """Moving mean: bands 1 mean, 2 number of cells."""
     return focal(
         chunks, tile, width, *_around(size), lambda b: {"total": (np.nan_to_num(b[band][0], nan=0.0, posinf=np.inf, neginf=-np.inf), b[band][1])},
-        lambda sums, n, home: {1: sums["total"] / n, 2: n}, band,
+        lambda sums, n, home: {1: sums["total"] / n, 2: n}, band, names,
     )
 
 
-def lee_filter(chunks: DataFrame, tile: int, width: int, enl: float = 1.0, size: int = 3, band: int = 1) -> DataFrame:
+def lee_filter(chunks: DataFrame, tile: int, width: int, enl: float = 1.0, size: int = 3, band: int = 1, names: dict[int, str] | None = None) -> DataFrame:
     """Lee (1980) speckle filter: bands 1 filtered, 2 number of cells."""
     s = 1.0 / enl
 
@@ -198,7 +205,7 @@ def lee_filter(chunks: DataFrame, tile: int, width: int, enl: float = 1.0, size:
         gain = np.clip(np.nan_to_num((spread - mean * mean * s) / (spread * (1 + s)), nan=0.0), 0.0, 1.0)
         return {1: mean + gain * (home[band][0] - mean), 2: n}
 
-    return focal(chunks, tile, width, *_around(size), terms, finish, band)
+    return focal(chunks, tile, width, *_around(size), terms, finish, band, names)
 
 
 def _products(bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +215,7 @@ def _products(bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return turn.real, turn.imag, a1 * a1, a2 * a2, k1 & k2 & k3 & k4
 
 
-def interferogram(chunks: DataFrame, tile: int, width: int, size: int = 10) -> DataFrame:
+def interferogram(chunks: DataFrame, tile: int, width: int, size: int = 10, names: dict[int, str] | None = None) -> DataFrame:
     """Band 1: multi-looked phase of s1 * conj(s2), where the first image has a signal."""
 
     def terms(bands: Bands) -> Terms:
@@ -218,10 +225,10 @@ def interferogram(chunks: DataFrame, tile: int, width: int, size: int = 10) -> D
     def finish(sums, n, home):
         return {1: np.where(home[1][0] != 0, np.arctan2(sums["im"] / n, sums["re"] / n), np.nan)}
 
-    return focal(chunks, tile, width, *_around(size), terms, finish)
+    return focal(chunks, tile, width, *_around(size), terms, finish, names=names)
 
 
-def coherence(chunks: DataFrame, tile: int, width: int, azimuth: int = 3, slant: int = 10) -> DataFrame:
+def coherence(chunks: DataFrame, tile: int, width: int, azimuth: int = 3, slant: int = 10, names: dict[int, str] | None = None) -> DataFrame:
     """Bands 1 coherence over an azimuth x range window, 2 number of cells."""
 
     def terms(bands: Bands) -> Terms:
@@ -233,4 +240,4 @@ def coherence(chunks: DataFrame, tile: int, width: int, azimuth: int = 3, slant:
         energy = np.sqrt(np.maximum(sums["e1"], 0.0) * np.maximum(sums["e2"], 0.0))
         return {1: np.where(energy > 0, np.hypot(sums["re"], sums["im"]) / energy, np.nan), 2: n}
 
-    return focal(chunks, tile, width, (azimuth // 2, slant // 2), ((azimuth - 1) // 2, (slant - 1) // 2), terms, finish)
+    return focal(chunks, tile, width, (azimuth // 2, slant // 2), ((azimuth - 1) // 2, (slant - 1) // 2), terms, finish, names=names)

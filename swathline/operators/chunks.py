@@ -204,39 +204,63 @@ def flood_tiles_otsu(
     return otsu.flood_tiles(limits, mask_root, keys=("scene",))
 
 
+def cell_schema(names: dict[int, str]) -> tuple[pa.Schema, str]:
+    """Arrow schema and DDL of (scene, y, x, one column a band)."""
+    kinds = [("scene", pa.int64()), ("y", pa.int64()), ("x", pa.int64()), *[(n, pa.float64()) for n in names.values()]]
+    return pa.schema(kinds), "scene bigint, y bigint, x bigint, " + ", ".join(f"{n} double" for n in names.values())
+
+
+def cells(scene: int, y0: int, x0: int, bands: Bands, tile: int, names: dict[int, str]) -> pa.RecordBatch:
+    """The cells of one chunk where any of the named bands has a value."""
+    none = np.zeros(tile * tile), np.zeros(tile * tile, bool)
+    held = [tuple(np.reshape(a, -1) for a in bands.get(k, none)) for k in names]
+    cell = np.flatnonzero(np.any([ok for _, ok in held], axis=0))
+    columns = [pa.array(np.full(len(cell), scene)), pa.array(y0 + cell // tile), pa.array(x0 + cell % tile)]
+    columns += [pa.array(v[cell], mask=~ok[cell]) for v, ok in held]
+    return pa.RecordBatch.from_arrays(columns, schema=cell_schema(names)[0])
+
+
+#: Chunks that a worker makes before it hands them on.
+AT_ONCE = 64
+
+
 def flood_mask(
-    chunks: DataFrame, threshold: float = FLOOD_THRESHOLD_DB, pre: int = PRE, post: int = POST
-) -> DataFrame:
-    """Chunks of the change in dB (band 1) and the mask (band 2, one or zero), where both rasters have a value."""
+    chunks: DataFrame, threshold: float = FLOOD_THRESHOLD_DB, pre: int = PRE, post: int = POST,
+    tile: int | None = None, names: dict[int, str] | None = None,
+) -> DataFrame:
+    """Chunks of the change in dB (band 1) and the mask (band 2, one or zero), where both rasters have a value.
+
+    With the ``tile`` size and ``names`` of the bands, their cells as ``pixels`` gives them, in the same pass: chunks are
+    then not gathered a second time on their way to Python.
+    """
+
+    def change(row: pa.Scalar) -> Bands:
+        a, has_a, b, has_b = _pair(read_bands(row), pre, post)
+        both = has_a & has_b
+        diff = np.where(both, decibel(np.where(both, b, 1.0)) - decibel(np.where(both, a, 1.0)), 0.0)
+        return {DIFF: (diff, both), MASK: ((diff < threshold).astype(float), both)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, size = [], 0
-            for row in batch.column("bands"):
-                a, has_a, b, has_b = _pair(read_bands(row), pre, post)
-                both, size = has_a & has_b, len(a)
-                diff = np.where(both, decibel(np.where(both, b, 1.0)) - decibel(np.where(both, a, 1.0)), 0.0)
-                out.append({DIFF: (diff, both), MASK: ((diff < threshold).astype(float), both)})
-            yield _rows(*[batch.column(c) for c in ("scene", "tile_id", "y0", "x0")], out, size)
+            for start in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(start, AT_ONCE)
+                keys = [part.column(c).to_pylist() for c in ("scene", "tile_id", "y0", "x0")]
+                out = [change(row) for row in part.column("bands")]
+                if names:
+                    yield from (cells(s, y0, x0, b, tile, names) for s, y0, x0, b in zip(keys[0], *keys[2:], out))
+                else:
+                    yield _rows(*keys, out, max((len(b[DIFF][0]) for b in out), default=0))
 
-    return chunks.mapInArrow(run, CHUNK_DDL)
+    return chunks.mapInArrow(run, cell_schema(names)[1] if names else CHUNK_DDL)
 
 
 def pixels(chunks: DataFrame, tile: int, names: dict[int, str]) -> DataFrame:
     """(scene, y, x, one column a band) of the cells where any of the bands has a value."""
-    kinds = [("scene", pa.int64()), ("y", pa.int64()), ("x", pa.int64()), *[(n, pa.float64()) for n in names.values()]]
-    schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 scene, y0, x0 = (batch.column(c)[i].as_py() for c in ("scene", "y0", "x0"))
-                bands = read_bands(batch.column("bands")[i])
-                held = [bands[k] if k in bands else (np.zeros(tile * tile), np.zeros(tile * tile, bool)) for k in names]
-                cell = np.flatnonzero(np.any([ok for _, ok in held], axis=0))
-                columns = [pa.array(np.full(len(cell), scene)), pa.array(y0 + cell // tile), pa.array(x0 + cell % tile)]
-                columns += [pa.array(v[cell], mask=~ok[cell]) for v, ok in held]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    ddl = "scene bigint, y bigint, x bigint, " + ", ".join(f"{n} double" for n in names.values())
-    return chunks.mapInArrow(run, ddl)
+                yield cells(scene, y0, x0, read_bands(batch.column("bands")[i]), tile, names)
+
+    return chunks.mapInArrow(run, cell_schema(names)[1])

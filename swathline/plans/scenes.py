@@ -111,7 +111,7 @@ def scene_flood_otsu(spark, folder):
 )
 def scene_flood_mask(spark, folder):
     stored, _ = _scenes(spark, folder)
-    cells = chunks.pixels(chunks.flood_mask(stored), TILE, {chunks.DIFF: "diff_db", chunks.MASK: "mask"})
+    cells = chunks.flood_mask(stored, tile=TILE, names={chunks.DIFF: "diff_db", chunks.MASK: "mask"})
     return cells.select("scene", "y", "x", snap(F.col("diff_db"), 6).alias("diff_db"), F.col("mask").cast("int").alias("mask"))
 
 
@@ -134,8 +134,7 @@ def _complex(spark, folder):
     sql(f"SELECT y, x, {snap_sql('s/n', 5)} AS mean, n FROM ({_window_sql('sum(b.pre) AS s', 'px', (-5, 4), (-5, 4))}) w", "px"),
 )
 def chunk_boxcar(spark, folder):
-    smooth = chunk_focal.boxcar(_pre(spark, folder), TILE, WIDTH, 10)
-    cells = chunks.pixels(smooth, TILE, {1: "mean", 2: "n"})
+    cells = chunk_focal.boxcar(_pre(spark, folder), TILE, WIDTH, 10, names={1: "mean", 2: "n"})
     return cells.select("y", "x", snap(F.col("mean"), 5).alias("mean"), F.col("n").cast("bigint").alias("n"))
 
 
@@ -148,8 +147,7 @@ def chunk_boxcar(spark, folder):
     ),
 )
 def chunk_lee_filter(spark, folder):
-    smooth = chunk_focal.lee_filter(_pre(spark, folder), TILE, WIDTH, enl=4.0)
-    cells = chunks.pixels(smooth, TILE, {1: "filtered", 2: "n"})
+    cells = chunk_focal.lee_filter(_pre(spark, folder), TILE, WIDTH, enl=4.0, names={1: "filtered", 2: "n"})
     return cells.select("y", "x", snap(F.col("filtered"), 4).alias("filtered"), F.col("n").cast("bigint").alias("n"))
 
 
@@ -163,7 +161,7 @@ def chunk_lee_filter(spark, folder):
 )
 def chunk_interferogram(spark, folder):
     """Phases where the first image has a signal."""
-    cells = chunks.pixels(chunk_focal.interferogram(_complex(spark, folder), TILE, WIDTH, 10), TILE, {1: "phase"})
+    cells = chunk_focal.interferogram(_complex(spark, folder), TILE, WIDTH, 10, names={1: "phase"})
     return cells.select("y", "x", snap(F.col("phase"), 4).alias("phase"))
 
 
@@ -178,7 +176,7 @@ def chunk_interferogram(spark, folder):
 )
 def chunk_coherence(spark, folder):
     """Coherence where both windows have energy."""
-    cells = chunks.pixels(chunk_focal.coherence(_complex(spark, folder), TILE, WIDTH, 3, 10), TILE, {1: "coherence", 2: "n"})
+    cells = chunk_focal.coherence(_complex(spark, folder), TILE, WIDTH, 3, 10, names={1: "coherence", 2: "n"})
     return cells.filter("coherence IS NOT NULL").select(
         "y", "x", snap(F.col("coherence"), 5).alias("coherence"), F.col("n").cast("bigint").alias("n")
     )
