@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from swathline.llm.common import ROWS, as_bytes, map_batches, unused_names
@@ -201,10 +201,10 @@ def _bounded(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     return map_batches(joined, f"u {kind}, v {kind}", make)
 
 
-def _sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows whose id may be among the wanted ones, by a bitmap of ``2 ** SIEVE_BITS`` hashed ids, a fixed size.
+def _sieve(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows with ``maybe``: whether their id may be among the wanted ones, by a bitmap of ``2 ** SIEVE_BITS`` hashed ids, a fixed size.
 
-    It spares the shuffle of most texts; when it is full, all rows pass and the join that follows sorts them out.
+    It spares the shuffle of most rows; when it is full, all pass and the join that follows sorts them out.
     """
     slot = F.pmod(F.xxhash64("doc"), F.lit(1 << SIEVE_BITS))
     bit = F.expr("shiftleft(1L, cast(_slot % 64 as int))")
@@ -213,8 +213,13 @@ def _sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
         .agg(F.bit_or(bit).alias("_bits"))
     )
     marked = rows.withColumn("_slot", slot).withColumn("_word", F.floor(F.col("_slot") / 64).cast("bigint"))
-    passed = marked.join(F.broadcast(bitmap), "_word").filter(F.col("_bits").bitwiseAND(bit) != 0)
-    return passed.select(*rows.columns)
+    held = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.join(F.broadcast(bitmap), "_word", "left").select(*rows.columns, held.alias("maybe"))
+
+
+def _sieved(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose id may be among the wanted ones."""
+    return _sieve(rows, wanted).filter("maybe").drop("maybe")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -253,27 +258,35 @@ def _linked(pairs: DataFrame, docs: DataFrame, words: int, percent: int, id_col:
     return linked
 
 
-def _ends(grouped: DataFrame, turn: int) -> DataFrame:
-    """(token, ends): some (group, doc) of each token that stands in several groups.
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """(token, doc, n, at, low, high): the tokens that several sets have, with the smallest and the greatest of these sets.
 
-    The first round takes the smallest and the greatest set; later rounds draw groups, and members of them, by hash.
+    Most tokens stand in one set alone and say nothing. All are dealt by token once, here, and only the shared ones are kept.
     """
-    orders = [F.col("doc")]
-    if turn:
-        seeds = [F.lit(turn * DRAWS + i) for i in range(DRAWS)]
-        orders = [F.struct(F.xxhash64("group", x), "group", F.xxhash64("doc", x), "doc") for x in seeds]
+    entries = prefixes.select("doc", "n", F.posexplode("prefix").alias("at", "token"))
+    alike = Window.partitionBy("token")
+    ends = entries.withColumns({"low": F.min("doc").over(alike), "high": F.max("doc").over(alike)})
+    return ends.filter(F.col("low") != F.col("high")).select("token", "doc", "n", "at", "low", "high")
+
+
+def _ends(grouped: DataFrame, turn: int) -> DataFrame:
+    """(token, ends): some (group, doc) of each token that stands in several groups, drawn by hash."""
+    seeds = [F.lit(turn * DRAWS + i) for i in range(DRAWS)]
+    orders = [F.struct(F.xxhash64("group", x), "group", F.xxhash64("doc", x), "doc") for x in seeds]
     ends = grouped.groupBy("token").agg(
         *(end(order).alias(f"_{end.__name__}_{i}") for i, order in enumerate(orders) for end in (F.min, F.max))
     )
-    group, doc = ((lambda c: c["group"]), (lambda c: c["doc"])) if turn else ((lambda c: c), (lambda c: c))
-    several = group(F.col("_min_0")) != group(F.col("_max_0"))
-    named = [F.struct(group(F.col(c)).alias("group"), doc(F.col(c)).alias("doc")) for c in ends.columns[1:]]
+    several = F.col("_min_0.group") != F.col("_max_0.group")
+    named = [F.struct(F.col(f"{c}.group"), F.col(f"{c}.doc")) for c in ends.columns[1:]]
     return ends.filter(several).select("token", F.array(*named).alias("ends"))
 
 
-def _spokes(grouped: DataFrame, ends: DataFrame) -> DataFrame:
-    """(u, v): each set with the sets of other groups that most of its tokens name, one for each kind of end."""
-    votes = grouped.join(ends, "token").select("doc", "group", F.posexplode("ends").alias("kind", "end"))
+def _spokes(named: DataFrame) -> DataFrame:
+    """(u, v): each set with the sets of other groups that most of its tokens name, one for each kind of end.
+
+    ``named``: (doc, group, ends) of each token.
+    """
+    votes = named.select("doc", "group", F.posexplode("ends").alias("kind", "end"))
     best = (
         votes.filter(F.col("group") != F.col("end.group")).groupBy("kind", "doc", F.col("end.doc").alias("u"))
         .agg(F.count("*").alias("both"))
@@ -298,6 +311,8 @@ def _opened(queries: DataFrame, members: DataFrame, prefixes: DataFrame, percent
     """
     kind = dict(queries.dtypes)["v"]
     wanted = members.join(queries.select("target").distinct(), "target").select("target", F.col("u").alias("doc"))
+    wanted = cut_lineage(wanted)
+    prefixes = _sieved(prefixes, wanted.select("doc").unionByName(queries.select(F.col("v").alias("doc"))))
     sizes = wanted.groupBy("target").agg(F.count("*").alias("_all"))
     chunk = F.pmod(F.xxhash64("doc"), F.ceil(F.col("_all") / CHUNK).cast("bigint")).alias("chunk")
     chunks = (
@@ -326,7 +341,9 @@ def _opened(queries: DataFrame, members: DataFrame, prefixes: DataFrame, percent
         return work
 
     met = queries.join(probe, "v").join(chunks, "target").select("v", "nv", "pv", "held")
-    return map_batches(met, f"u {kind}, v {kind}", make)
+    pairs = cut_lineage(map_batches(met, f"u {kind}, v {kind}", make))
+    drop_stages(wanted)
+    return pairs
 
 
 def components(
@@ -339,27 +356,39 @@ def components(
     )
     nodes = cut_lineage(nodes)
     prefixes = _prefixes(docs, words, percent, sketch, bits, id_col, text_col)
-    prefixes = cut_lineage(prefixes.join(nodes.select(F.col("node").alias("doc")).distinct(), "doc", "left_semi"))
+    # Ids that head no set are copies; the few rows that may be theirs are held against all such ids.
+    heads = nodes.select(F.col("node").alias("doc")).distinct()
+    copies = cut_lineage(sets.filter(F.col("doc").isNotNull()).select("doc").distinct().join(heads, "doc", "left_anti"))
+    marked = cut_lineage(_sieve(prefixes, copies))
+    alone = marked.filter(~F.col("maybe")).unionByName(marked.filter("maybe").join(copies, "doc", "left_anti"))
+    prefixes = cut_lineage(alone.select("doc", "n", "prefix"))
+    drop_stages(marked, copies)
 
     n = F.col("n")
     in_index = F.col("at") < n - F.ceil(F.lit(2 * percent) * n / (100 + percent)).cast("bigint") + 1
 
     # Step 1: groups around sets of other groups that most tokens of a set name.
-    grouped = prefixes.select("doc", "n", F.posexplode("prefix").alias("at", "token"), F.col("doc").alias("group"))
-    first, stored = None, []
+    shared = cut_lineage(_shared(prefixes))
+    first, stored = None, [shared]
     for turn in range(ROUNDS):
-        ends = cut_lineage(_ends(grouped, turn))
-        spokes = cut_lineage(_bounded(_spokes(grouped, ends), prefixes, percent))
+        if turn == 0:  # each set is its own group; the ends are the smallest and the greatest set
+            both = [F.struct(F.col(c).alias("group"), F.col(c).alias("doc")) for c in ("low", "high")]
+            named = shared.select("doc", F.col("doc").alias("group"), F.array(*both).alias("ends"))
+        else:
+            ends = cut_lineage(_ends(grouped, turn))
+            stored.append(ends)
+            shared = grouped.join(ends.select("token"), "token", "left_semi")  # a token of one group says nothing
+            named = grouped.join(ends, "token")
+        spokes = cut_lineage(_bounded(_spokes(named), prefixes, percent))
         found = _linked(spokes, docs, words, percent, id_col, text_col)
         first = found if first is None else first.unionByName(found)
         groups = cut_lineage(resolve(first))
-        shared = grouped.join(ends.select("token"), "token", "left_semi")  # a token of one group says nothing
         grouped = cut_lineage(
             shared.join(groups.select(F.col("node").alias("doc"), "root"), "doc", "left").select(
                 "token", "doc", "n", "at", F.coalesce("root", "doc").alias("group")
             )
         )
-        drop_stages(ends, spokes, groups, *stored)
+        drop_stages(spokes, groups, *stored)
         stored = [grouped]
         if found.isEmpty() or not _crowded(grouped, in_index):
             break
@@ -382,7 +411,7 @@ def components(
     )
     inside = members.select(F.col("group").alias("target"), F.col("doc").alias("u")).distinct()
     queries = cut_lineage(queries)
-    pairs = cut_lineage(_opened(queries, inside, prefixes, percent))
+    pairs = _opened(queries, inside, prefixes, percent)
     drop_stages(queries, prefixes, *stored)
     second = _linked(pairs, docs, words, percent, id_col, text_col)
     drop_stages(pairs)

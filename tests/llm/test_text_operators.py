@@ -71,6 +71,30 @@ def test_jaccard_text_ids_and_clashing_names(spark):
     assert kept.columns == frame.columns and sorted(rows_of(kept, "doc_id")) == [(f"d{i:03d}",) for i in range(6)]
 
 
+def test_jaccard_deals_all_entries_by_token_once(spark, monkeypatch):
+    """All prefix tokens are spread once; later rounds and the matrix only read those that several sets have."""
+    plans, store = [], jaccard.cut_lineage
+
+    def watched(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return store(frame)
+
+    monkeypatch.setattr(jaccard, "cut_lineage", watched)
+    rng = random.Random(4)
+    own = [" ".join(f"w{rng.randint(0, 10**9)}" for _ in range(40)) for _ in range(30)]
+    docs = [*enumerate(own), *((100 + i, own[i] + " x") for i in range(5)), (200, own[0]), (201, own[0] + " x")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    check_components(jaccard.components(frame, 4, 85), docs, 4, 85)
+    assert sum(p.count("posexplode(prefix") for p in plans) == 1
+
+
+def test_jaccard_shared_tokens(spark):
+    rows = [(1, 9, [5, 6, 7]), (2, 9, [6, 8]), (3, 9, [6, 7]), (4, 9, [4])]
+    frame = spark.createDataFrame(rows, "doc long, n long, prefix array<bigint>")
+    got = sorted(rows_of(jaccard._shared(frame), "token", "doc", "at", "low", "high"))
+    assert got == [(6, 1, 1, 1, 3), (6, 2, 0, 1, 3), (6, 3, 0, 1, 3), (7, 1, 2, 1, 3), (7, 3, 1, 1, 3)]
+
+
 # 2. Sharding
 
 
