@@ -157,3 +157,22 @@ def test_simplify_against_recursion(spark):
 def test_dilate(spark):
     got = {(r.y, r.x) for r in vectorize.dilate(mask_frame(spark, {(0, 0), (5, 23)}), 1, WIDTH, 20).collect()}
     assert got == {(0, 0), (0, 1), (1, 0), (1, 1)} | {(y, x) for y in (4, 5, 6) for x in (22, 23)}
+
+
+def test_short_rings_are_simplified_without_rounds(spark, monkeypatch):
+    """Rings as arrays agree with the rounds over rows, ties and odd vertices included, and take no round of their own."""
+    rng = random.Random(7)
+    rows = [(r, s, float(rng.randrange(9)), float(rng.randrange(9))) for r in range(60) for s in range(rng.randrange(1, 40))]
+    rows += [(100, s, *p) for s, p in enumerate([(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0)])]
+    frame = spark.createDataFrame(rows, "ring long, seq long, vx double, vy double").repartition(3)
+    want = sorted(map(tuple, vectorize._by_rounds(vectorize.cut_lineage(frame), 1.0).collect()))
+    odd = spark.createDataFrame([(200, s, float(s), float("nan") if s == 2 else 0.0) for s in range(4)], frame.schema)
+    odd_want = {tuple(map(str, r)) for r in vectorize._by_rounds(vectorize.cut_lineage(odd), 1.0).collect()}
+    got = vectorize.simplify_rings(frame.unionByName(odd), 1.0).collect()
+    assert sorted(tuple(r) for r in got if r.ring != 200) == want
+    assert {tuple(map(str, r)) for r in got if r.ring == 200} == odd_want
+    monkeypatch.setattr(vectorize, "WHOLE_RING", 10)  # some by rounds
+    assert sorted(map(tuple, vectorize.simplify_rings(frame, 1.0).collect())) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(vectorize, "_by_rounds", None)
+    assert sorted(map(tuple, vectorize.simplify_rings(frame, 1.0).collect())) == want
