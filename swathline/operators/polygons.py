@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -377,24 +376,35 @@ def geometry(chains: DataFrame, affine: Affine) -> DataFrame:
     points = vertices(chains).groupBy("component", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", "vy", "vx"))).alias("p"))
     regions = points.groupBy("component").agg(F.collect_list(F.struct("ring", F.col("p.vy").alias("vy"), F.col("p.vx").alias("vx"))).alias("rings"))
     kinds = chains.groupBy("component").agg(F.min("class").alias("class"))
-
-    def polygons(rows: pd.Series) -> pd.DataFrame:
-        out = []
-        for row in rows:
-            loops = [loop for r in row for loop in _simple_loops(_loops(np.asarray(r["vy"]).tolist(), np.asarray(r["vx"]).tolist()))]
-            loops.sort(key=lambda loop: (_area(loop) < 0, min(loop)))
-            turned = [loop[loop.index(min(loop)) :] + loop[: loop.index(min(loop)) + 1] for loop in loops]
-            placed = [
-                [f"{affine.x0 + x * affine.a!r} {affine.y0 + y * affine.e!r}" for y, x in loop] for loop in turned
-            ]
-            wkt = "POLYGON (" + ", ".join("(" + ", ".join(loop) + ")" for loop in placed) + ")"
-            pairs = ",".join("[" + ",".join("[" + p.replace(" ", ",") + "]" for p in loop) + "]" for loop in placed)
-            negative = sum(_area(loop) < 0 for loop in loops)
-            out.append((len(loops) - negative, negative, wkt, '{"type":"Polygon","coordinates":[' + pairs + "]}"))
-        return pd.DataFrame(out, columns=["shells", "holes", "wkt", "geojson"])
-
-    made = F.pandas_udf(polygons, "shells bigint, holes bigint, wkt string, geojson string")
-    return regions.select("component", made("rings").alias("g")).select("component", "g.*").join(kinds, "component")
+    fields = "component bigint, class bigint, shells bigint, holes bigint, wkt string, geojson string"
+
+    def written(loops):
+        known = [(_area(loop) < 0, min(loop), loop) for loop in loops]
+        known.sort(key=lambda k: k[:2])
+        turned = [loop[(i := loop.index(first)) :] + loop[: i + 1] for _, first, loop in known]
+        placed = [[f"{affine.x0 + x * affine.a!r} {affine.y0 + y * affine.e!r}" for y, x in loop] for loop in turned]
+        wkt = "POLYGON (" + ", ".join("(" + ", ".join(loop) + ")" for loop in placed) + ")"
+        pairs = ",".join("[" + ",".join("[" + p.replace(" ", ",") + "]" for p in loop) + "]" for loop in placed)
+        negative = sum(k[0] for k in known)
+        return len(known) - negative, negative, wkt, '{"type":"Polygon","coordinates":[' + pairs + "]}"
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("rings")
+            outer, (vy, vx) = lists.offsets.to_pylist(), (lists.values.field(c) for c in ("vy", "vx"))
+            (sy, ys), (sx, xs) = ((v.offsets.to_pylist(), v.values.to_pylist()) for v in (vy, vx))
+            out = []
+            for i, j in zip(outer, outer[1:]):
+                cut = [_loops(ys[sy[k] : sy[k + 1]], xs[sx[k] : sx[k + 1]]) for k in range(i, j)]
+                out.append(written([loop for loops in cut for loop in _simple_loops(loops)]))
+            made = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
+            if out:
+                columns = [batch.column("component"), batch.column("class"), *made]
+                yield pa.RecordBatch.from_arrays(columns, names=["component", "class", "shells", "holes", "wkt", "geojson"])
+
+    # The class comes in before the texts are made, so that these aren't moved again.
+    made = regions.join(kinds, "component").select("component", "class", "rings").mapInArrow(run, fields)
+    return made.select("component", "shells", "holes", "wkt", "geojson", "class")
 
 
 def component_labels(local: DataFrame, width: int, tile: int) -> DataFrame:

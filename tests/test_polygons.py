@@ -97,3 +97,13 @@ def test_classes_nulls_repeats_and_empty(spark):
 def test_component_labels(spark, cells, tile):
     got = vectorize.connected_components(mask_frame(spark, cells), WIDTH, tile).collect()
     assert {(r.y, r.x): r.component for r in got} == flood_fill(cells)
+
+
+def test_geometry_texts_are_not_moved(spark):
+    """The class is joined to the vertices; WKT and GeoJSON, once made, pass no exchange and no join."""
+    cells = {(0, 0), (0, 1), (1, 1), (4, 4)}
+    affine = Affine(0, 1, 0, -1)
+    made = polygons.geometry(polygons.trace(mask_frame(spark, cells), WIDTH, 4), affine)
+    above = made._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    assert "Exchange" not in above and "Join" not in above
+    assert sorted((r.shells, r.holes, r["class"]) for r in made.collect()) == [(1, 0, 1), (1, 0, 1)]
